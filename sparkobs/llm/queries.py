@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkobs.llm import bpe
+from sparkobs.llm import bpe, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,5 +21,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op10_byte_bpe,)}
+def op3_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op3_toxicity_ftrl, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
