@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkobs.llm import bpe, toxicity
+from sparkobs.llm import bpe, matroska, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +21,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens(table(spark, sf_dir, "documents"))
 
 
+def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity_ftrl, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_matroska, op3_toxicity_ftrl, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
