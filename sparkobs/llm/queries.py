@@ -6,13 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkobs.llm import bpe, matroska, toxicity, warc
+from sparkobs.llm import bpe, matroska, toxicity, urls, warc
+
+#: The longest rule that fits a url's host and path decides; the language models judge the rest.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op9_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -34,5 +41,5 @@ def op3_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_matroska, op3_toxicity_ftrl, op9_warc_zstd, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_matroska, op3_toxicity_ftrl, op5_url_markov, op9_warc_zstd, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
