@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkobs.llm import bpe, matroska, topk, toxicity, urls, warc
+from sparkobs.llm import bpe, matroska, sharding, topk, toxicity, urls, warc
 
 #: The longest rule that fits a url's host and path decides; the language models judge the rest.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -24,6 +24,16 @@ def op5_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def hilbert_shards(docs: DataFrame) -> DataFrame:
+    dims = [sharding.cell_of_text(F.col("lang")), sharding.cell_of_text(F.col("source")), sharding.cell_of_number(F.col("n_chars"))]
+    return sharding.shard(docs, dims, 40)
+
+
+def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = hilbert_shards(table(spark, sf_dir, "documents"))
+    return own.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 def op9_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -45,7 +55,7 @@ def op3_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_matroska, op3_toxicity_ftrl, op4_threshold_topk, op5_url_markov, op9_warc_zstd, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_matroska, op3_toxicity_ftrl, op4_threshold_topk, op5_url_markov, op8_hilbert_shards, op9_warc_zstd, op10_byte_bpe)}
 ORACLE_SQL = {
     "op4_threshold_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings WHERE embedding IS NOT NULL),
