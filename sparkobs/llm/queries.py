@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkobs.llm import bpe, matroska, mixing, pii, sharding, topk, toxicity, urls, warc
+from sparkobs.llm import bpe, jaccard, matroska, mixing, pii, sharding, topk, toxicity, urls, warc
 
 #: The longest rule that fits a url's host and path decides; the language models judge the rest.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -24,6 +24,10 @@ def op5_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_jaccard_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -63,7 +67,7 @@ def op3_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_flow, op2_matroska, op3_toxicity_ftrl, op4_threshold_topk, op5_url_markov, op7_pii, op8_hilbert_shards, op9_warc_zstd, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_mix_flow, op2_matroska, op3_toxicity_ftrl, op4_threshold_topk, op5_url_markov, op6_jaccard_trie, op7_pii, op8_hilbert_shards, op9_warc_zstd, op10_byte_bpe)}
 ORACLE_SQL = {
     "op4_threshold_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings WHERE embedding IS NOT NULL),
