@@ -1,12 +1,42 @@
-"""A corpus pipeline over ``documents``: each stage applies one operator to all that the stage before it kept."""
+"""A corpus pipeline over ``documents``: each stage applies one operator to all that the stage before it kept.
+
+All stages but the last return the columns of documents. Rows without an id pass the join unless a document with an
+id is like them; repeated rows stay once there; null texts pass all stages but mixing, which takes no empty document.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sparkobs.llm import jaccard, mixing, pii, toxicity
 from sparkobs.llm import queries as q
+from sparkobs.llm.common import stored
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not call toxic."""
+    return toxicity.classify(docs, q.table(spark, sf_dir, "labels"), keep=docs.columns).where("predicted = 0").select(*docs.columns)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of similar shingle sets tie together, the one with the smallest id."""
+    groups = jaccard.join(docs)
+    like_another = groups.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("like")).distinct()
+    return docs.join(like_another, docs.doc_id.eqNullSafe(like_another.like), "left_anti").distinct()
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to the name of its kind; n_chars follows the new text."""
+    out = pii.redact(docs.withColumn("__was", F.length("text")))
+    return out.withColumn("n_chars", F.when(F.length("text") != F.col("__was"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.select(docs, F.array("source"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,13 +44,13 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return q.tokens(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("tokenize", tokenize)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("toxicity", clean), ("jaccard_join", distinct), ("pii", private), ("mixing", mix), ("byte_bpe", tokenize)]
 #: Learned scores and hashed merges have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = q.table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)  # the next stage reads it more than once
+    return STAGES[-1][1](spark, docs, sf_dir)
