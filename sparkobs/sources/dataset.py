@@ -43,7 +43,7 @@ def _current(spark: SparkSession, root: str) -> tuple[list[tuple], int]:
 
 
 def _write(df: DataFrame, root: str, time: str, order: list[str], ingested_us: int) -> tuple | None:
-    folder = f"batch-{uuid.uuid4().hex}"
+    folder = f"batch={uuid.uuid4().hex}"
     hours = df.withColumn("hour", F.floor(F.col(time) / HOUR_US).cast("long"))
     hours.repartition("hour").sortWithinPartitions("hour", *order).write.partitionBy("hour").parquet(f"{root}/{folder}")
     found = df.sparkSession.read.parquet(f"{root}/{folder}").agg(F.min(time), F.max(time), F.count(F.lit(1))).first()
@@ -65,12 +65,12 @@ def scan(spark: SparkSession, root: str, schema: str, time: str, start_us: int |
     folders = [r.folder for r in manifest(spark, root, version).collect() if r.folder and (start_us is None or r.last_us >= start_us) and (end_us is None or r.first_us < end_us)]
     if not folders:
         return spark.createDataFrame([], schema)
-    own = spark.read.schema(f"{schema}, hour long").option("basePath", root).parquet(*(f"{root}/{f}" for f in folders))
+    own = spark.read.schema(f"{schema}, hour long, batch string").option("basePath", root).parquet(*(f"{root}/{f}" for f in folders))
     if start_us is not None:
         own = own.where((F.col("hour") >= start_us // HOUR_US) & (F.col(time) >= start_us))
     if end_us is not None:
         own = own.where((F.col("hour") <= (end_us - 1) // HOUR_US) & (F.col(time) < end_us))
-    return own.drop("hour")
+    return own.drop("hour", "batch")
 
 
 def compact(spark: SparkSession, root: str, schema: str, time: str, order: list[str], small: int) -> int:
@@ -79,7 +79,7 @@ def compact(spark: SparkSession, root: str, schema: str, time: str, order: list[
     merged = [r for r in rows if r[4] < small]
     if len(merged) < 2:
         return version
-    df = spark.read.schema(f"{schema}, hour long").option("basePath", root).parquet(*(f"{root}/{r[0]}" for r in merged)).drop("hour")
+    df = spark.read.schema(f"{schema}, hour long, batch string").option("basePath", root).parquet(*(f"{root}/{r[0]}" for r in merged)).drop("hour", "batch")
     own = _write(df, root, time, order, max(r[3] for r in merged))
     _publish(spark, root, [*(r for r in rows if r not in merged), own], version + 1)
     return version + 1
