@@ -15,6 +15,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ NONE = np.int32(2**31 - 1)
 #: Lengths up to which pieces share a matrix; longer pieces merge one by one over a heap, with the same result.
 BUCKETS = (4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 128, 256)
 #: Cells of one matrix, and chunks remembered by one Python worker; both only bound memory.
-CELLS, REMEMBERED = 2_000_000, 250_000
+CELLS, REMEMBERED = 2_000_000, 400_000
 #: A space between two other characters always starts a piece, so text may be cut before it.
 CUT, UNSAFE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r" \s|\s |\A | \Z")
 
@@ -95,6 +96,7 @@ class Codec:
     def _forget(self) -> None:
         self.first: dict[str, int] = {}  # a chunk that starts a text
         self.later: dict[str, int] = {}  # a chunk after a space, without it
+        self.pieces: dict[str, np.ndarray] = {}
         self.known: list[np.ndarray] = []
         self.said: list[str] = []
 
@@ -176,12 +178,15 @@ class Codec:
         return np.array([self.ranks[piece[i : ends[i]]] for i in range(n) if alive[i]], np.int32)
 
     def _learn(self, new: dict[str, None], known: dict[str, int], lead: str) -> None:
-        split = [[p.encode() for p in self.pattern.findall(lead + c)] for c in new]
-        distinct = list(dict.fromkeys(p for s in split for p in s))
-        ids = dict(zip(distinct, self.merge(distinct), strict=True))
+        find, pieces = self.pattern.findall, self.pieces
+        split = [find(lead + c) for c in new]
+        distinct = list(set(chain.from_iterable(split)) - pieces.keys())
+        pieces.update(zip(distinct, self.merge([p.encode() for p in distinct]), strict=True))
+        none = np.zeros(0, np.int32)
         for c, s in zip(new, split, strict=True):
             known[c] = len(self.known)
-            self.known.append(own := np.concatenate([ids[p] for p in s]) if s else np.zeros(0, np.int32))
+            own = pieces[s[0]] if len(s) == 1 else np.concatenate([pieces[p] for p in s]) if s else none
+            self.known.append(own)
             self.said.append(" ".join(map(str, own.tolist())))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -193,7 +198,7 @@ class Codec:
         self._learn({p: None for c in cut for p in c[1:] if p not in self.later}, self.later, " ")
         at = [[self.first[c[0]], *map(self.later.__getitem__, c[1:])] for c in cut]
         counts = np.array([len(x) for x in at])
-        flat = np.fromiter((i for x in at for i in x), np.int64, int(counts.sum()))
+        flat = np.fromiter(chain.from_iterable(at), np.int64, int(counts.sum()))
         used, where = np.unique(flat, return_inverse=True)
         own = [self.known[i] for i in used]
         sizes = np.array([len(x) for x in own], np.int64)
