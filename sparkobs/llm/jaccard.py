@@ -3,11 +3,13 @@
 1. One pass hashes each text's words into its set of distinct shingles, and counts all shingles in a sketch of fixed
    size. The sketch gives every shingle a global rank, rare ones first; any collision only moves a rank.
 2. Two sets that reach the similarity share one of their first n - ceil(t n) + 1 ranked shingles. Documents that meet
-   on such a shingle are chained by size, not paired; the chains' components say which sets must meet at all.
-3. The sets of a component meet in blocks. A block's sets, frequent shingles first, form a path-compressed trie; each
-   set walks it, sharing the overlap of common prefixes, and leaves a subtree when the remaining lengths cannot reach
-   the overlap needed or when all of it is linked to the set already.
-4. Components of several blocks share pivots. What the pivots do not tie to the component's largest class is held
+   on such a shingle are chained by size, not paired; the chains' components say which sets may meet at all.
+3. Within a component, sets first meet as profiles: counts of their shingles by hash range. The sum of the smaller
+   counts bounds the overlap, so most sets that only share a passage part here, at a byte for every few shingles.
+4. What is left meets as sets. A block's sets, frequent shingles first, form a path-compressed trie; each set walks it,
+   sharing the overlap of common prefixes, and leaves a subtree when the remaining lengths cannot reach the overlap
+   needed or when all of it is linked to the set already.
+5. Components of several blocks share pivots. What the pivots do not tie to the component's largest class is held
    against every block, so no link is lost and a group of near copies costs in proportion to its size.
 
 Equal texts (after lower-casing A-Z and cutting at blanks) are one class and never paired.
@@ -28,15 +30,16 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from sparkobs.llm.common import slices, stored
 
 WORDS, SIMILAR = 5, 80  # shingle length; least similarity in percent
-SKETCH_LEAST, SKETCH_MOST, CHUNK = 16, 24, 14  # bits of the sketch follow the number of documents within these; bits of a part of it
-BLOCK_DOCS, BLOCK_SHINGLES, PIVOTS, SALTS = 200, 500_000, 16, 16
+BITS, CHUNK = 20, 14  # of the sketch, and of a part of it
+BLOCK_DOCS, BLOCK_SHINGLES, PIVOTS, SALTS = 400, 1_000_000, 25, 8
 REMEMBERED = 600_000
+FINISH = 500_000  # edges of 16 bytes that one task ties together
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,8 +50,10 @@ class Shingler:
         self.at: dict[bytes, int] = {}
         self.hashes = np.zeros(1024, np.uint64)
 
-    def __call__(self, texts: list[str | None], wanted=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Shingles of all texts (each text's sorted), their number by text, and the texts' classes; ``wanted``: takes classes and says which texts get shingles."""
+    def __call__(self, texts: list[str | None], wanted=None, rank=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shingles of all texts (each text's sorted), their number by text, and the texts' classes.
+
+        ``wanted`` takes classes and says which texts get shingles; ``rank`` turns shingles into what is sorted and returned."""
         if len(self.at) > REMEMBERED:
             self.__init__()
         words = [(t or "").encode().lower().split() for t in texts]
@@ -75,8 +80,11 @@ class Shingler:
         first[starts[counts > 0]] = True
         whole = (left == WORDS) | first & (np.repeat(counts, counts) < WORDS)
         key, whose = mixed(key[whole] + left[whole].astype(np.uint64)), whose[whole]
-        order = np.lexsort((key, whose))
-        key, whose = key[order], whose[order]
+        if rank is not None:
+            key = rank(key)
+        ends = np.cumsum(np.bincount(whose, minlength=len(words))).tolist()
+        for i, j in zip([0, *ends], ends, strict=False):
+            key[i:j].sort()
         distinct = np.ones(len(key), bool)
         distinct[1:] = (key[1:] != key[:-1]) | (whose[1:] != whose[:-1])
         return key[distinct], np.bincount(whose[distinct], minlength=len(words)), classes
@@ -92,6 +100,16 @@ def needed(a: np.ndarray | int, b: np.ndarray | int):
     return -(-SIMILAR * (a + b) // (100 + SIMILAR))
 
 
+def profile(tokens: np.ndarray) -> np.ndarray:
+    """Counts of a set's hashes by range, up to 255; ranges are a power of two, about a third of the set's size."""
+    bits = max(3, int(len(tokens) // 3).bit_length())
+    return np.minimum(np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def coarser(x: np.ndarray, ranges: int) -> np.ndarray:
+    return x if len(x) == ranges else np.minimum(x.reshape(ranges, -1).sum(1), 255).astype(np.uint8)
+
+
 class Links:
     """Union-find over ids."""
 
@@ -162,19 +180,19 @@ class Trie:
             stack += [(x, overlap) for x in below]
 
 
-def joined(ids: list[int], sets: list[np.ndarray], links: Links, asks: list[bool] | None = None) -> list[tuple[int, int]]:
-    """Links (larger id, smaller id) that tie all similar sets of a block together, beyond those in ``links``; ``asks``: which sets search."""
+def joined(ids: list[int], sets: list[np.ndarray], links: Links, asks: list[bool]) -> None:
+    """Adds to ``links`` what ties all similar sets of a block together; ``asks`` says which sets search."""
     flat = np.concatenate(sets)
     values, local, counts = np.unique(flat, return_inverse=True, return_counts=True)
     rank = np.empty(len(values), np.int64)
     rank[np.argsort(-counts, kind="stable")] = np.arange(len(values))  # frequent first
     ends = np.cumsum([len(s) for s in sets])
     own = [np.sort(r) for r in np.split(rank[local], ends[:-1])]
-    trie, out = Trie(own), []
+    trie = Trie(own)
     names = [ids[i] for i in trie.order]
     marked = np.zeros(len(values), bool)
     for at, i in enumerate(trie.order):
-        if asks is not None and not asks[i]:
+        if not asks[i]:
             continue
         marked[own[i]] = True
         me = names[at]
@@ -184,12 +202,37 @@ def joined(ids: list[int], sets: list[np.ndarray], links: Links, asks: list[bool
             return all(links.root(x) == root for x in names[low:high])
 
         def found(k: int, me: int = me) -> None:
-            if links.join(me, names[k]):
-                out.append((max(me, names[k]), min(me, names[k])))
+            links.join(me, names[k])
 
         trie.search(own[i], marked, known, found)
         marked[own[i]] = False
-    return out
+
+
+def bounded(ids: list[int], rows: list[bytes], links: Links, asks: list[bool]) -> None:
+    """Like ``tried``, over profiles behind their set's size: ties together all sets whose overlap may be enough."""
+    sizes = np.array([int.from_bytes(r[:4], "little") for r in rows], np.int64)
+    profiles = [np.frombuffer(r, np.uint8, offset=4) for r in rows]
+    own = np.array([len(p) for p in profiles])
+    for ranges in np.unique(own).tolist():
+        # sizes within the similarity have ranges that are equal or one step apart; the finer is folded
+        group = np.flatnonzero((own == ranges) | (own == 2 * ranges))
+        table = np.array([coarser(profiles[i], ranges) for i in group])
+        for k, i in enumerate(group.tolist()):
+            if not asks[i]:
+                continue
+            near = np.flatnonzero((100 * sizes[group] >= SIMILAR * sizes[i]) & (100 * sizes[i] >= SIMILAR * sizes[group]) & ((own[i] == ranges) | (own[group] == ranges)))
+            root = links.root(ids[i])
+            near = near[[links.root(ids[j]) != root for j in group[near].tolist()]]
+            if len(near):
+                a, b = table[k], table[near]
+                gap = (np.maximum(a, b) - np.minimum(a, b)).sum(1, dtype=np.int64)  # as many hashes are in one set alone, at least
+                both = sizes[i] + sizes[group[near]]
+                for j in group[near[(both - gap) // 2 >= needed(sizes[i], sizes[group[near]])]].tolist():
+                    links.join(ids[i], ids[j])
+
+
+def tried(ids: list[int], rows: list[bytes], links: Links, asks: list[bool]) -> None:
+    joined(ids, [np.frombuffer(r, np.uint64) for r in rows], links, asks)
 
 
 def lookup(rows: DataFrame, table: DataFrame, on: str, by: str, how: str = "inner") -> DataFrame:
@@ -198,42 +241,57 @@ def lookup(rows: DataFrame, table: DataFrame, on: str, by: str, how: str = "inne
     return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salts, [on, "salt"], how).drop("salt")
 
 
+def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and root of all nodes of edges a, b."""
+    links = Links()
+    for b in batches:
+        for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+            links.join(x, y)
+    nodes = {*links.up, *links.up.values()}
+    yield pa.RecordBatch.from_arrays([pa.array(list(nodes), pa.int64()), pa.array([links.root(x) for x in nodes], pa.int64())], names=["node", "root"])
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """node, root (the least node that edges reach) of all nodes of ``edges`` (a, b), by alternating large and small stars."""
-    oriented = lambda df: df.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e, before = stored(oriented(edges), name), None
+    """node, root (the least node that edges reach) of all nodes of ``edges`` (a, b).
+
+    Each round, edges jump to their lower end's least neighbour, and lower ends of one node tie together at the least
+    of them; rounds end when every node has one edge, to its root. Up to FINISH edges, a size that is checked first and
+    fits any task, are tied together in one step instead, with the same result."""
+    e = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    before = None
     while True:
-        state = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == before:
-            break
+        seen = Observation()
+        e = stored(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")), name)
+        if (seen.get["n"] or 0) <= FINISH:
+            return e.coalesce(1).mapInArrow(rooted, "node long, root long")
+        if (state := (seen.get["n"], seen.get["s"])) == before:
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(e.select("b", "b").distinct())
         before = state
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b"), F.col("a")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = oriented(lookup(both.where("v > u"), least, "u", "v").select(F.col("v").alias("a"), F.col("m").alias("b")))
-        large = stored(large, name)
-        least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        met = lookup(large.withColumnRenamed("a", "u"), least, "u", "b")
-        e = stored(oriented(met.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")), name)
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(e.select("b", "b").distinct())
+        parent = e.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("up"))
+        jumped = lookup(e, parent, "b", "a", "left").select("a", F.coalesce("up", "b").alias("b"))
+        met = jumped.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        e = met.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a != b").distinct()
 
 
 def survey(docs: DataFrame, bits: int) -> DataFrame:
-    """A row for each document (id, class, n) and rows with parts of the sketch of all shingles (part, turn, counts)."""
+    """A row for each document (id, class, n, its profile as data) and rows with parts of the sketch of all shingles (part, turn, counts as data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, sketch, names = Shingler(), np.zeros(1 << bits, np.uint32), ["id", "class", "n", "part", "turn", "counts"]
+        shingler, sketch, names = Shingler(), np.zeros(1 << bits, np.uint32), ["id", "class", "n", "part", "turn", "data"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for b in slices(batches, "text"):
             shingles, counts, classes = shingler(b.column("text").to_pylist())
             sketch += np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(classes), pa.array(counts), *(pa.nulls(len(counts), t) for t in types[3:])], names=names)
+            ends = np.cumsum(counts).tolist()
+            profiles = [n.to_bytes(4, "little") + profile(shingles[e - n : e]).tobytes() if n else None for e, n in zip(ends, counts.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(classes), pa.array(counts), *(pa.nulls(len(counts), t) for t in types[3:5]), pa.array(profiles, pa.binary())], names=names)
         pack = zstandard.ZstdCompressor(level=1).compress
         parts = [(k, p) for k, p in enumerate(sketch.reshape(-1, 1 << CHUNK)) if p.any()]
         turn = int(xxhash.xxh32_intdigest(sketch.tobytes()) % 64)
         n = len(parts)
         yield pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in types[:3]), pa.array([k for k, _ in parts], pa.int32()), pa.array([turn] * n, pa.int32()), pa.array([pack(p.tobytes()) for _, p in parts], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "id long, class long, n long, part int, turn int, counts binary")
+    return docs.mapInArrow(run, "id long, class long, n long, part int, turn int, data binary")
 
 
 def sketch_of(rows: DataFrame, bits: int) -> np.ndarray:
@@ -241,17 +299,17 @@ def sketch_of(rows: DataFrame, bits: int) -> np.ndarray:
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(1 << CHUNK, np.uint32)
-        for c in pdf.counts:
+        for c in pdf.data:
             total += np.frombuffer(zstandard.ZstdDecompressor().decompress(c), np.uint32)
-        return pd.DataFrame({"part": [pdf.part.iloc[0]], "turn": [pdf.turn.iloc[0]], "counts": [zstandard.ZstdCompressor(level=1).compress(total.tobytes())]})
+        return pd.DataFrame({"part": [pdf.part.iloc[0]], "turn": [pdf.turn.iloc[0]], "data": [zstandard.ZstdCompressor(level=1).compress(total.tobytes())]})
 
-    kind = "part int, turn int, counts binary"
-    parts = rows.where("part is not null").select("part", "turn", "counts")
+    kind = "part int, turn int, data binary"
+    parts = rows.where("part is not null").select("part", "turn", "data")
     for by in (["part", "turn"], ["part"]):
         parts = parts.groupBy(*by).applyInPandas(add, kind)
     sketch = np.zeros((1 << bits - CHUNK, 1 << CHUNK), np.uint32)
     for r in parts.toLocalIterator():
-        sketch[r.part] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.counts)), np.uint32)
+        sketch[r.part] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.data)), np.uint32)
     return sketch.ravel()
 
 
@@ -261,6 +319,11 @@ def chains(docs: DataFrame, sketch: np.ndarray, bits: int) -> DataFrame:
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, sketch, seen = Shingler(), known.value, set()
+
+        def ranked(x: np.ndarray) -> np.ndarray:
+            """Rank: the sketch's count, then the low bits of the hash."""
+            return np.minimum(sketch[(x >> np.uint64(64 - bits)).astype(np.int64)], (1 << 20) - 1).astype(np.uint64) << np.uint64(44) | x & np.uint64((1 << 44) - 1)
+
         for b in slices(batches, "text"):
             def first(classes: np.ndarray) -> np.ndarray:
                 out = np.zeros(len(classes), bool)
@@ -272,13 +335,12 @@ def chains(docs: DataFrame, sketch: np.ndarray, bits: int) -> DataFrame:
 
             if len(seen) > REMEMBERED:
                 seen.clear()
-            shingles, counts, classes = shingler(b.column("text").to_pylist(), first)
+            shingles, counts, classes = shingler(b.column("text").to_pylist(), first, ranked)
             whose = np.repeat(np.arange(len(counts)), counts)
-            order = np.lexsort((shingles, sketch[(shingles >> np.uint64(64 - bits)).astype(np.int64)], whose))
             at = np.arange(len(shingles)) - np.repeat(np.cumsum(counts) - counts, counts)
             keep = at < np.repeat(counts - -(-SIMILAR * counts // 100) + 1, counts)
             whose = whose[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(shingles[order][keep].view(np.int64)), pa.array(classes[whose]), pa.array(counts[whose].astype(np.int32))], names=["shingle", "class", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(shingles[keep].view(np.int64)), pa.array(classes[whose]), pa.array(counts[whose].astype(np.int32))], names=["shingle", "class", "n"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links, last = Links(), None
@@ -299,122 +361,128 @@ def chains(docs: DataFrame, sketch: np.ndarray, bits: int) -> DataFrame:
 
 
 def filter_of(nodes: DataFrame, bits: int) -> np.ndarray:
-    """A Bloom filter of 2**bits bits over all nodes."""
+    """A Bloom filter of 2**bits bits over nodes with their least id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(1 << bits, bool)
         for b in batches:
-            for at in spots(b.column("node").to_numpy(), bits):
+            for at in spots(b.column("node").to_numpy(), b.column("least").fill_null(0).to_numpy(), bits):
                 flags[at] = True
-        own = np.flatnonzero(flags)
-        yield pa.RecordBatch.from_arrays([pa.array(own)], names=["at"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(flags))], names=["at"])
 
     flags = np.zeros(1 << bits, bool)
-    packed = nodes.select("node").mapInArrow(run, "at long").groupBy(F.shiftright("at", 12).alias("part")).agg(F.collect_set(F.col("at").bitwiseAND(4095).cast("int")).alias("own"))
+    packed = nodes.select("node", "least").mapInArrow(run, "at long").groupBy(F.shiftright("at", 12).alias("part")).agg(F.collect_set(F.col("at").bitwiseAND(4095).cast("int")).alias("own"))
     for r in packed.toLocalIterator():  # 2**bits flags at most
         flags[(r.part << 12) + np.array(r.own, np.int64)] = True
     return np.packbits(flags, bitorder="little")
 
 
-def spots(classes: np.ndarray, bits: int) -> list[np.ndarray]:
-    x = mixed(classes.view(np.uint64))
+def spots(classes: np.ndarray, ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    x = mixed(classes.view(np.uint64) ^ ids.astype(np.int64).view(np.uint64) * MIX)
     return [(x >> np.uint64(64 - bits)).astype(np.int64), ((x * MIX) >> np.uint64(64 - bits)).astype(np.int64)]
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, tokens: the shingle sets (bytes) of the classes ``nodes``, each once or a few times."""
+    """node, data: the shingle sets (bytes) of the classes ``nodes`` (node, least), each from the document with the least id."""
     bits = min(24, max(12, int(nodes.count() * 16).bit_length()))
     known = docs.sparkSession.sparkContext.broadcast(filter_of(nodes, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, flags, seen = Shingler(), known.value, set()
-
-        def wanted(classes: np.ndarray) -> np.ndarray:
-            out = np.ones(len(classes), bool)
-            for at in spots(classes, bits):
-                out &= (flags[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-            for i in np.flatnonzero(out).tolist():
-                c = int(classes[i])
-                out[i] = c not in seen
-                seen.add(c)
-            return out
-
+        shingler, flags = Shingler(), known.value
         for b in slices(batches, "text"):
-            if len(seen) > REMEMBERED:
-                seen.clear()
+            ids = b.column("id").fill_null(0).to_numpy()
+
+            def wanted(classes: np.ndarray, ids: np.ndarray = ids) -> np.ndarray:
+                out = np.ones(len(classes), bool)
+                for at in spots(classes, ids, bits):
+                    out &= (flags[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                return out
+
             shingles, counts, classes = shingler(b.column("text").to_pylist(), wanted)
             ends, raw = (np.cumsum(counts) * 8).tolist(), shingles.tobytes()
             rows = [(c, raw[e - 8 * n : e]) for c, e, n in zip(classes.tolist(), ends, counts.tolist(), strict=True) if n]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["node", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["node", "data"])
 
-    return docs.mapInArrow(run, "node long, tokens binary")
+    return docs.mapInArrow(run, "node long, data binary")
 
 
-def meet(placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between the similar sets that ``placed`` (node, slot, label, asks) brings together in a slot; equal labels count as linked."""
-    rows = placed.join(sets, "node").select("slot", "node", "label", "asks", "tokens")
-    parts = max(1, -(-placed.count() // BLOCK_DOCS))
+def meet(placed: DataFrame, data: DataFrame, kernel) -> DataFrame:
+    """Links (a, b) that ``kernel`` finds between what ``placed`` (node, slot, label, asks) brings together in a slot; equal labels count as linked."""
+    rows = placed.join(data, "node").select("slot", "node", "label", "asks", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bool, bytes]] = []
+        held: dict[int, tuple[int | None, bool, bytes]] = {}
         slot = None
 
         def done() -> list[tuple[int, int]]:
             if len(held) < 2:
                 return []
             links = Links()
-            for node, label, _, _ in held:
+            for node, (label, *_) in held.items():
                 if label is not None:
                     links.join(node, label)
-            return joined([h[0] for h in held], [np.frombuffer(h[3], np.uint64) for h in held], links, [h[2] for h in held])
+            kernel(list(held), [x[2] for x in held.values()], links, [x[1] for x in held.values()])
+            return links.edges()
 
         out: list[tuple[int, int]] = []
         for b in batches:
-            for s, *row in zip(*(b.column(k).to_pylist() for k in ("slot", "node", "label", "asks", "tokens")), strict=True):
+            for s, node, *row in zip(*(b.column(k).to_pylist() for k in ("slot", "node", "label", "asks", "data")), strict=True):
                 if s != slot:
                     out += done()
-                    held, slot = [], s
-                held.append(tuple(row))
+                    held, slot = {}, s
+                held[node] = tuple(row)
             yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["a", "b"], dtype="int64"), preserve_index=False)
             out = []
         yield pa.RecordBatch.from_pandas(pd.DataFrame(done(), columns=["a", "b"], dtype="int64"), preserve_index=False)
 
-    return rows.repartitionByRange(parts, "slot").sortWithinPartitions("slot").mapInArrow(run, "a long, b long")
+    return rows.repartitionByRange("slot").sortWithinPartitions("slot").mapInArrow(run, "a long, b long")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles and component_id of every document."""
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    bits = min(SKETCH_MOST, max(SKETCH_LEAST, int(docs.count() * 4).bit_length()))
-    seen = stored(survey(texts, bits), "shingles")
-    rows = seen.where("part is null").select("id", "class", "n")
-    classes = rows.where("n > 0").groupBy("class").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
-    near = components(chains(texts, sketch_of(seen, bits), bits), "near")
-    own = stored(near.join(classes.select(F.col("class").alias("node"), "n"), "node"), "candidates")
-    sizes = own.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    large = stored(sizes.where("blocks > 1"), "large")
+def tie(own: DataFrame, data: DataFrame, kernel, size: str, name: str) -> DataFrame:
+    """Links (a, b) that tie together whatever ``kernel`` finds similar within the components of ``own`` (node, root, n).
+
+    ``size`` is the SQL that gives a component's number of blocks; ``data`` (node, data) is what the kernel reads."""
+    blocks = own.groupBy("root").agg(F.expr(size).cast("int").alias("blocks"))
+    large = stored(blocks.where("blocks > 1"), name)
     own = lookup(own, large, "root", "node", "left").select("node", "root", F.coalesce("blocks", F.lit(1)).alias("blocks"))
-    own = stored(own.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")), "placed")
-    sets = stored(sets_of(texts, own).dropDuplicates(["node"]), "sets")
+    own = stored(own.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")), name)
     slot = lambda *by: F.xxhash64(*by).alias("slot")
     # pivots: some classes of a large component's first block go to all of its blocks
     first = own.where("blocks > 1 and block = 0").where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(max(1, BLOCK_DOCS // PIVOTS))) == 0)
     everywhere = first.select("node", "root", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)).alias("block"))
     placed = own.select("node", "root", "block").unionAll(everywhere)
-    links = stored(meet(placed.select("node", slot("root", "block"), F.lit(None).cast("long").alias("label"), F.lit(True).alias("asks")), sets), "links")
-    if large.limit(1).count():
-        # In components of several blocks, all classes outside the largest one so far are held against every block.
-        tied = components(links, "tied").withColumnRenamed("root", "label")
-        wide = stored(own.where("blocks > 1").join(tied, "node", "left").withColumn("label", F.coalesce("label", "node")), "wide")
-        counts = wide.groupBy("root", "label").agg(F.count(F.lit(1)).alias("members"))
-        most = counts.groupBy("root").agg(F.max(F.struct("members", F.col("label").alias("top"))).alias("x")).select("root", "x.top")
-        loose = stored(lookup(wide, most, "root", "node").where("label != top").select("node", "root", "label", "blocks"), "loose")
-        turns = loose.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("turns"))
-        turned = lookup(loose, turns, "root", "node").select("node", "root", "label", "turns", F.pmod(F.xxhash64("node", F.lit(4)), F.col("turns")).cast("int").alias("turn"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        asked = turned.select("node", slot("root", "block", "turn"), "label", F.lit(True).alias("asks"))
-        held = lookup(wide, turns, "root", "node").select("node", "root", "label", "block", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
-        both = asked.unionAll(held.select("node", slot("root", "block", "turn"), "label", F.lit(False).alias("asks"))).groupBy("node", "slot").agg(F.first("label").alias("label"), F.max("asks").alias("asks"))
-        links = links.unionAll(stored(meet(both, sets), "links"))
+    links = stored(meet(placed.select("node", slot("root", "block"), F.lit(None).cast("long").alias("label"), F.lit(True).alias("asks")), data, kernel), name)
+    if not large.limit(1).count():
+        return links
+    # In components of several blocks, all classes outside the largest one so far are held against every block.
+    tied = components(links, name).withColumnRenamed("root", "label")
+    wide = stored(own.where("blocks > 1").join(tied, "node", "left").withColumn("label", F.coalesce("label", "node")), name)
+    counts = wide.groupBy("root", "label").agg(F.count(F.lit(1)).alias("members"))
+    most = counts.groupBy("root").agg(F.max(F.struct("members", F.col("label").alias("top"))).alias("x")).select("root", "x.top")
+    loose = stored(lookup(wide, most, "root", "node").where("label != top").select("node", "root", "label", "blocks"), name)
+    turns = loose.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("turns"))
+    turned = lookup(loose, turns, "root", "node").select("node", "root", "label", "turns", F.pmod(F.xxhash64("node", F.lit(4)), F.col("turns")).cast("int").alias("turn"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    asked = turned.select("node", slot("root", "block", "turn"), "label", F.lit(True).alias("asks"))
+    held = lookup(wide, turns, "root", "node").select("node", "root", "label", "block", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
+    both = asked.unionAll(held.select("node", slot("root", "block", "turn"), "label", F.lit(False).alias("asks"))).groupBy("node", "slot").agg(F.first("label").alias("label"), F.max("asks").alias("asks"))
+    return links.unionAll(stored(meet(stored(both, name), data, kernel), name))
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_shingles and component_id of every document."""
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    seen = stored(survey(texts, BITS), "shingles")
+    rows = seen.where("part is null").select("id", "class", "n")
+    classes = rows.where("n > 0").groupBy("class").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    of_class = classes.select(F.col("class").alias("node"), "least", "n")
+    near = components(chains(texts, sketch_of(seen, BITS), BITS), "near")
+    own = stored(near.join(of_class, "node"), "candidates")
+    # a class's profile comes from the document with its least id
+    profiles = seen.where("n > 0").select(F.col("class").alias("node"), F.col("id").alias("least"), "data").join(own.select("node", "least"), ["node", "least"]).select("node", "data")
+    profiles = profiles.unionAll(seen.where("n > 0 and id is null").select(F.col("class").alias("node"), "data").join(own.where("least is null").select("node"), "node"))
+    may = components(tie(own, stored(profiles, "profiles"), bounded, f"ceil(count(1) / {BLOCK_DOCS})", "bound"), "may")
+    own = stored(may.join(of_class, "node"), "similar")
+    links = tie(own, stored(sets_of(texts, own), "sets"), tried, f"greatest(ceil(count(1) / {BLOCK_DOCS}), ceil(sum(n) / {BLOCK_SHINGLES}))", "links")
     tied = components(links, "final").select(F.col("node").alias("class"), "root")
     named = classes.join(tied, "class", "left").where("copies > 1 or root is not null")  # all others are alone
     least = named.where("root is not null").groupBy("root").agg(F.min("least").alias("component"))

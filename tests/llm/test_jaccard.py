@@ -59,8 +59,9 @@ def corpus(seed, groups, size, vocabulary=4000, length=(3, 90), edits=6):
 ODD = [None, "", " \t\n", "one", "One", "one two three four", "one two three four five", "ONE two\nthree four  five", "a b c d é", "a b c d É", "x " * 9000, "x " * 8999]
 
 
-@pytest.mark.parametrize("block, pivots, shingle_cap", [(200, 16, 500_000), (6, 2, 500_000), (200, 16, 60)])
-def test_against_all_pairs(spark, monkeypatch, block, pivots, shingle_cap):
+@pytest.mark.parametrize("block, pivots, shingle_cap, finish", [(200, 16, 500_000, 500_000), (6, 2, 500_000, 0), (200, 16, 60, 500_000)])
+def test_against_all_pairs(spark, monkeypatch, block, pivots, shingle_cap, finish):
+    monkeypatch.setattr(J, "FINISH", finish)
     monkeypatch.setattr(J, "BLOCK_DOCS", block)
     monkeypatch.setattr(J, "PIVOTS", pivots)
     monkeypatch.setattr(J, "BLOCK_SHINGLES", shingle_cap)
@@ -89,7 +90,27 @@ def test_trie_finds_what_all_pairs_find():
             assert {trie.order[i] for i in hits} == want and len(hits) == len(want)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("finish", [0, 1000])
+def test_components(spark, monkeypatch, finish):
+    monkeypatch.setattr(J, "FINISH", finish)
     edges = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 100), (300, 300), (7, 1000), (-5, 400), (400, 401)]
     got = {r.node: r.root for r in J.components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
     assert got == {i: 0 for i in range(51)} | {1000: 0, 100: 100, 200: 100, -5: -5, 400: -5, 401: -5}
+    assert J.components(spark.createDataFrame([], "a long, b long"), "t").count() == 0
+
+
+def test_profiles_never_part_similar_sets():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 5, 40, 300, 2500):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+            keep = a[rng.random(len(a)) > rng.choice([0, 0.05, 0.12])]
+            b = np.unique(np.concatenate([keep, rng.integers(0, 2**63, rng.integers(0, n // 9 + 1), dtype=np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            rows = [len(x).to_bytes(4, "little") + J.profile(x).tobytes() for x in (a, b)]
+            links = J.Links()
+            if len(b):
+                J.bounded([1, 2], rows, links, [True, True])
+            found = links.edges()
+            if both and 100 * both >= 80 * (len(a) + len(b) - both):
+                assert found == [(2, 1)]
