@@ -38,6 +38,7 @@ from sparkobs.llm.common import slices, stored
 WORDS, SIMILAR = 5, 80  # shingle length; least similarity in percent
 BITS, CHUNK = 20, 14  # of the sketch, and of a part of it
 BLOCK_DOCS, BLOCK_SHINGLES, PIVOTS, SALTS = 400, 1_000_000, 25, 8
+PROFILE_DOCS = 2000  # of a block of profiles, which are a small part of the sets
 REMEMBERED = 600_000
 FINISH = 500_000  # edges of 16 bytes that one task ties together
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -438,17 +439,18 @@ def meet(placed: DataFrame, data: DataFrame, kernel) -> DataFrame:
     return rows.repartitionByRange("slot").sortWithinPartitions("slot").mapInArrow(run, "a long, b long")
 
 
-def tie(own: DataFrame, data: DataFrame, kernel, size: str, name: str) -> DataFrame:
+def tie(own: DataFrame, data: DataFrame, kernel, most: int, name: str) -> DataFrame:
     """Links (a, b) that tie together whatever ``kernel`` finds similar within the components of ``own`` (node, root, n).
 
-    ``size`` is the SQL that gives a component's number of blocks; ``data`` (node, data) is what the kernel reads."""
-    blocks = own.groupBy("root").agg(F.expr(size).cast("int").alias("blocks"))
+    A block has ``most`` classes and BLOCK_SHINGLES times most / BLOCK_DOCS shingles or so; ``data`` (node, data) is what the kernel reads."""
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / most), F.ceil(F.sum("n") * BLOCK_DOCS / (BLOCK_SHINGLES * most)))
+    blocks = own.groupBy("root").agg(size.cast("int").alias("blocks"))
     large = stored(blocks.where("blocks > 1"), name)
     own = lookup(own, large, "root", "node", "left").select("node", "root", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     own = stored(own.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")), name)
     slot = lambda *by: F.xxhash64(*by).alias("slot")
     # pivots: some classes of a large component's first block go to all of its blocks
-    first = own.where("blocks > 1 and block = 0").where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(max(1, BLOCK_DOCS // PIVOTS))) == 0)
+    first = own.where("blocks > 1 and block = 0").where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(max(1, most // PIVOTS))) == 0)
     everywhere = first.select("node", "root", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)).alias("block"))
     placed = own.select("node", "root", "block").unionAll(everywhere)
     links = stored(meet(placed.select("node", slot("root", "block"), F.lit(None).cast("long").alias("label"), F.lit(True).alias("asks")), data, kernel), name)
@@ -458,9 +460,9 @@ def tie(own: DataFrame, data: DataFrame, kernel, size: str, name: str) -> DataFr
     tied = components(links, name).withColumnRenamed("root", "label")
     wide = stored(own.where("blocks > 1").join(tied, "node", "left").withColumn("label", F.coalesce("label", "node")), name)
     counts = wide.groupBy("root", "label").agg(F.count(F.lit(1)).alias("members"))
-    most = counts.groupBy("root").agg(F.max(F.struct("members", F.col("label").alias("top"))).alias("x")).select("root", "x.top")
-    loose = stored(lookup(wide, most, "root", "node").where("label != top").select("node", "root", "label", "blocks"), name)
-    turns = loose.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("turns"))
+    leading = counts.groupBy("root").agg(F.max(F.struct("members", F.col("label").alias("top"))).alias("x")).select("root", "x.top")
+    loose = stored(lookup(wide, leading, "root", "node").where("label != top").select("node", "root", "label", "blocks"), name)
+    turns = loose.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("turns"))
     turned = lookup(loose, turns, "root", "node").select("node", "root", "label", "turns", F.pmod(F.xxhash64("node", F.lit(4)), F.col("turns")).cast("int").alias("turn"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     asked = turned.select("node", slot("root", "block", "turn"), "label", F.lit(True).alias("asks"))
     held = lookup(wide, turns, "root", "node").select("node", "root", "label", "block", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
@@ -480,9 +482,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     # a class's profile comes from the document with its least id
     profiles = seen.where("n > 0").select(F.col("class").alias("node"), F.col("id").alias("least"), "data").join(own.select("node", "least"), ["node", "least"]).select("node", "data")
     profiles = profiles.unionAll(seen.where("n > 0 and id is null").select(F.col("class").alias("node"), "data").join(own.where("least is null").select("node"), "node"))
-    may = components(tie(own, stored(profiles, "profiles"), bounded, f"ceil(count(1) / {BLOCK_DOCS})", "bound"), "may")
+    may = components(tie(own, stored(profiles, "profiles"), bounded, PROFILE_DOCS, "bound"), "may")
     own = stored(may.join(of_class, "node"), "similar")
-    links = tie(own, stored(sets_of(texts, own), "sets"), tried, f"greatest(ceil(count(1) / {BLOCK_DOCS}), ceil(sum(n) / {BLOCK_SHINGLES}))", "links")
+    links = tie(own, stored(sets_of(texts, own), "sets"), tried, BLOCK_DOCS, "links")
     tied = components(links, "final").select(F.col("node").alias("class"), "root")
     named = classes.join(tied, "class", "left").where("copies > 1 or root is not null")  # all others are alone
     least = named.where("root is not null").groupBy("root").agg(F.min("least").alias("component"))

@@ -63,6 +63,7 @@ ODD = [None, "", " \t\n", "one", "One", "one two three four", "one two three fou
 def test_against_all_pairs(spark, monkeypatch, block, pivots, shingle_cap, finish):
     monkeypatch.setattr(J, "FINISH", finish)
     monkeypatch.setattr(J, "BLOCK_DOCS", block)
+    monkeypatch.setattr(J, "PROFILE_DOCS", 2 * block)
     monkeypatch.setattr(J, "PIVOTS", pivots)
     monkeypatch.setattr(J, "BLOCK_SHINGLES", shingle_cap)
     texts = ODD + corpus(1, 40, 6) + corpus(2, 3, 60, length=(60, 90), edits=4) + ODD[:5]
