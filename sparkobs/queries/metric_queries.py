@@ -52,7 +52,7 @@ def metric_counter_rate(spark, sf_dir):
 @query("""deltas AS (SELECT series, time_us, ingested, value, lag(time_us) OVER (PARTITION BY series ORDER BY time_us, ingested) AS start_us FROM first_points)
 SELECT series, round(sum(value), 4) AS total, count(*) FILTER (WHERE start_us < time_us) AS timed FROM deltas GROUP BY 1""".replace("deltas AS", ", deltas AS", 1), A.POINTS)
 def metric_delta_sum(spark, sf_dir):
-    own = A.points(spark, sf_dir).where("ingested < 1000000")
+    own = A.first_points(spark, sf_dir)
     own = own.withColumn("start_us", F.lag("time_us").over(K.Window.partitionBy("series").orderBy("time_us", "ingested")))
     return K.increases(own, cumulative=False).groupBy("series").agg(F.round(F.sum("inc"), 4).alias("total"), F.count("elapsed_us").alias("timed"))
 

@@ -216,7 +216,7 @@ def sql_panel(spark, sf_dir):
 @query("SELECT series, count(*) AS n, count(*) FILTER (WHERE d > 300000000) AS late, max(d) AS longest FROM (SELECT series, time_us - lag(time_us) OVER (PARTITION BY series ORDER BY time_us, event_id) AS d FROM first_points) WHERE d IS NOT NULL GROUP BY 1", A.POINTS)
 def win_lag_delta(spark, sf_dir):
     w = Window.partitionBy("series").orderBy("time_us", "event_id")
-    own = A.points(spark, sf_dir).where("ingested < 1000000").withColumn("d", c("time_us") - F.lag("time_us").over(w)).where("d is not null")
+    own = A.first_points(spark, sf_dir).withColumn("d", c("time_us") - F.lag("time_us").over(w)).where("d is not null")
     return own.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.count_if(c("d") > 300_000_000).alias("late"), F.max("d").alias("longest"))
 
 

@@ -71,10 +71,15 @@ logs AS (SELECT 'shop' AS namespace, ts_us AS time_us, 1704067200000000 + (event
   event_type || ' user ' || user_id || ' took ' || k || ' ms' AS body, event_type AS service, user_id, event_id, k FROM lev)"""
 
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metric points on the dense clock: 8 series with gaps, some points sent again later with another value."""
+def first_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric points on the dense clock, each as first sent: 8 series with gaps."""
     own = events(spark, sf_dir).where("event_id % 500 >= 60 and event_id % 2000 >= 140")
-    first = own.select((F.col("event_id") % 8).cast("int").alias("series"), F.col("dense_us").alias("time_us"), F.col("event_id").alias("ingested"), F.col("value").alias("value"), "event_id")
+    return own.select((F.col("event_id") % 8).cast("int").alias("series"), F.col("dense_us").alias("time_us"), F.col("event_id").alias("ingested"), F.col("value").alias("value"), "event_id")
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first points, and some of them sent again later with another value."""
+    first = first_points(spark, sf_dir)
     again = first.where("event_id % 20 = 0").select("series", "time_us", (F.col("ingested") + 1_000_000).alias("ingested"), (F.col("value") + 1).alias("value"), "event_id")
     return first.unionByName(again)
 
@@ -87,7 +92,7 @@ points AS (SELECT * FROM first_points UNION ALL SELECT series, time_us, ingested
 
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cumulative counter per series that starts again every 50 points; integer hundredths keep sums exact."""
-    own = points(spark, sf_dir).where("ingested < 1000000")
+    own = first_points(spark, sf_dir)
     n = own.withColumn("nth", F.row_number().over(Window.partitionBy("series").orderBy("time_us", "event_id")) - 1).withColumn("life", F.floor(F.col("nth") / 50).cast("long"))
     total = F.sum(F.round(F.col("value") * 100).cast("long")).over(Window.partitionBy("series", "life").orderBy("nth"))
     start = F.min("time_us").over(Window.partitionBy("series", "life"))
