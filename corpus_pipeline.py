@@ -1,7 +1,7 @@
 """A corpus pipeline over ``documents``: each stage applies one operator to all that the stage before it kept.
 
-All stages but the last return the columns of documents. Rows without an id pass the join unless a document with an
-id is like them; repeated rows stay once there; null texts pass all stages but mixing, which takes no empty document.
+All stages but the last return the columns of documents. Of rows that are alike one stays at the join, with an id
+if any has one; repeated rows stay once there; null texts pass all stages but mixing, which takes no empty document.
 """
 
 from __future__ import annotations
@@ -22,10 +22,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of similar shingle sets tie together, the one with the smallest id."""
-    groups = jaccard.join(docs)
-    like_another = groups.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("like")).distinct()
-    return docs.join(like_another, docs.doc_id.eqNullSafe(like_another.like), "left_anti").distinct()
+    """Of rows that links of similar shingle sets tie together, the one with the smallest id."""
+    return jaccard.first_of_each(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

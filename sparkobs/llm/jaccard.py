@@ -30,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from sparkobs.llm.common import slices, stored
@@ -275,24 +275,24 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
 
 def survey(docs: DataFrame, bits: int) -> DataFrame:
-    """A row for each document (id, class, n, its profile as data) and rows with parts of the sketch of all shingles (part, turn, counts as data)."""
+    """A row for each document (id, mark, class, n, its profile as data) and rows with parts of the sketch of all shingles (part, turn, counts as data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, sketch, names = Shingler(), np.zeros(1 << bits, np.uint32), ["id", "class", "n", "part", "turn", "data"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        shingler, sketch, names = Shingler(), np.zeros(1 << bits, np.uint32), ["id", "mark", "class", "n", "part", "turn", "data"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for b in slices(batches, "text"):
             shingles, counts, classes = shingler(b.column("text").to_pylist())
             sketch += np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
             ends = np.cumsum(counts).tolist()
             profiles = [n.to_bytes(4, "little") + profile(shingles[e - n : e]).tobytes() if n else None for e, n in zip(ends, counts.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(classes), pa.array(counts), *(pa.nulls(len(counts), t) for t in types[3:5]), pa.array(profiles, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("mark"), pa.array(classes), pa.array(counts), *(pa.nulls(len(counts), t) for t in types[4:6]), pa.array(profiles, pa.binary())], names=names)
         pack = zstandard.ZstdCompressor(level=1).compress
         parts = [(k, p) for k, p in enumerate(sketch.reshape(-1, 1 << CHUNK)) if p.any()]
         turn = int(xxhash.xxh32_intdigest(sketch.tobytes()) % 64)
         n = len(parts)
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in types[:3]), pa.array([k for k, _ in parts], pa.int32()), pa.array([turn] * n, pa.int32()), pa.array([pack(p.tobytes()) for _, p in parts], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in types[:4]), pa.array([k for k, _ in parts], pa.int32()), pa.array([turn] * n, pa.int32()), pa.array([pack(p.tobytes()) for _, p in parts], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "id long, class long, n long, part int, turn int, data binary")
+    return docs.mapInArrow(run, "id long, mark long, class long, n long, part int, turn int, data binary")
 
 
 def sketch_of(rows: DataFrame, bits: int) -> np.ndarray:
@@ -470,11 +470,11 @@ def tie(own: DataFrame, data: DataFrame, kernel, most: int, name: str) -> DataFr
     return links.unionAll(stored(meet(stored(both, name), data, kernel), name))
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles and component_id of every document."""
+def grouped(docs: DataFrame, key: str, text: str, mark: Column) -> DataFrame:
+    """id, mark, class, n, group (null for a text that is like no other) and component (the group's least id, else the own id) of every document."""
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    seen = stored(survey(texts, BITS), "shingles")
-    rows = seen.where("part is null").select("id", "class", "n")
+    seen = stored(survey(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), mark.cast("long").alias("mark")), BITS), "shingles")
+    rows = seen.where("part is null").select("id", "mark", "class", "n")
     classes = rows.where("n > 0").groupBy("class").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     of_class = classes.select(F.col("class").alias("node"), "least", "n")
     near = components(chains(texts, sketch_of(seen, BITS), BITS), "near")
@@ -488,6 +488,21 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     tied = components(links, "final").select(F.col("node").alias("class"), "root")
     named = classes.join(tied, "class", "left").where("copies > 1 or root is not null")  # all others are alone
     least = named.where("root is not null").groupBy("root").agg(F.min("least").alias("component"))
-    named = lookup(named, least, "root", "class", "left").select("class", F.coalesce("component", "least").alias("component"))
+    named = lookup(named, least, "root", "class", "left").select("class", F.coalesce("root", "class").alias("group"), F.coalesce("component", "least").alias("component"))
     out = lookup(rows.withColumnRenamed("id", "doc"), stored(named, "named"), "class", "doc", "left").withColumnRenamed("doc", "id")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    return out.select("id", "mark", "class", "n", "group", F.coalesce("component", "id").alias("component"))
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_shingles and component_id of every document."""
+    return grouped(docs, key, text, F.lit(None)).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of the rows of a group the one with the least key, null last; ties go by the text's class, then by the row's hash. All other rows once."""
+    mark = F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))  # alone, the hash passes over nulls
+    alike = stored(grouped(docs, key, text, mark).where("group is not null").select("id", "mark", "class", "group").distinct(), "alike")
+    first = alike.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "class", "mark")).alias("x")).select("group", F.col("x.id").alias("first_id"), F.col("x.mark").alias("first_mark"))
+    gone = lookup(alike, first, "group", "mark").where("not (id <=> first_id and mark = first_mark)").select(F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark"))
+    marked = docs.withColumn("__mark", mark)
+    return marked.join(gone, (marked["__mark"] == gone.gone_mark) & F.col(key).cast("long").eqNullSafe(gone.gone_id), "left_anti").drop("__mark").distinct()
