@@ -2,8 +2,9 @@
 
 Smoothed variable-order Markov models of accepted and of rejected urls are counted over all rows that a rule decides.
 A url's score is the difference of the two log-likelihoods divided by its length; the threshold is calibrated on the
-rule-decided urls that the other fold's models score. Counts live in hashed tables of 2**BITS cells, so what is
-broadcast has a fixed size however many urls there are.
+rule-decided urls that the other fold's models score. The longest context and its character are five bytes and so an
+exact number, a gram, of which the shorter ones are parts: counts of grams are a table that grows with the urls, shorter
+contexts are sums over it, and a url's score is the sum of its grams' ratios, found by a join.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no rule, and is scored as its text
 (null: the empty text, score 0); repeated urls get equal verdicts; very long urls are scored whole; without urls of
@@ -16,12 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkobs.llm.common import slices, stored
+from sparkobs.llm.jaccard import lookup
+
 #: Contexts of 0 to ORDER characters; the weight of the longest is its count over the count plus STRENGTH.
-BITS, ORDER, STRENGTH, ALPHABET = 18, 4, 4.0, 256
+ORDER, STRENGTH, ALPHABET = 4, 4.0, 256
+UNIT = float(1 << 30)  # ratios are added as integers of this fraction of a bit, in any order with the same sum
+MODELS = [f"{f}_{m}" for f in (0, 1) for m in (0, 1)]  # fold, and 0 rejected or 1 accepted
 BINS, SPAN = 2000, 4.0  # the calibration's histogram: scores in bits a character, from -SPAN to SPAN
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -45,52 +50,53 @@ def ruled(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Col
 
 
 def grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each order a row of context cells and a row of context-and-character cells, over all characters; and whose each is."""
+    """For each order a row of contexts and a row of contexts with their character, over all characters; and whose each is."""
     raw = [b"\x02" * ORDER + u.encode() + b"\x03" for u in urls]
     sizes = np.array([len(r) - ORDER for r in raw], np.int64)
-    data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
+    data = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
     whose = np.repeat(np.arange(len(urls)), sizes)
     at = np.arange(len(whose)) + ORDER * (whose + 1)
-    contexts, chars, key = [], [], np.zeros(len(at), np.uint64)
-    for order in range(ORDER + 1):
-        if order:
-            key = (key + data[at - order] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(29)
-        seed = key * np.uint64(2 * order + 3)
-        contexts.append((seed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS))
-        joined = (seed ^ (data[at] + np.uint64(257))) * np.uint64(0x94D049BB133111EB)
-        chars.append(((joined ^ joined >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS))
-    return np.array(contexts, np.int64), np.array(chars, np.int64), whose
+    contexts = np.zeros((ORDER + 1, len(at)), np.int64)
+    for order in range(1, ORDER + 1):
+        contexts[order] = contexts[order - 1] | data[at - order] << 8 * (order - 1)
+    return contexts, contexts << 8 | data[at], whose
+
 
+def gram_rows(urls: DataFrame) -> DataFrame:
+    """uid, times, accepted, fold, gram and n of the distinct grams of each of ``urls``."""
 
-def likelihood(contexts: np.ndarray, chars: np.ndarray, seen: np.ndarray, follows: np.ndarray) -> np.ndarray:
-    """Log2 probability of each character: longer contexts correct shorter ones by how often they occurred."""
-    p = np.full(contexts.shape[1], 1 / ALPHABET)
-    for c, x in zip(contexts, chars, strict=True):
-        n, k = seen[c], follows[x]
-        p = (np.minimum(k, n) + STRENGTH * p) / (n + STRENGTH)
-    return np.log2(p)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "url", 1_000_000):
+            _, chars, whose = grams(b.column("url").to_pylist())
+            order = np.lexsort((chars[ORDER], whose))
+            own, whose = chars[ORDER][order], whose[order]
+            starts = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (whose[1:] != whose[:-1])]))
+            rows = pa.array(whose[starts])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in kept), pa.array(own[starts]), pa.array(np.diff(np.append(starts, len(own))))], names=[*kept, "gram", "n"])
 
+    kept = ["uid", "times", "accepted", "fold"]
+    return urls.select("url", *kept).mapInArrow(run, "uid long, times long, accepted int, fold int, gram long, n long")
 
-def count(decided: DataFrame) -> DataFrame:
-    """fold, model (0 rejected, 1 accepted), kind (0 contexts, 1 characters), cell, n: over all decided urls."""
-    size = 1 << BITS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((2, 2, 2, size), np.int64)
-        for b in batches:
-            group = 2 * b.column("fold").to_numpy(zero_copy_only=False) + b.column("accepted").to_numpy(zero_copy_only=False)
-            urls = b.column("url").to_pylist()
-            for g in range(4):
-                own = [urls[i] for i in np.flatnonzero(group == g)]
-                for part in range(0, len(own), 4000):
-                    contexts, chars, _ = grams(own[part : part + 4000])
-                    totals[g >> 1, g & 1, 0] += np.bincount(contexts.ravel(), minlength=size)
-                    totals[g >> 1, g & 1, 1] += np.bincount(chars.ravel(), minlength=size)
-        live = np.flatnonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(live), pa.array(totals.ravel()[live])], names=["cell", "n"])
-
-    return decided.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+def part(of: str, bytes_: int, skip: int = 0) -> Column:
+    """The last ``bytes_`` bytes of a gram without the ``skip`` last ones."""
+    return F.shiftright(of, 8 * skip).bitwiseAND(F.lit((1 << 8 * bytes_) - 1).cast("long"))
+
+
+def ratios(counts: DataFrame) -> DataFrame:
+    """gram and the ratio of its log-likelihoods, in units, by the models of fold 0, of fold 1 and of both; ``counts``: gram and a count for each of MODELS.
+
+    Longer contexts correct shorter ones by how often they occurred."""
+    names = [*MODELS, "both_0", "both_1"]
+    counts = counts.select("gram", *MODELS, *((F.col(f"0_{m}") + F.col(f"1_{m}")).alias(f"both_{m}") for m in (0, 1)))
+    out = counts.select("gram", *(F.lit(1 / ALPHABET).alias(f"p_{x}") for x in names))
+    for order in range(ORDER + 1):
+        for kind, size, key in (("n", order, part("gram", order, 1)), ("k", order + 1, part("gram", order + 1))):
+            sums = counts.groupBy(key.alias("key")).agg(*(F.sum(x).alias(f"{kind}_{x}") for x in names))
+            # keys of up to two bytes are 65,536 at most
+            out = out.withColumn("key", key).join(F.broadcast(sums) if size <= 2 else sums, "key").drop("key")
+        out = out.select("gram", *(((F.col(f"k_{x}") + STRENGTH * F.col(f"p_{x}")) / (F.col(f"n_{x}") + STRENGTH)).alias(f"p_{x}") for x in names))
+    return out.select("gram", *(F.round((F.log2(f"p_{f}_1") - F.log2(f"p_{f}_0")) * UNIT).cast("long").alias(f"r_{f}") for f in ("0", "1", "both")))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id", url: str = "url") -> DataFrame:
@@ -98,57 +104,29 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id",
     host, path = split(F.col("url"))
     rule, says = ruled(F.col("host"), F.col("path"), rules)
     rows = pages.select(F.col(key).cast("long").alias("id"), F.col(url).cast("string").alias("url")).withColumns({"host": host, "path": path}).withColumns({"rule": rule, "says": says})
-    decided = rows.where("says is not null").select(F.coalesce("url", F.lit("")).alias("url"), (F.col("says") == "allow").cast("int").alias("accepted"), F.pmod(F.xxhash64("url"), F.lit(2)).cast("int").alias("fold"))
-    size = 1 << BITS
-    found = count(decided).toPandas()  # 8 * 2**BITS cells at most
-    totals = np.zeros(8 * size, np.int64)
-    totals[found.cell.to_numpy()] = found.n.to_numpy()
-    totals = totals.reshape(2, 2, 2, size)
-    spark = pages.sparkSession
-    usable = all(totals[:, m, 0].sum() for m in (0, 1))
-    tables = spark.sparkContext.broadcast(totals)
-
-    def scores(urls: list[str], counted: np.ndarray) -> np.ndarray:
-        out = []
-        for i in range(0, len(urls), 4000):
-            own = urls[i : i + 4000]
-            contexts, chars, whose = grams(own)
-            ratio = likelihood(contexts, chars, *counted[1]) - likelihood(contexts, chars, *counted[0])
-            out.append(np.bincount(whose, ratio, len(own)) / np.bincount(whose, minlength=len(own)))
-        return np.concatenate(out) if out else np.zeros(0)
-
-    threshold = 0.0
-    if usable:
-        def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            totals = tables.value
-            tally = np.zeros((2, BINS), np.int64)
-            for b in batches:
-                fold, accepted, urls = b.column("fold").to_numpy(), b.column("accepted").to_numpy(), b.column("url").to_pylist()
-                for f in (0, 1):
-                    at = np.flatnonzero(fold == f)
-                    s = scores([urls[i] for i in at], totals[1 - f])  # by the fold that did not count them
-                    bins = np.clip((s + SPAN) * BINS / (2 * SPAN), 0, BINS - 1).astype(np.int64)
-                    np.add.at(tally, (accepted[at], bins), 1)
-            live = np.flatnonzero(tally)
-            yield pa.RecordBatch.from_arrays([pa.array(live), pa.array(tally.ravel()[live])], names=["bin", "n"])
-
-        hist = decided.mapInArrow(binned, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # 2 * BINS rows at most
-        tally = np.zeros(2 * BINS)
-        tally[hist.bin.to_numpy()] = hist.n.to_numpy()
-        rejected, accepted = tally.reshape(2, BINS)
-        # a cut before bin b rejects what lies below: the mean of both error rates is least, ties go to the cut nearest 0
-        errors = np.concatenate([[0], np.cumsum(accepted)]) / max(1, accepted.sum()) + 1 - np.concatenate([[0], np.cumsum(rejected)]) / max(1, rejected.sum())
-        cuts = np.arange(BINS + 1) * 2 * SPAN / BINS - SPAN
-        best = np.flatnonzero(errors <= errors.min() + 1e-12)
-        threshold = float(cuts[best[np.abs(cuts[best]).argmin()]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = tables.value.sum(0)
-        for b in batches:
-            urls = pc.fill_null(b.column("url"), "").to_pylist()
-            s = scores(urls, whole) if usable else np.zeros(len(urls))
-            s = np.where(np.array([not u for u in urls], bool), 0.0, s)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "host", "path", "rule", "says")), pa.array(s)], names=["id", "host", "path", "rule", "says", "score"])
-
-    judged = rows.mapInArrow(run, "id long, host string, path string, rule string, says string, score double")
+    fold = F.pmod(F.xxhash64("url"), F.lit(2)).cast("int")
+    urls = rows.groupBy(F.coalesce("url", F.lit("")).alias("url")).agg(F.count(F.lit(1)).alias("times"), F.max(F.when(F.col("says").isNotNull(), (F.col("says") == "allow").cast("int"))).alias("accepted"))
+    urls = stored(urls.select(F.monotonically_increasing_id().alias("uid"), "url", "times", "accepted", fold.alias("fold")), "urls")
+    usable = urls.where("accepted is not null").select("accepted").distinct().count() == 2
+    if not usable:
+        return rows.select(F.col("id").alias(key), "host", "path", "rule", F.coalesce("says", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
+    own = stored(gram_rows(urls), "grams")
+    # grams of urls that no rule decides count 0, and get the ratios of their shorter contexts
+    counts = own.groupBy("gram").agg(*(F.sum(F.when((F.col("fold") == int(x[0])) & (F.col("accepted") == int(x[2])), F.col("n") * F.col("times")).otherwise(0)).alias(x) for x in MODELS))
+    table = stored(ratios(stored(counts, "counts")), "ratios")
+    added = lookup(own.select("uid", "gram", "n"), table, "gram", "uid").groupBy("uid").agg(F.sum("n").alias("size"), *(F.sum(F.col("n") * F.col(f"r_{f}")).alias(f"r_{f}") for f in ("0", "1", "both")))
+    other = F.when(F.col("fold") == 0, F.col("r_1")).otherwise(F.col("r_0"))  # by the fold that did not count them
+    score = F.when(F.col("url") == "", 0.0).otherwise(F.col("r_both") / UNIT / F.col("size"))
+    scored = stored(urls.join(added, "uid").select("url", "times", "accepted", (other / UNIT / F.col("size")).alias("across"), score.alias("score")), "scored")
+    at = F.least(F.greatest(F.floor((F.col("across") + SPAN) * BINS / (2 * SPAN)), F.lit(0)), F.lit(BINS - 1))
+    hist = scored.where("accepted is not null").groupBy((F.col("accepted") * BINS + at).cast("long").alias("bin")).agg(F.sum("times").alias("n")).toPandas()  # 2 * BINS rows at most
+    tally = np.zeros(2 * BINS)
+    tally[hist.bin.to_numpy()] = hist.n.to_numpy()
+    rejected, accepted = tally.reshape(2, BINS)
+    # a cut before bin b rejects what lies below: the mean of both error rates is least, ties go to the cut nearest 0
+    errors = np.concatenate([[0], np.cumsum(accepted)]) / max(1, accepted.sum()) + 1 - np.concatenate([[0], np.cumsum(rejected)]) / max(1, rejected.sum())
+    cuts = np.arange(BINS + 1) * 2 * SPAN / BINS - SPAN
+    best = np.flatnonzero(errors <= errors.min() + 1e-12)
+    threshold = float(cuts[best[np.abs(cuts[best]).argmin()]])
+    judged = lookup(rows.withColumn("url", F.coalesce("url", F.lit(""))), scored.select("url", "score"), "url", "id", "left")
     return judged.select(F.col("id").alias(key), "host", "path", "rule", F.coalesce("says", F.when(F.col("score") >= threshold, "allow").otherwise("block")).alias("verdict"), "score")
