@@ -61,7 +61,10 @@ def metric_delta_sum(spark, sf_dir):
 s AS (SELECT DISTINCT series FROM dd), grid AS (SELECT series, e FROM s, ends)
 SELECT g.e // 1000 - 60000 AS bucket_ms, count(*) AS series, round(sum(p.value), 4) AS total FROM grid g ASOF JOIN dd p ON g.series = p.series AND g.e > p.time_us WHERE p.time_us >= g.e - 300000000 GROUP BY 1""", A.POINTS)
 def metric_last_asof(spark, sf_dir):
-    own = K.last_at(K.deduped(A.points(spark, sf_dir)), MIN, A.ORIGIN_US, A.ORIGIN_US + 86_400_000_000)
+    points = A.points(spark, sf_dir)
+    low, high = points.agg(F.min("time_us"), F.max("time_us")).first()
+    start, end = (A.ORIGIN_US, A.ORIGIN_US) if low is None else (low, high + K.STALE_US)  # no end past that has a value
+    own = K.last_at(K.deduped(points), MIN, start, end)
     return own.groupBy("bucket_ms").agg(F.count(F.lit(1)).alias("series"), F.round(F.sum("value"), 4).alias("total"))
 
 

@@ -31,3 +31,17 @@ FIRST = ["metric_counter_increase", "metric_rate_spread", "metric_counter_rate",
 def test_points_past_the_millionth_event(spark, tmp_path, name):
     write_events(spark, tmp_path, 998_000, 6000)
     against_twin(spark, tmp_path, name)
+
+
+def test_last_values_past_the_first_day(spark, tmp_path):
+    write_events(spark, tmp_path, 0, 30_000)
+    ends = [r.bucket_ms for r in QUERIES["metric_last_asof"](spark, str(tmp_path)).collect()]
+    last = 1_704_067_200_000 + 29_999 * 7000
+    assert last - 60_000 <= max(ends) <= last + 310_000
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    day = "1704067200000000 + 86400000000 + 1"
+    assert day in ORACLE_SQL["metric_last_asof"]
+    want = db.sql(ORACLE_SQL["metric_last_asof"].replace(day, "1704067200000000 + 3 * 86400000000 + 1")).fetchall()
+    got = QUERIES["metric_last_asof"](spark, str(tmp_path)).select("bucket_ms", "series", "total").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
