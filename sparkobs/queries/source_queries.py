@@ -22,8 +22,12 @@ def shared(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/dataset-{uuid.uuid4().hex}"
 
 
+#: Events whose ids share a chunk may share an export, so no export outgrows a value.
+CHUNK = 10_000
+
+
 def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans as OTLP JSON exports, one for each service and day."""
+    """Spans as OTLP JSON exports by service, day and chunk of events."""
     attribute = lambda k, v: F.struct(F.lit(k).alias("key"), F.struct(v.alias("stringValue")).alias("value"))
     code = F.array_position(F.array(*map(F.lit, otlp.STATUSES)), c("status")) - 1
     kind = F.array_position(F.array(*map(F.lit, otlp.KINDS)), c("kind")) - 1
@@ -32,7 +36,7 @@ def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
         (c("start_us") * 1000).cast("string").alias("startTimeUnixNano"), (c("start_us") * 1000 + F.round(c("duration_ms") * 1_000_000).cast("long")).cast("string").alias("endTimeUnixNano"),
         F.array(attribute("http.route", c("http_route")), attribute("peer.service", c("peer_service"))).alias("attributes"), F.struct(code.cast("int").alias("code")).alias("status"),
     )
-    groups = A.spans(spark, sf_dir).groupBy("service", F.floor(c("start_us") / 86_400_000_000).alias("day")).agg(F.collect_list(item).alias("spans"))
+    groups = A.spans(spark, sf_dir).groupBy("service", F.floor(c("start_us") / 86_400_000_000).alias("day"), F.floor(c("event_id") / CHUNK).alias("chunk")).agg(F.collect_list(item).alias("spans"))
     resource = F.struct(F.array(attribute("service.name", c("service")), attribute("service.namespace", F.lit("shop"))).alias("attributes"))
     scopes = F.array(F.struct(F.struct(F.lit("lib").alias("name")).alias("scope"), c("spans")))
     return groups.select(F.to_json(F.struct(F.array(F.struct(resource.alias("resource"), scopes.alias("scopeSpans"))).alias("resourceSpans"))).alias("value"))
@@ -69,13 +73,17 @@ def alert_states(spark, sf_dir):
     return alerts.notices(minutes.select("service", c("bucket_ms").alias("time_ms"), (c("error_rate") >= 20).alias("breach")), RULE)
 
 
-@query("SELECT series, count(*) AS n FROM points GROUP BY 1", A.POINTS)
-def otlp_points(spark, sf_dir):
-    """Gauge and cumulative points through OTLP JSON; the streams of one name are told apart by their attributes."""
+def exported_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points as OTLP JSON exports by chunk of events."""
     point = F.struct((c("time_us") * 1000).cast("string").alias("timeUnixNano"), c("value").alias("asDouble"), F.array(F.struct(F.lit("series").alias("key"), F.struct(c("series").cast("string").alias("intValue")).alias("value"))).alias("attributes"))
-    groups = A.points(spark, sf_dir).groupBy(F.pmod("event_id", F.lit(64)).alias("g")).agg(F.collect_list(point).alias("dataPoints"))
+    groups = A.points(spark, sf_dir).groupBy(F.floor(c("event_id") / CHUNK).alias("chunk")).agg(F.collect_list(point).alias("dataPoints"))
     metric = F.struct(F.lit("value").alias("name"), F.lit("ms").alias("unit"), F.struct("dataPoints").alias("gauge"))
     scopes = F.array(F.struct(F.array(metric).alias("metrics")))
-    exports = groups.select(F.to_json(F.struct(F.array(F.struct(scopes.alias("scopeMetrics"))).alias("resourceMetrics"))).alias("value"))
-    own = otlp.points(exports).where("type = 'gauge'").groupBy("series").agg(F.min(c("attributes")["series"].cast("int")).alias("name"), F.count(F.lit(1)).alias("n"))
+    return groups.select(F.to_json(F.struct(F.array(F.struct(scopes.alias("scopeMetrics"))).alias("resourceMetrics"))).alias("value"))
+
+
+@query("SELECT series, count(*) AS n FROM points GROUP BY 1", A.POINTS)
+def otlp_points(spark, sf_dir):
+    """Gauge and cumulative points through OTLP JSON; the streams of one name are told apart by their attributes."""
+    own = otlp.points(exported_points(spark, sf_dir)).where("type = 'gauge'").groupBy("series").agg(F.min(c("attributes")["series"].cast("int")).alias("name"), F.count(F.lit(1)).alias("n"))
     return own.select(c("name").alias("series"), "n")

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from sparkobs.queries import ORACLE_SQL, QUERIES
+from sparkobs.queries import source_queries as S
 
 
 def write_events(spark, folder, first, n):
@@ -45,3 +46,19 @@ def test_last_values_past_the_first_day(spark, tmp_path):
     want = db.sql(ORACLE_SQL["metric_last_asof"].replace(day, "1704067200000000 + 3 * 86400000000 + 1")).fetchall()
     got = QUERIES["metric_last_asof"](spark, str(tmp_path)).select("bucket_ms", "series", "total").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_no_export_outgrows_its_chunk(spark, tmp_path):
+    write_events(spark, tmp_path, 0, 70_000)  # 14,000 of a service and day
+    folder = str(tmp_path)
+    most = lambda exports, item: exports.selectExpr(f"size(split(value, '{item}')) - 1 AS n").agg({"n": "max"}).first()[0]
+    assert most(S.exported(spark, folder), '"traceId"') <= 10_000
+    assert most(S.exported_points(spark, folder), '"asDouble"') <= 20_000
+    for name in ("otlp_spans", "otlp_points"):
+        against_twin(spark, tmp_path, name)
+
+
+def test_top_two_keep_no_lists(spark, tmp_path):
+    write_events(spark, tmp_path, 0, 3000)
+    assert "collect_list" not in QUERIES["agg_top_two"](spark, str(tmp_path))._jdf.queryExecution().toString()
+    against_twin(spark, tmp_path, "agg_top_two")
