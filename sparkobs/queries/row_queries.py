@@ -53,6 +53,12 @@ def log_template(spark, sf_dir):
     return own.select("event_id", X.template(c("body")).alias("template"))
 
 
+@query()
+def log_template_all(spark, sf_dir):
+    """The template of every body, cut at 500 bytes (tested against brute force)."""
+    return doc_logs(spark, sf_dir).select("event_id", X.template(c("body")).alias("template"))
+
+
 @query()
 def log_template_whole(spark, sf_dir):
     """Templates of all bodies, cut at 500 bytes (tested against brute force)."""

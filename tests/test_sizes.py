@@ -62,3 +62,13 @@ def test_top_two_keep_no_lists(spark, tmp_path):
     write_events(spark, tmp_path, 0, 3000)
     assert "collect_list" not in QUERIES["agg_top_two"](spark, str(tmp_path))._jdf.queryExecution().toString()
     against_twin(spark, tmp_path, "agg_top_two")
+
+
+def test_every_document_has_a_template(spark, tmp_path):
+    rows = [(1, "took 5 ms"), (2, "é" * 300 + " 7"), (3, "x" * 499 + "é tail"), (4, "no digits " * 80), (5, None), (6, "")]
+    own = spark.createDataFrame([(i, t, "web") for i, t in rows], "doc_id long, text string, source string")
+    own.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.event_id: r.template for r in QUERIES["log_template_all"](spark, str(tmp_path)).collect()}
+    short = {r.event_id: r.template for r in QUERIES["log_template"](spark, str(tmp_path)).collect()}
+    assert set(got) == {i for i, _ in rows} and set(short) == {1, 6} and short == {i: got[i] for i in short}
+    assert (got[2], got[3], got[4], got[5]) == ("é" * 250, "x" * 499, ("no digits " * 80)[:500], None)
