@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -27,17 +28,40 @@ def texts():
 def test_codec_matches_the_library(oracle):
     own = bpe.codec(open(PATH, "rb").read(), P.PATTERN)
     given = [t or "" for t in texts()]
-    ids, counts, said = own.encode(given)
-    at = 0
-    for t, n, s, d in zip(given, counts, said, own.decode(ids, counts), strict=True):
-        assert ids[at : at + n].tolist() == oracle.encode_ordinary(t) and s == " ".join(map(str, ids[at : at + n])) and d == t.encode()
-        at += n
+    for _ in range(2):  # learnt, then remembered
+        ids, counts = own.encode(given)
+        at = 0
+        for t, n, s, d in zip(given, counts, own.decimal(ids, counts), own.decode(ids, counts), strict=True):
+            assert ids[at : at + n].tolist() == oracle.encode_ordinary(t) and s.decode() == " ".join(map(str, ids[at : at + n])) and d == t.encode()
+            at += n
 
 
-def test_long_piece_over_the_heap_as_over_the_matrix():
+def test_forgetting_and_other_patterns_change_nothing(oracle, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 40)
+    given = [t or "" for t in texts()]
+    own = bpe.Codec(open(PATH, "rb").read(), P.PATTERN)
+    for i in range(0, len(given), 7):
+        ids, counts = own.encode(given[i : i + 7])
+        assert ids.tolist() == [x for t in given[i : i + 7] for x in oracle.encode_ordinary(t)]
+    other = r"\S+ \S+|\s+|\S+"  # a blank need not start a piece
+    plain = tiktoken.Encoding("other", pat_str=other, mergeable_ranks=oracle._mergeable_ranks, special_tokens={})
+    ids, _ = bpe.Codec(open(PATH, "rb").read(), other).encode(given)
+    assert ids.tolist() == [x for t in given for x in plain.encode_ordinary(t)]
+
+
+def test_very_long_pieces(oracle):
+    own = bpe.codec(open(PATH, "rb").read(), P.PATTERN)
+    rng = random.Random(3)
+    given = ["".join(rng.choice("etaoinshrdlu") for _ in range(60_000)), "=" * 50_001, "漢字" * 9000, "aab" * 9001, "".join(rng.choice("ab") for _ in range(20_000))]
+    ids, _ = own.encode(given)
+    assert ids.tolist() == [x for t in given for x in oracle.encode_ordinary(t)]
+
+
+def test_long_pieces_merge_as_short_ones():
     own = bpe.codec(open(PATH, "rb").read(), P.PATTERN)
     for p in (b"thethermometerly" * 12, b"a" * 200, bytes(range(200))):
-        assert own._merge_long(p).tolist() == own.merge([p])[0].tolist()
+        want = own.merge([p])[0].tolist()
+        assert own._merge_long(np.frombuffer(p, np.uint8)).tolist() == want
 
 
 def test_dataframes(spark, oracle):
