@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable, Sequence
 from functools import reduce
+from operator import and_, or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -48,18 +50,46 @@ def ascii_edges(pattern: str) -> str:
     return pattern.replace(r"\b", EDGE)
 
 
+#: What a body must hold, in lower case, for a pattern to match: one text of each group.
+_KEYS = ("api", "access", "auth", "client", "passw", "secret", "token")
+REDACTION_HINTS = ((_KEYS, ("=",)), (("bearer", "basic"),), (_KEYS, (":", "=")), (_KEYS, ('"',)))
+TEMPLATE_HINTS = ((("-",),), ((":",),), ((".",),), (("@",),), (), (("/",),), (('"',),), ())
+
+
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``x``, which is computed once however often ``f`` names it."""
+    return F.transform(F.array(x), f)[0]
+
+
+def replaced(body: Column, patterns: Sequence[tuple[str, str]], hints: Sequence[tuple]) -> Column:
+    """``body`` under all patterns in turn; a pattern whose hints are missing is not tried."""
+
+    def one(x: Column, pattern: str, to: str, groups: tuple) -> Column:
+        new = lambda y: F.regexp_replace(y, F.lit(ascii_edges(pattern)), F.lit(to))
+        if not groups:
+            return new(x)
+        there = lambda low: reduce(and_, (reduce(or_, (F.contains(low, F.lit(h)) for h in g)) for g in groups))
+        letters = any(h.isalpha() for g in groups for h in g)
+        told = (lambda y: let(F.lower(y), there)) if letters else there
+        return let(x, lambda y: F.when(told(y), new(y)).otherwise(y))
+
+    for (pattern, to), groups in zip(patterns, hints, strict=True):
+        body = one(body, pattern, to, groups)
+    return body
+
+
 def redacted(body: Column) -> Column:
-    return reduce(lambda x, p: F.regexp_replace(x, F.lit(ascii_edges(p[0])), F.lit(p[1])), REDACTIONS, body)
+    return replaced(body, REDACTIONS, REDACTION_HINTS)
 
 
 def head(body: Column, limit: int = BODY_BYTES) -> Column:
     """The first ``limit`` bytes, without a split character at the end."""
-    raw = F.substring(body.cast("binary"), 1, limit)
-    return F.when(F.octet_length(body) <= limit, body).otherwise(F.regexp_replace(F.make_valid_utf8(raw.cast("string")), "�+$", ""))
+    cut = lambda x: F.regexp_replace(F.make_valid_utf8(F.substring(x.cast("binary"), 1, limit).cast("string")), "�+$", "")
+    return let(body, lambda x: F.when(F.octet_length(x) <= limit, x).otherwise(cut(x)))
 
 
 def plain_template(body: Column) -> Column:
-    return reduce(lambda x, p: F.regexp_replace(x, F.lit(ascii_edges(p[0])), F.lit(p[1])), TEMPLATES, body)
+    return replaced(body, TEMPLATES, TEMPLATE_HINTS)
 
 
 @F.pandas_udf(T.StringType())
@@ -86,9 +116,11 @@ def json_template(bodies: pd.Series) -> pd.Series:
 
 def template(body: Column, with_json: bool = True) -> Column:
     """The pattern a body follows. Only bodies that start with a brace can leave the JVM."""
-    own = head(body)
-    flat = plain_template(own)
-    return F.when(own.startswith("{"), F.coalesce(json_template(F.when(own.startswith("{"), own)), flat)).otherwise(flat) if with_json else flat
+    flat = plain_template(head(body))
+    if not with_json:
+        return flat
+    own = head(F.when(F.startswith(body, F.lit("{")), body))
+    return F.coalesce(json_template(own), flat)
 
 
 def severity(text: Column, number: Column) -> Column:

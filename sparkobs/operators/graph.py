@@ -6,19 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkobs.operators import measures as M
+from sparkobs.operators.rollups import touched
 from sparkobs.plans.panels import bucket
 
 c = F.col
 
 
-def call_edges(spans: DataFrame, seconds: int = 60) -> DataFrame:
-    """Caller and callee of spans whose parent is in another service, by the child's time."""
+def call_edges(spans: DataFrame, seconds: int = 60, parents: DataFrame | None = None) -> DataFrame:
+    """Caller and callee of spans whose parent (of ``parents``, where ``spans`` are a part of all) is in another service, by the child's time."""
     child = spans.where("parent_span_id <> '' and service <> ''")
-    parent = spans.where("service <> ''").select("namespace", "trace_id", c("span_id").alias("parent_span_id"), c("service").alias("caller"))
+    parent = (spans if parents is None else parents).where("service <> ''").select("namespace", "trace_id", c("span_id").alias("parent_span_id"), c("service").alias("caller"))
     own = child.join(parent, ["namespace", "trace_id", "parent_span_id"]).where("caller <> service")
     return own.groupBy("namespace", bucket(c("start_us"), seconds).alias("bucket_ms"), "caller", c("service").alias("callee")).agg(F.count(F.lit(1)).alias("calls"), F.avg("duration_ms").alias("avg_ms"), M.error_rate().alias("error_rate"))
 
 
+def edge_hours(new: DataFrame, spans: DataFrame) -> DataFrame:
+    """Hours whose call edges new spans change: their own, and those of the children that wait for them among all ``spans``."""
+    parents = new.select("namespace", "trace_id", c("span_id").alias("parent_span_id")).distinct()
+    children = spans.where("parent_span_id <> ''").join(parents, ["namespace", "trace_id", "parent_span_id"], "left_semi")
+    return touched(new, "start_us").union(touched(children, "start_us")).distinct()
+
+
 def messaging_edges(spans: DataFrame, seconds: int = 60) -> DataFrame:
     """Producers and consumers of one destination in one bucket; both sides are aggregated before they meet."""
     key = ["namespace", "bucket_ms", "messaging_destination", "messaging_system"]

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkobs.operators import measures as M
 from sparkobs.plans.panels import bucket
 
 c = F.col
+DAY_US = 86_400_000_000
 
 
 def health(rollup: DataFrame) -> DataFrame:
@@ -57,18 +58,25 @@ def volume_anomalies(spans: DataFrame, start_us: int, width_us: int, seconds: in
 
 
 def merged_episodes(episodes: DataFrame) -> DataFrame:
-    """Episodes (namespace, service, kind, start_us, end_us, title) of one kind that touch become one; the newest title stands."""
-    from pyspark.sql import Window
+    """Episodes (namespace, service, kind, start_us, end_us, title) of one kind that touch become one; the newest title stands.
 
-    w = Window.partitionBy("namespace", "service", "kind").orderBy("start_us", "end_us")
-    seen = F.max("end_us").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    own = episodes.withColumn("new", F.coalesce(c("start_us") > seen, F.lit(True)).cast("int")).withColumn("nth", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return own.groupBy("namespace", "service", "kind", "nth").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.max_by("title", F.struct("start_us", "end_us")).alias("title")).drop("nth")
+    Episodes that start on one day merge first, so a kind's last pass sees what each day left and not every episode."""
 
+    def merged(rows: DataFrame, *key: str) -> DataFrame:
+        w = Window.partitionBy(*key).orderBy("start_us", "end_us")
+        seen = F.max("end_us").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        own = rows.withColumn("new", F.coalesce(c("start_us") > seen, F.lit(True)).cast("int")).withColumn("nth", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return own.groupBy(*key, "nth").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.max_by(F.struct("title", "newest"), "newest").alias("x")).select(*key, "start_us", "end_us", "x.*")
 
-def alert_env(rollup: DataFrame, end_ms: int, minutes: int = 5) -> DataFrame:
-    """Means of the last minutes by service and their change in percent against the minutes before (0 without a baseline)."""
+    key = ["namespace", "service", "kind"]
+    days = episodes.select(*key, "start_us", "end_us", "title", F.struct("start_us", "end_us").alias("newest"), F.floor(c("start_us") / DAY_US).alias("day"))
+    return merged(merged(days, *key, "day"), *key).drop("newest")
+
+
+def alert_env(rollup: DataFrame, end_ms: Column | None = None, minutes: int = 5) -> DataFrame:
+    """Means of the last minutes (up to ``end_ms``, else the newest there are) by service, and their change in percent against the minutes before (0 without a baseline)."""
     width = minutes * 60_000
+    end_ms = rollup.agg(F.max("bucket_ms") + 60_000).scalar() if end_ms is None else end_ms
     mean = lambda rows, suffix: rows.groupBy("namespace", "service").agg(F.avg("error_rate").alias(f"error_rate{suffix}"), F.avg("p95_ms").alias(f"p95_ms{suffix}"), F.avg("spans").alias(f"spans{suffix}"))
     now = mean(rollup.where((c("bucket_ms") >= end_ms - width) & (c("bucket_ms") < end_ms)), "")
     before = mean(rollup.where((c("bucket_ms") >= end_ms - 2 * width) & (c("bucket_ms") < end_ms - width)), "_before")
@@ -81,8 +89,8 @@ def top_values(df: DataFrame, columns: list[str], top: int = 5) -> DataFrame:
     """The most frequent values of every column, counted in one pass over the unpivoted rows."""
     long = df.select(*(c(x).cast("string").alias(x) for x in columns)).unpivot([], columns, "name", "value").where("value is not null")
     counts = long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("name").agg(F.slice(F.array_sort(F.collect_list(F.struct((-c("n")).alias("m"), "value"))), 1, top).alias("x"))
-    return best.select("name", F.posexplode("x").alias("rank", "x")).select("name", (c("rank") + 1).alias("rank"), c("x.value").alias("value"), (-c("x.m")).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "value"))  # each task keeps its own first ``top`` before the shuffle
+    return counts.withColumn("rank", rank).where(c("rank") <= top).select("name", "rank", "value", "n")
 
 
 def diagnosis(df: DataFrame, entries: dict[str, Column]) -> DataFrame:

@@ -20,8 +20,10 @@ def is_error() -> Column:
     return F.col("status") == "ERROR"
 
 
-def log_error() -> Column:
-    return F.upper("severity").isin("ERROR", "FATAL", "CRITICAL")
+def log_error(number: Column | None = None) -> Column:
+    """By severity's name, or by its number where the records carry one."""
+    named = F.upper("severity").isin("ERROR", "FATAL", "CRITICAL")
+    return named if number is None else F.coalesce(number >= 17, F.lit(False)) | F.coalesce(named, F.lit(False))
 
 
 def error_rate(bad: Column | None = None) -> Column:

@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed order of severity bands.
-BANDS = ("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL")
+from sparkobs.functions.text import BANDS
+
 ALL = object()
 
 
@@ -23,6 +23,31 @@ def contains(field: Column, text: str) -> Column:
     return F.contains(F.lower(field), F.lit(text.lower()))
 
 
+#: The field that free text searches, by signal.
+SEARCHED = {"logs": "body", "spans": "operation"}
+
+
+def free_text(signal: str, text: str) -> Column:
+    return contains(F.col(SEARCHED[signal]), text)
+
+
+#: Attribute keys that have a typed column of their own, as adapters and sources name them.
+DEDICATED = {
+    "service.name": "service", "service.namespace": "namespace", "service.version": "service_version", "http.route": "http_route", "http.response.status_code": "status_code", "http.status_code": "status_code",
+    "messaging.destination.name": "messaging_destination", "messaging.system": "messaging_system", "peer.service": "peer_service",
+}
+
+
+def attribute(df: DataFrame, key: str, bag: str = "attributes") -> Column:
+    """The value of an attribute: of its own column where ``df`` has one, else out of the bag, a map or JSON text."""
+    own = DEDICATED.get(key)
+    if own in df.columns:
+        return F.col(own)
+    if dict(df.dtypes)[bag] == "string":
+        return F.expr(f"try_variant_get(try_parse_json(`{bag}`), '$[\"{key}\"]', 'string')")
+    return F.try_element_at(bag, F.lit(key))
+
+
 def lacks(field: Column, text: str) -> Column:
     return negated(contains(field, text))
 

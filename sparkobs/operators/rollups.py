@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkobs.operators import measures as M
 from sparkobs.plans.panels import bucket
 
-ROUTES = 128
+ROUTES, HOUR_US = 128, 3_600_000_000
 ZERO_BIN = -2_147_483_648
 c = F.col
 
@@ -26,6 +26,15 @@ def affected(new: DataFrame, time: str) -> DataFrame:
     return by_minute(new, time).select("namespace", "bucket_ms", "service").distinct()
 
 
+def touched(new: DataFrame, time: str) -> DataFrame:
+    """Hours that new rows touch; a batch has few."""
+    return new.select(F.floor(c(time) / HOUR_US).cast("long").alias("hour")).distinct()
+
+
+def in_hours(df: DataFrame, hours: DataFrame, time: str) -> DataFrame:
+    return df.withColumn("__hour", F.floor(c(time) / HOUR_US).cast("long")).join(hours.select(c("hour").alias("__hour")), "__hour", "left_semi").drop("__hour")
+
+
 def restricted(df: DataFrame, keys: DataFrame | None, time: str) -> DataFrame:
     own = by_minute(df, time)
     return own if keys is None else own.join(keys, ["namespace", "bucket_ms", "service"], "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkobs.functions import text
@@ -14,20 +14,20 @@ SHOWN = 2000
 
 def logs_tail(logs: DataFrame, n: int = 100, search: str | None = None) -> DataFrame:
     """The newest records; bodies are redacted before they are searched or shown."""
-    own = logs.withColumn("body", text.redacted(c("body")))
+    own = logs.withColumn("body", text.redacted(c("body")))  # guarded: bodies without a telling word keep out of the patterns
     own = own if search is None else own.where(F.contains(F.lower("body"), F.lit(search.lower())))
     return own.orderBy(F.desc("time_us"), F.desc("event_id")).limit(n).withColumn("body", F.left("body", F.lit(SHOWN)))
 
 
 def log_patterns(logs: DataFrame, top: int = 20) -> DataFrame:
-    """The most frequent templates with their leading severity and service. Counts by template, severity and service come first; nothing else is shuffled."""
+    """The most frequent templates with their leading severity and service: one scan, then counts by template, severity and service alone."""
     own = logs.withColumn("template", text.template(text.redacted(c("body")), with_json=False))
     cells = own.groupBy("template", "severity", "service").agg(F.count(F.lit(1)).alias("n"))
-    best = cells.groupBy("template").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "template").limit(top)
-    kept = cells.join(F.broadcast(best.select("template")), "template", "left_semi")
-    levels = kept.groupBy("template", "severity").agg(F.sum("n").alias("m")).groupBy("template").agg(F.max(F.struct("m", text.severity_rank(c("severity")), "severity"))["severity"].alias("severity"))
-    services = kept.groupBy("template", "service").agg(F.sum("n").alias("m")).groupBy("template").agg(F.min(F.struct((-c("m")).alias("m"), "service"))["service"].alias("service"))
-    return best.join(levels, "template").join(services, "template").select("template", "n", "severity", "service")
+    levels, services = Window.partitionBy("template", "severity"), Window.partitionBy("template", "service")
+    level = F.struct(F.sum("n").over(levels).alias("m"), text.severity_rank(c("severity")).alias("r"), "severity")
+    service = F.struct((-F.sum("n").over(services)).alias("m"), "service")
+    own = cells.withColumns({"level": level, "by": service}).groupBy("template").agg(F.sum("n").alias("n"), F.max("level").alias("level"), F.min("by").alias("by"))
+    return own.orderBy(F.desc("n"), "template").limit(top).select("template", "n", c("level.severity").alias("severity"), c("by.service").alias("service"))
 
 
 def pattern_trend(logs: DataFrame, patterns: DataFrame, seconds: int, start_us: int, end_us: int) -> DataFrame:
@@ -62,3 +62,27 @@ def exemplars(spans: DataFrame, chosen: Column, n: int = 20, candidates: int = 6
     near = spans.where(chosen).orderBy(F.desc("duration_ms"), "span_id").limit(candidates)
     ids = near.groupBy("namespace", "trace_id").agg(F.max("duration_ms").alias("d")).orderBy(F.desc("d"), "trace_id").limit(n)
     return roots(spans.join(F.broadcast(ids.select("namespace", "trace_id")), ["namespace", "trace_id"], "left_semi"))
+
+
+def trace_logs(logs: DataFrame, trace_id: str, n: int = 200) -> DataFrame:
+    """Records that carry a trace's id, redacted, oldest first."""
+    own = logs.where(c("trace_id") == trace_id).orderBy("time_us", "event_id").limit(n)
+    return own.withColumn("body", F.left(text.redacted(c("body")), F.lit(SHOWN)))
+
+
+def notable_trace(spans: DataFrame) -> DataFrame:
+    """The latest trace with an error, or the latest one where there is none."""
+    return roots(spans).orderBy(F.desc(c("status") == "ERROR"), F.desc("start_us"), "trace_id").limit(1)
+
+
+def carried_forward(df: DataFrame, by: str, order: list[str], value: Column, width: Column, to: str) -> DataFrame:
+    """Adds ``to``, the last non-null ``value`` up to each row of ``by`` in ``order``.
+
+    ``width`` cuts a group into runs along its order; the last value of each run is carried over runs, of which there are few,
+    and then to the rows, so no task sorts a whole group."""
+    own = df.withColumns({"__run": width, "__v": value})
+    ends = own.groupBy(by, "__run").agg(F.max_by("__v", F.when(c("__v").isNotNull(), F.struct(*order))).alias("__end"))
+    before = ends.select(c(by).alias("__by"), c("__run").alias("__of"), F.last("__end", ignorenulls=True).over(Window.partitionBy(by).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    here = F.last("__v", ignorenulls=True).over(Window.partitionBy(by, "__run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = own.withColumn("__here", here).join(before, c(by).eqNullSafe(c("__by")) & c("__run").eqNullSafe(c("__of")), "left")
+    return rows.select(*df.columns, F.coalesce("__here", "__before").alias(to))

@@ -27,12 +27,14 @@ def dim(field: Column) -> Column:
 def folded(df: DataFrame, name: str, order: list[Column], top: int, **aggregates: Column) -> DataFrame:
     """Replaces all but the ``top`` values of ``name`` by "Other (k)" in the raw rows, so that any measure stays exact.
 
-    ``order`` ranks the values over the whole window by ``aggregates``. The top list has ``top`` rows, the label one."""
-    groups = df.groupBy(name).agg(*(c.alias(k) for k, c in aggregates.items()))
+    Null and the empty text are one value. ``order`` ranks the values over the whole window by ``aggregates``; the top
+    list has ``top`` rows, and the number of the others is a scalar subquery."""
+    own = df.withColumn(name, dim(F.col(name)))
+    groups = own.groupBy(name).agg(*(c.alias(k) for k, c in aggregates.items()))
     best = groups.orderBy(*order).limit(top).select(F.col(name).alias("__top"))
-    label = groups.agg(F.concat(F.lit("Other ("), (F.count(F.lit(1)) - top).cast("string"), F.lit(")")).alias("__other"))
-    rows = df.join(F.broadcast(best), F.col(name) == F.col("__top"), "left").crossJoin(F.broadcast(label))
-    return rows.withColumn(name, F.when(F.col("__top").isNotNull(), F.col(name)).otherwise(F.col("__other"))).drop("__top", "__other")
+    others = groups.agg((F.count(F.lit(1)) - top).cast("string")).scalar()
+    rows = own.join(F.broadcast(best), F.col(name) == F.col("__top"), "left")
+    return rows.withColumn(name, F.when(F.col("__top").isNotNull(), F.col(name)).otherwise(F.concat(F.lit("Other ("), others, F.lit(")")))).drop("__top")
 
 
 def timeseries(df: DataFrame, time: str, seconds: int, measures: dict[str, Column], by: str | None = None) -> DataFrame:
@@ -78,6 +80,36 @@ def table_trends(df: DataFrame, time: str, seconds: int, dims: list[str], measur
     return kept.groupBy(*(F.col(f"__{d}").alias(d) for d in dims), bucket(F.col(time), seconds).alias("bucket_ms")).agg(*(m.alias(k) for k, m in measures.items()))
 
 
+def capped_distribution(cells: DataFrame, cap: int = 20_000) -> DataFrame:
+    """A heatmap's cells (bucket_ms, lo, n), at most ``cap``, newest first; the oldest bucket goes if the cap cuts it."""
+    shown = cells.orderBy(F.desc("bucket_ms"), "lo").limit(cap + 1)
+    cut = shown.agg(F.when(F.count(F.lit(1)) > cap, F.min("bucket_ms"))).scalar()
+    return shown.where(cut.isNull() | (F.col("bucket_ms") > cut))
+
+
+def capped_series(series: DataFrame, by: str, top: int, buckets: int = 2000) -> DataFrame:
+    """A time series' points in order, at most ``buckets`` for each of the shown values and the others."""
+    return series.orderBy("bucket_ms", by).limit(buckets * (top + 1))
+
+
+def reduced(series: DataFrame, how: str, value: str = "value") -> DataFrame:
+    """One number of a bucketed series: its last, mean, min, max or sum; buckets without a value do not count."""
+    whole = {"last": F.max_by(value, F.when(F.col(value).isNotNull(), F.col("bucket_ms"))), "mean": F.avg(value), "min": F.min(value), "max": F.max(value), "sum": F.sum(value)}
+    return series.agg(whole[how].alias(value))
+
+
+TIMES, NUMBERS = ("timestamp", "timestamp_ntz", "date"), ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+
+
+def roles(df: DataFrame) -> dict[str, str]:
+    """What each column of an author's result is for: the first time is the axis, numbers are measures, all else are dimensions."""
+    out: dict[str, str] = {}
+    for name, kind in df.dtypes:
+        bare = kind.split("(")[0]
+        out[name] = "time" if bare in TIMES and "time" not in out.values() else "measure" if bare in NUMBERS else "dimension"
+    return out
+
+
 def frame(df: DataFrame, cap: int = 1000) -> DataFrame:
     """Results as they leave: NaN and infinities are null, at most ``cap`` rows and one more that says there are others."""
     finite = lambda c: F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(F.col(c)).alias(c)

@@ -98,6 +98,23 @@ def ts_topn_fold(spark, sf_dir):
     return V.timeseries(own, "start_us", DAY, {"p90": r6(M.quantile(c("duration_ms"), 0.9))}, "operation")
 
 
+@query(f"""best AS (SELECT coalesce(peer_service, '') AS d FROM spans GROUP BY 1 ORDER BY count(*) DESC, d LIMIT 3)
+SELECT {DAYS} AS bucket_ms, coalesce(b.d, 'Other (' || ((SELECT count(DISTINCT coalesce(peer_service, '')) FROM spans) - 3) || ')') AS peer_service, {NAMED_ERROR} AS error_rate
+FROM spans s LEFT JOIN best b ON coalesce(s.peer_service, '') = b.d GROUP BY 1, 2""".replace("best AS", ", best AS", 1), A.SPANS)
+def ts_fold_nulls(spark, sf_dir):
+    """Null is one of the shown values, as the empty text."""
+    own = V.folded(A.spans(spark, sf_dir), "peer_service", [F.desc("n"), F.asc("peer_service")], 3, n=F.count(F.lit(1)))
+    return V.timeseries(own, "start_us", DAY, {"error_rate": r6(M.error_rate())}, "peer_service")
+
+
+@query("""best AS (SELECT coalesce(CAST(status_code AS VARCHAR), '') AS d FROM spans GROUP BY 1 ORDER BY avg(duration_ms) DESC, d LIMIT 1)
+SELECT service, coalesce(b.d, 'Other (' || ((SELECT count(DISTINCT coalesce(CAST(status_code AS VARCHAR), '')) FROM spans) - 1) || ')') AS status_code, CAST(count(*) AS DOUBLE) AS n
+FROM spans s LEFT JOIN best b ON coalesce(CAST(s.status_code AS VARCHAR), '') = b.d GROUP BY 1, 2""".replace("best AS", ", best AS", 1), A.SPANS)
+def bar_fold_nulls(spark, sf_dir):
+    own = V.folded(A.spans(spark, sf_dir), "status_code", [F.desc("weight"), F.asc("status_code")], 1, weight=F.avg("duration_ms"))
+    return own.groupBy("service", "status_code").agg(M.count().alias("n"))
+
+
 WILSON = "greatest(0.0, (p + 3.8416 / (2 * n) {s} 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n))"
 
 

@@ -102,12 +102,13 @@ def topology_edges(spark, sf_dir):
     return G.topology(A.spans(spark, sf_dir))[1].select("caller", "callee", "calls")
 
 
-#: A sparser graph: customers and orders folded to 50 names, linked where their keys agree modulo 37.
-HOPS = "SELECT DISTINCT 'o' || (o_custkey % 50) AS caller, 'o' || (o_orderkey % 50) AS callee FROM orders WHERE o_orderkey % 37 = o_custkey % 37"
+#: Every order is a call between two of 200 services; a service calls two others.
+HOPS = "SELECT DISTINCT 'o' || (o_custkey % 200) AS caller, 'o' || ((o_custkey % 200 * 2 + o_orderkey % 2) % 200) AS callee FROM orders"
 
 
 @query(f"RECURSIVE e AS ({HOPS}), r(name, hops) AS (SELECT 'o7', 0 UNION SELECT e.callee, r.hops + 1 FROM r JOIN e ON e.caller = r.name WHERE r.hops < 8) SELECT name, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY 1".replace("RECURSIVE", "WITH RECURSIVE", 1))
 def dependencies_bfs(spark, sf_dir):
-    own = A.table(spark, sf_dir, "orders").where("o_orderkey % 37 = o_custkey % 37")
-    edges = own.select(F.lit("shop").alias("namespace"), F.concat(F.lit("o"), (c("o_custkey") % 50).cast("string")).alias("caller"), F.concat(F.lit("o"), (c("o_orderkey") % 50).cast("string")).alias("callee"))
-    return G.dependencies(edges, "shop", "o7")
+    own, named = A.table(spark, sf_dir, "orders"), lambda n: F.concat(F.lit("o"), n.cast("string"))
+    caller = c("o_custkey") % 200
+    edges = own.select(F.lit("shop").alias("namespace"), named(caller).alias("caller"), named((caller * 2 + c("o_orderkey") % 2) % 200).alias("callee"))
+    return G.dependencies(edges, "shop", "o7", nodes=500)

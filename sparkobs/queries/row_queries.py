@@ -47,21 +47,26 @@ def redaction_totals(spark, sf_dir):
     return own.groupBy("service").agg(F.count(F.lit(1)).alias("n"), F.count_if(c("clean") != c("body")).alias("changed"), F.sum(F.length("clean")).alias("size"))
 
 
-@query(f"SELECT event_id, {sql_patterns('body', X.TEMPLATES)} AS template FROM dl WHERE octet_length(encode(body)) <= 500", DOC_LOGS)
+#: The longest prefix of whole characters within 500 bytes: at 4 bytes a character at most, one of 125 or more.
+HEAD = "CASE WHEN octet_length(encode(body)) <= 500 THEN body ELSE left(body, list_max(list_filter(range(125, 501), lambda n: octet_length(encode(left(body, n))) <= 500))) END"
+HEADS = f"{DOC_LOGS}, hd AS (SELECT event_id, {HEAD} AS body FROM dl)"
+HEAD_TEMPLATE = sql_patterns("body", X.TEMPLATES)
+
+
+@query(f"SELECT event_id, {HEAD_TEMPLATE} AS template FROM hd", HEADS)
 def log_template(spark, sf_dir):
-    own = doc_logs(spark, sf_dir).where(F.octet_length("body") <= 500)
-    return own.select("event_id", X.template(c("body")).alias("template"))
+    """The template of every body, cut at 500 bytes."""
+    return doc_logs(spark, sf_dir).select("event_id", X.template(c("body")).alias("template"))
 
 
-@query()
+@query(f"SELECT event_id, {HEAD_TEMPLATE} AS template FROM hd", HEADS)
 def log_template_all(spark, sf_dir):
-    """The template of every body, cut at 500 bytes (tested against brute force)."""
-    return doc_logs(spark, sf_dir).select("event_id", X.template(c("body")).alias("template"))
+    return log_template(spark, sf_dir)
 
 
-@query()
+@query(f"SELECT {HEAD_TEMPLATE} AS template, count(*) AS n FROM hd GROUP BY 1", HEADS)
 def log_template_whole(spark, sf_dir):
-    """Templates of all bodies, cut at 500 bytes (tested against brute force)."""
+    """Templates of all bodies, cut at 500 bytes."""
     return doc_logs(spark, sf_dir).groupBy(X.template(c("body")).alias("template")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -126,9 +131,9 @@ def edges_large(spark, sf_dir):
     return got.groupBy("caller", c("service").alias("callee")).agg(F.count(F.lit(1)).alias("calls"), F.round(F.lit(100.0) * F.avg(F.when(c("status") == "ERROR", 1.0).otherwise(0.0)), 6).alias("error_rate"))
 
 
-@query("SELECT service, count(*) AS n FROM spans s WHERE EXISTS (SELECT 1 FROM logs l WHERE l.user_id || '' = split_part(s.trace_id, '-', 1) AND l.severity = 'WARN' AND l.event_id % 7 = 0) GROUP BY 1", A.SPANS, A.LOGS)
+@query("SELECT service, count(*) AS n FROM spans s WHERE EXISTS (SELECT 1 FROM logs l WHERE l.user_id || '' = split_part(s.trace_id, '-', 1) AND l.severity = 'WARN' AND l.k >= 90) GROUP BY 1", A.SPANS, A.LOGS)
 def join_semi(spark, sf_dir):
-    users = A.logs(spark, sf_dir).where("severity = 'WARN' and event_id % 7 = 0").select(c("user_id").cast("string").alias("u"))
+    users = A.logs(spark, sf_dir).where("severity = 'WARN' and k >= 90").select(c("user_id").cast("string").alias("u"))
     return A.spans(spark, sf_dir).withColumn("u", F.split_part("trace_id", F.lit("-"), F.lit(1))).join(users, "u", "left_semi").groupBy("service").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -228,8 +233,8 @@ def win_lag_delta(spark, sf_dir):
 
 @query("SELECT event_id, last_value(CASE WHEN status = 'ERROR' THEN event_id END IGNORE NULLS) OVER (PARTITION BY service ORDER BY start_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_error FROM spans", A.SPANS)
 def win_carry_forward(spark, sf_dir):
-    w = Window.partitionBy("service").orderBy("start_us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return A.spans(spark, sf_dir).select("event_id", F.last(F.when(c("status") == "ERROR", c("event_id")), ignorenulls=True).over(w).alias("last_error"))
+    own = A.spans(spark, sf_dir).select("service", "start_us", "event_id", "status")
+    return O.carried_forward(own, "service", ["start_us", "event_id"], F.when(c("status") == "ERROR", c("event_id")), F.floor(c("start_us") / 3_600_000_000), "last_error").select("event_id", "last_error")
 
 
 @query("SELECT service, http_route, n FROM (SELECT service, http_route, count(*) AS n, dense_rank() OVER (PARTITION BY service ORDER BY count(*) DESC) AS r FROM spans GROUP BY 1, 2) WHERE r <= 3", A.SPANS)
@@ -264,6 +269,12 @@ def health_overview(spark, sf_dir):
 
 HALF = "bucket AS (SELECT service, start_us >= 1704067200000000 + 5 * 86400000000 AS cur, start_us // 86400000000 AS b, count(*) AS n, avg(CASE WHEN status = 'ERROR' THEN 1.0 ELSE 0.0 END) AS rate, quantile_cont(duration_ms, 0.95) AS p95 FROM spans WHERE start_us < 1704067200000000 + 10 * 86400000000 GROUP BY 1, 2, 3)"
 FIVE = 5 * DAY_US
+# Latency and volume by user: few spans a day, so their means and counts do move.
+BY_USER = HALF.replace("SELECT service,", "SELECT split_part(trace_id, '-', 1) AS service,")
+
+
+def by_user(spark, sf_dir):
+    return A.spans(spark, sf_dir).withColumn("service", F.split_part("trace_id", F.lit("-"), F.lit(1)))
 
 
 def z(df):
@@ -280,14 +291,14 @@ def anomaly_error(spark, sf_dir):
     return z(I.error_anomalies(A.spans(spark, sf_dir), A.ORIGIN_US, FIVE, 86_400, 0.1))
 
 
-@query(z_sql("p95", 1.0, "{z} >= 0.01 AND now - base >= 5 AND now >= 1.2 * base", "sum({v} * n) FILTER (WHERE {w}) / sum(n) FILTER (WHERE {w})"), A.SPANS, HALF)
+@query(z_sql("p95", 1.0, "{z} >= 0.01 AND now - base >= 5 AND now >= 1.2 * base", "sum({v} * n) FILTER (WHERE {w}) / sum(n) FILTER (WHERE {w})"), A.SPANS, BY_USER)
 def anomaly_latency(spark, sf_dir):
-    return z(I.latency_anomalies(A.spans(spark, sf_dir), A.ORIGIN_US, FIVE, 86_400, 0.01))
+    return z(I.latency_anomalies(by_user(spark, sf_dir), A.ORIGIN_US, FIVE, 86_400, 0.01))
 
 
-@query(z_sql("n", 1.0, "abs({z}) >= 0.1 AND abs(now - base) >= 0.0 * base").replace("0.0 * base", "0.25 * base"), A.SPANS, HALF)
+@query(z_sql("n", 1.0, "abs({z}) >= 0.1 AND abs(now - base) >= 0.0 * base").replace("0.0 * base", "0.25 * base"), A.SPANS, BY_USER)
 def anomaly_volume(spark, sf_dir):
-    return z(I.volume_anomalies(A.spans(spark, sf_dir), A.ORIGIN_US, FIVE, 86_400, 0.1))
+    return z(I.volume_anomalies(by_user(spark, sf_dir), A.ORIGIN_US, FIVE, 86_400, 0.1))
 
 
 @query("""SELECT service, min(s) AS start_us, max(e) AS end_us, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY service ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS nth FROM (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY service ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM (SELECT service, start_us AS s, start_us + 7200000000 AS e FROM spans WHERE status = 'ERROR'))) GROUP BY service, nth""".replace(", count(*) AS n", ""), A.SPANS)
@@ -296,12 +307,9 @@ def anomaly_episodes(spark, sf_dir):
     return I.merged_episodes(own).select("service", "start_us", "end_us")
 
 
-END_MS = A.ORIGIN_US // 1000 + 3_600_000
-
-
-@query(f""", w AS (SELECT service, bucket_ms >= {END_MS - 300_000} AS cur, avg(error_rate) AS e, avg(p95_ms) AS p, avg(spans) AS n FROM m WHERE bucket_ms >= {END_MS - 600_000} AND bucket_ms < {END_MS} GROUP BY 1, 2)
+@query(""", w AS (SELECT service, bucket_ms > last - 300000 AS cur, avg(error_rate) AS e, avg(p95_ms) AS p, avg(spans) AS n FROM m, (SELECT max(bucket_ms) AS last FROM m) WHERE bucket_ms > last - 600000 GROUP BY 1, 2)
 SELECT a.service, round(a.e, 6) AS error_rate, round(a.p, 6) AS p95_ms, round(a.n, 6) AS spans, round(coalesce(100.0 * (a.e - b.e) / nullif(b.e, 0), 0), 6) AS error_rate_change, round(coalesce(100.0 * (a.p - b.p) / nullif(b.p, 0), 0), 6) AS p95_ms_change, round(coalesce(100.0 * (a.n - b.n) / nullif(b.n, 0), 0), 6) AS spans_change
 FROM w a LEFT JOIN w b ON a.service = b.service AND NOT b.cur WHERE a.cur""", A.SPANS, MINUTES)
 def alert_env(spark, sf_dir):
-    own = I.alert_env(minutes(spark, sf_dir), END_MS)
+    own = I.alert_env(minutes(spark, sf_dir))
     return own.select("service", *(F.round(x, 6).alias(x) for x in own.columns[2:]))

@@ -1,8 +1,7 @@
-"""Sources, the dataset at rest and alert states."""
+"""Sources, signals at rest and alert states."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +16,8 @@ c = F.col
 
 
 def shared(spark: SparkSession) -> str:
-    """A new folder where all machines can read and write: under spark.checkpoint.dir if that is set."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or ("file://" + tempfile.gettempdir() if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir"))
+    """A new folder where all machines can read and write: under spark.checkpoint.dir, or in the warehouse where that is unset."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{top.rstrip('/')}/dataset-{uuid.uuid4().hex}"
 
 
@@ -48,21 +47,27 @@ def otlp_spans(spark, sf_dir):
     return own.select("namespace", "service", "trace_id", "span_id", "parent_span_id", "operation", "kind", "start_unix_nano", F.round("duration_ms", 6).alias("duration_ms"), "status", c("attributes")["http.route"].alias("http_route"), c("attributes")["peer.service"].alias("peer_service"))
 
 
-SCHEMA = "trace_id string, span_id string, service string, start_us long, duration_ms double"
+FROM_US, TO_US = A.ORIGIN_US + 5 * 86_400_000_000, A.ORIGIN_US + 9 * 86_400_000_000
 
 
-@query("SELECT service, count(*) AS n, min(start_us) AS first_us, max(duration_ms) AS slowest FROM spans WHERE event_id % 3 <> 0 AND start_us >= 1704067200000000 + 5 * 86400000000 AND start_us < 1704067200000000 + 9 * 86400000000 GROUP BY 1", A.SPANS)
+@query(f"SELECT service, count(*) AS n, min(start_us) AS first_us, max(duration_ms) AS slowest FROM spans WHERE start_us >= {FROM_US} AND start_us < {TO_US} GROUP BY 1", A.SPANS)
 def dataset_window(spark, sf_dir):
-    """Three batches, of which retention drops the first and compaction merges the others; then a window is read."""
+    """All spans at rest by hour, of which a window's hours are read."""
     root, own = shared(spark), A.spans(spark, sf_dir)
-    for k in range(3):
-        dataset.append(own.where(f"event_id % 3 = {k}").select("trace_id", "span_id", "service", "start_us", "duration_ms"), root, "start_us", ["service", "start_us"], k)
-    dataset.retain(spark, root, 1)
-    dataset.compact(spark, root, SCHEMA, "start_us", ["service", "start_us"], 10**12)
-    kept = dataset.scan(spark, root, SCHEMA, "start_us", A.ORIGIN_US + 5 * 86_400_000_000, A.ORIGIN_US + 9 * 86_400_000_000)
+    dataset.write(own.select("trace_id", "span_id", "service", "start_us", "duration_ms"), root, "start_us", ["service", "start_us"])
+    kept = dataset.read(spark, root, "start_us", FROM_US, TO_US)
     return kept.groupBy("service").agg(F.count(F.lit(1)).alias("n"), F.min("start_us").alias("first_us"), F.max("duration_ms").alias("slowest"))
 
 
+@query("SELECT event_type AS name, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY 1")
+def dataset_metric_names(spark, sf_dir):
+    """Points at rest by name, one metric for each event type; a read by names lists only their folders."""
+    root, own = shared(spark), A.events(spark, sf_dir)
+    dataset.write(own.select(c("event_type").alias("name"), c("ts_us").alias("time_us"), "value"), root, "time_us", ["time_us"], ("name",))
+    kept = dataset.read(spark, root, "time_us").where(c("name").isin("purchase", "signup"))
+    return kept.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 RULE = alerts.Rule("errors", hold_ms=60_000, repeat_ms=600_000, cooldown_ms=120_000)
 
 

@@ -1,95 +1,35 @@
-"""Signals at rest: Parquet by hour, batches that a manifest makes visible, compaction, retention, snapshots.
+"""Signals at rest: Parquet by hour (and by what else is asked for by equality), sorted, read through partition filters.
 
-A batch is written to a folder of its own; readers see it once its manifest entry exists. A snapshot is the list of
-folders that a manifest version names, so statements that share it see the same rows. Manifests are small tables of
-one row per folder and go through Spark's file systems, like the data.
+Files, listing, pruning and commits are Spark's own. A busy hour is cut into ranges of its sort order, so that no task
+writes an hour whole; each range has its own file with narrow footer bounds.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MANIFEST = "version long, folder string, first_us long, last_us long, ingested_us long, rows long"
 HOUR_US = 3_600_000_000
 
 
-def _entries(spark: SparkSession, root: str) -> DataFrame:
-    try:
-        return spark.read.schema(MANIFEST).parquet(f"{root}/_manifest_*")
-    except Exception as error:  # no batch yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], MANIFEST)
-
-
-def manifest(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    """Folders of the newest version (or of ``version``)."""
-    own = _entries(spark, root)
-    newest = own.agg(F.max("version")).first()[0] if version is None else version
-    return own.where(F.col("version") == (newest or 0))
-
-
-def _publish(spark: SparkSession, root: str, rows: list[tuple], version: int) -> None:
-    frame = spark.createDataFrame([(version, *r) for r in rows] or [(version, "", None, None, None, 0)], MANIFEST)
-    frame.coalesce(1).write.mode("errorifexists").parquet(f"{root}/_manifest_{version:012d}")  # of two writers of one version, one fails
-
-
-def _current(spark: SparkSession, root: str) -> tuple[list[tuple], int]:
-    rows = [tuple(r) for r in manifest(spark, root).collect()]
-    return [r[1:] for r in rows if r[1]], max((r[0] for r in rows), default=0)
-
-
-def _write(df: DataFrame, root: str, time: str, order: list[str], ingested_us: int) -> tuple | None:
-    folder = f"batch={uuid.uuid4().hex}"
+def write(df: DataFrame, root: str, time: str, order: list[str], by: tuple[str, ...] = ()) -> None:
+    """Adds the rows of ``df`` under ``root``, by hour of ``time`` and by the columns ``by``, sorted by ``order`` within a file."""
+    keys = [*by, "hour"]
     hours = df.withColumn("hour", F.floor(F.col(time) / HOUR_US).cast("long"))
-    hours.repartition("hour").sortWithinPartitions("hour", *order).write.partitionBy("hour").parquet(f"{root}/{folder}")
-    found = df.sparkSession.read.parquet(f"{root}/{folder}").agg(F.min(time), F.max(time), F.count(F.lit(1))).first()
-    return (folder, found[0], found[1], ingested_us, found[2]) if found[2] else None
+    hours.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).write.mode("append").partitionBy(*keys).parquet(root)
 
 
-def append(df: DataFrame, root: str, time: str, order: list[str], ingested_us: int) -> int:
-    """Writes a batch sorted by ``order`` and publishes it; the new version. An empty batch publishes nothing."""
-    spark = df.sparkSession
-    rows, version = _current(spark, root)
-    own = _write(df, root, time, order, ingested_us)
-    if own:
-        _publish(spark, root, [*rows, own], version + 1)
-    return version + bool(own)
+def replace(df: DataFrame, root: str, time: str, order: list[str]) -> None:
+    """Rewrites the hours that ``df`` has rows in, and no others."""
+    hours = df.withColumn("hour", F.floor(F.col(time) / HOUR_US).cast("long"))
+    hours.repartitionByRange("hour", *order).sortWithinPartitions("hour", *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour").parquet(root)
 
 
-def scan(spark: SparkSession, root: str, schema: str, time: str, start_us: int | None = None, end_us: int | None = None, version: int | None = None) -> DataFrame:
-    """Rows of a snapshot: folders outside the window are never listed, hours are pruned, the rest is pushed to the files."""
-    folders = [r.folder for r in manifest(spark, root, version).collect() if r.folder and (start_us is None or r.last_us >= start_us) and (end_us is None or r.first_us < end_us)]
-    if not folders:
-        return spark.createDataFrame([], schema)
-    own = spark.read.schema(f"{schema}, hour long, batch string").option("basePath", root).parquet(*(f"{root}/{f}" for f in folders))
+def read(spark: SparkSession, root: str, time: str, start_us: int | None = None, end_us: int | None = None) -> DataFrame:
+    """Rows of a window: hours outside are never listed, the rest is pushed to the files. Filters on other partition columns prune as well."""
+    own = spark.read.parquet(root)
     if start_us is not None:
         own = own.where((F.col("hour") >= start_us // HOUR_US) & (F.col(time) >= start_us))
     if end_us is not None:
         own = own.where((F.col("hour") <= (end_us - 1) // HOUR_US) & (F.col(time) < end_us))
-    return own.drop("hour", "batch")
-
-
-def compact(spark: SparkSession, root: str, schema: str, time: str, order: list[str], small: int) -> int:
-    """Merges all folders with fewer than ``small`` rows into one; older versions stay readable."""
-    rows, version = _current(spark, root)
-    merged = [r for r in rows if r[4] < small]
-    if len(merged) < 2:
-        return version
-    df = spark.read.schema(f"{schema}, hour long, batch string").option("basePath", root).parquet(*(f"{root}/{r[0]}" for r in merged)).drop("hour", "batch")
-    own = _write(df, root, time, order, max(r[3] for r in merged))
-    _publish(spark, root, [*(r for r in rows if r not in merged), own], version + 1)
-    return version + 1
-
-
-def retain(spark: SparkSession, root: str, cutoff_us: int) -> int:
-    """Leaves out folders that were ingested before ``cutoff_us``."""
-    rows, version = _current(spark, root)
-    kept = [r for r in rows if r[3] >= cutoff_us]
-    if len(kept) == len(rows):
-        return version
-    _publish(spark, root, kept, version + 1)
-    return version + 1
+    return own.drop("hour")

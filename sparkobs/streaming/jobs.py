@@ -1,4 +1,4 @@
-"""Rollups over streams: each micro-batch recomputes the minutes it touches, however late its rows are."""
+"""Rollups over streams: each micro-batch recomputes the hours it touches, however late its rows are."""
 
 from __future__ import annotations
 
@@ -7,32 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkobs.operators import graph as G
 from sparkobs.operators import rollups as R
+from sparkobs.sources import dataset
 
+KEY = ["namespace", "bucket_ms", "service"]
 
-def upsert(spark, root: str, rows: DataFrame, keys: DataFrame, epoch: int) -> None:
-    """Appends a version of the recomputed keys; ``current`` keeps the newest of each. Writing an epoch again replaces it."""
-    marked = keys.join(rows, keys.columns, "left").withColumn("epoch", F.lit(epoch).cast("long"))
-    marked.write.mode("overwrite").parquet(f"{root}/epoch={epoch:012d}")
 
+def stored(rows: DataFrame, root: str, order: list[str]) -> None:
+    """Rewrites the hours of a rollup's rows (by bucket_ms) under ``root``; writing a batch again changes nothing."""
+    dataset.replace(rows.withColumn("bucket_us", F.col("bucket_ms") * 1000), root, "bucket_us", order)
 
-def current(spark, root: str, keys: list[str]) -> DataFrame:
-    """The newest version of every key; keys whose rows are gone are left out."""
-    own = spark.read.option("basePath", root).parquet(f"{root}/epoch=*").drop("epoch_dir")
-    rest = [x for x in own.columns if x not in keys and x != "epoch"]
-    best = own.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("x"))
-    return best.select(*keys, "x.*").where(" or ".join(f"{x} is not null" for x in rest))
+
+def current(spark, root: str) -> DataFrame:
+    """The rollup as it stands: every hour has one version."""
+    return spark.read.parquet(root).drop("hour", "bucket_us")
+
+
+def job(stream: DataFrame, repair: Callable[[DataFrame], None], checkpoint: str):
+    """Starts a job that hands each batch of new rows to ``repair``; what is there is caught up in batches and then it ends."""
+    return stream.writeStream.foreachBatch(lambda new, _: repair(new)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def service_rollup(stream: DataFrame, base: Callable[[], tuple[DataFrame, DataFrame]], root: str, checkpoint: str):
-    """Starts the job: ``stream`` brings new spans, ``base`` reads all spans and logs so far."""
+    """``stream`` brings new spans, ``base`` reads all spans and logs so far."""
+
+    def repair(new: DataFrame) -> None:
+        hours, (spans, logs) = R.touched(new, "start_us"), base()
+        stored(R.service_rollup(R.in_hours(spans, hours, "start_us"), R.in_hours(logs, hours, "time_us")), root, KEY)
+
+    return job(stream, repair, checkpoint)
+
+
+def edge_rollup(stream: DataFrame, base: Callable[[], DataFrame], root: str, checkpoint: str):
+    """Call edges: a late parent repairs the hours of its children, a late child its own."""
 
-    def batch(new: DataFrame, epoch: int) -> None:
-        keys = R.affected(new, "start_us")
-        spans, logs = base()
-        upsert(new.sparkSession, root, R.service_rollup(spans, logs, keys), keys, epoch)
+    def repair(new: DataFrame) -> None:
+        spans = base()
+        hours = G.edge_hours(new, spans)
+        stored(G.call_edges(R.in_hours(spans, hours, "start_us"), parents=spans), root, ["namespace", "bucket_ms", "caller", "callee"])
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return job(stream, repair, checkpoint)
 
 
 def windowed(stream: DataFrame, time: str = "ts", width: str = "1 minute", late: str = "10 minutes") -> DataFrame:

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sparkobs.operators import alerts, rollups
+from sparkobs.operators import alerts, graph, rollups
 from sparkobs.queries import QUERIES
 from sparkobs.sources import adapters as A
 from sparkobs.streaming import jobs
@@ -19,12 +19,30 @@ def test_stream_of_late_batches_equals_the_batch_rollup(spark, tmp_path):
     stream = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     q = jobs.service_rollup(stream, lambda: (spark.read.parquet(f"{tmp_path}/in"), logs), f"{tmp_path}/out", f"{tmp_path}/cp")
     assert q.awaitTermination(240)
-    key = ["namespace", "bucket_ms", "service"]
-    got = jobs.current(spark, f"{tmp_path}/out", key)
-    want = rollups.service_rollup(own, logs, rollups.affected(own, "start_us")).select(got.columns)
+    got = jobs.current(spark, f"{tmp_path}/out")
+    want = rollups.service_rollup(own, logs).select(got.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_late_parents_and_children_repair_edges(spark, tmp_path):
+    own = A.spans(spark, SF, "ts_us").select("namespace", "trace_id", "span_id", "parent_span_id", "service", "status", "start_us", "duration_ms", "event_id")
+    for k in (2, 0, 1):
+        own.where(f"event_id % 3 = {k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = jobs.edge_rollup(stream, lambda: spark.read.parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp")
+    assert q.awaitTermination(240)
+    got = jobs.current(spark, f"{tmp_path}/out")
+    want = graph.call_edges(own).select(got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count()
+
+
+def test_repair_touches_only_the_hours_of_new_rows_and_their_children(spark):
+    rows = [("s", "t", "c", "p", 7_200_000_000), ("s", "t", "x", "", 0), ("s", "u", "p", "", 0)]
+    spans = spark.createDataFrame(rows, "namespace string, trace_id string, span_id string, parent_span_id string, start_us long")
+    new = spark.createDataFrame([("s", "t", "p", "", 3_700_000_000)], spans.schema)
+    assert {r.hour for r in graph.edge_hours(new, spans).collect()} == {1, 2}
+
+
 def test_windowed_counts(spark, tmp_path):
     A.table(spark, SF, "events").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(f"{tmp_path}/ev")
     df = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/ev").schema).parquet(f"{tmp_path}/ev")
