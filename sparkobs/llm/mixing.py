@@ -5,48 +5,41 @@ weight; a network routes the patterns' word capacity to quotas, where the first
 repetition costs more than the one before. What a pattern is to give is then taken from its documents in a seeded
 order: whole rounds of all of them, and the rest up to a boundary document, which gives the missing words.
 
-Defined results: null texts have size 0 and are never taken; a null source is a source of its own, the last; rows
-that repeat an id and a size are taken alike; sources whose documents have no words have target 0; an empty table gives
+Defined results: null texts have size 0 and are never taken; texts of any length are counted whole; a null source is a
+source of its own, the last; names may hold any character; rows that repeat an id and a size are taken alike; sources whose documents have no words have target 0; an empty table gives
 an empty table; equal inputs and seeds give equal results. Patterns are bounded by MAX_PATTERNS, checked before their
 totals reach the driver. Of other columns ``plan`` reads none; ``select`` keeps all.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
+from collections import defaultdict, deque
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sparkobs.llm.common import slices, stored
+from sparkobs.llm.common import stored
 
-MAX_PATTERNS, BUCKETS = 50_000, 1024
+MAX_PATTERNS = 50_000
+BUCKET_BITS = 16  # runs of the seeded order, by the top of its hash
 WEIGHTS = (5, 2, 1)  # of sources by code point, repeating
+Pattern = tuple[str, ...]
 
 
-def sized(docs: DataFrame, text: str = "text", to: str = "__size") -> DataFrame:
-    """Adds ``to``, the number of words (runs of characters but blanks and line ends) of ``text``."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(to, T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text):
-            n = pa.array([len((t or "").encode().split()) for t in b.column(text).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, n], names=schema.names)
-
-    return docs.mapInArrow(run, schema)
+def size_of(text: Column) -> Column:
+    """Words: runs of characters but blanks and line ends."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def pattern(sources: Column) -> Column:
-    """A document's sources (an array) as one key: sorted, each once."""
-    return F.array_join(F.array_sort(F.array_distinct(F.transform(sources, lambda s: F.when(s.isNull(), "n").otherwise(F.concat(F.lit("m"), s))))), "\x1f")
+    """A document's sources as one key: sorted, each once, "n" for null and "m" before a name."""
+    return F.array_sort(F.array_distinct(F.transform(sources, lambda s: F.when(s.isNull(), "n").otherwise(F.concat(F.lit("m"), s)))))
 
 
-def members(key: str) -> list[str | None]:
-    return [None if x == "n" else x[1:] for x in key.split("\x1f") if x]
+def members(key: Sequence[str]) -> list[str | None]:
+    return [None if x == "n" else x[1:] for x in key]
 
 
 def quotas(sizes: dict[str | None, int], weights: dict[str | None, float], total: float, cap: float) -> dict[str | None, float]:
@@ -66,48 +59,75 @@ def quotas(sizes: dict[str | None, int], weights: dict[str | None, float], total
     return out
 
 
-def route(capacity: dict[str, int], quota: dict[str | None, int], layers: int) -> dict[str, int]:
-    """Words each pattern gives: a min-cost flow from patterns (``layers`` uses of every word, the ith at cost i) to the quotas of their sources."""
-    nodes = ["S", "T", *(("p", p) for p in sorted(capacity)), *(("s", s) for s in sorted(quota, key=lambda s: (s is None, s or "")))]
-    number = {x: i for i, x in enumerate(nodes)}
-    graph: list[list[int]] = [[] for _ in nodes]
-    to, room, cost = [], [], []
-
-    def edge(a: int, b: int, n: int, c: int) -> None:
-        for x, y, m, d in ((a, b, n, c), (b, a, 0, -c)):
-            graph[x].append(len(to))
-            to.append(y), room.append(m), cost.append(d)
-
-    for p, n in sorted(capacity.items()):
-        for i in range(layers):
-            edge(0, number["p", p], n, i)
-        for s in members(p):
-            edge(number["p", p], number["s", s], n * layers, 0)
-    for s, n in quota.items():
-        edge(number["s", s], 1, n, 0)
-    while True:  # cheapest paths first; each fills an edge
-        far, by, queue, queued = [None] * len(nodes), [0] * len(nodes), deque([0]), {0}
-        far[0] = 0
-        while queue:
-            a = queue.popleft()
-            queued.discard(a)
-            for e in graph[a]:
-                if room[e] and (far[to[e]] is None or far[a] + cost[e] < far[to[e]]):
-                    far[to[e]], by[to[e]] = far[a] + cost[e], e
-                    if to[e] not in queued:
-                        queue.append(to[e])
-                        queued.add(to[e])
-        if far[1] is None:
+def route(capacity: dict[Pattern, int], quota: dict[str | None, int], layers: int) -> dict[Pattern, int]:
+    """Words each pattern gives: a min-cost flow from patterns (``layers`` uses of every word, the ith at cost i) to the quotas of their sources.
+
+    All cost lies on the way into a pattern, so a path costs what its first edge costs: the cheapest paths come first if
+    the uses are opened one after another and each is filled as far as it goes, over what was routed before as well."""
+    patterns, names = sorted(capacity), list(quota)
+    place = {s: j for j, s in enumerate(names)}
+    into = [[place[s] for s in members(p)] for p in patterns]
+    inside: list[list[int]] = [[] for _ in names]
+    for i, js in enumerate(into):
+        for j in js:
+            inside[j].append(i)
+    left, given, flow = [quota[s] for s in names], [0] * len(patterns), defaultdict(int)
+    for _ in range(layers):
+        free = [capacity[p] for p in patterns]
+        while fill(free, left, into, inside, flow):
+            pass
+        given = [g + capacity[p] - f for g, p, f in zip(given, patterns, free, strict=True)]
+    return dict(zip(patterns, given, strict=True))
+
+
+def fill(free: list[int], left: list[int], into: list[list[int]], inside: list[list[int]], flow: dict[tuple[int, int], int]) -> bool:
+    """One round of Dinic's method: all shortest paths from patterns with free words to sources with room; false if there is none.
+
+    A pattern i reaches its sources, a source j (node ~j) the patterns that gave to it, which can give elsewhere."""
+    depth = {i: 0 for i, n in enumerate(free) if n}
+    queue, goal = deque(depth), None
+    while queue:
+        a = queue.popleft()
+        if goal is not None and depth[a] >= goal:
             break
-        path, at = [], 1
-        while at:
-            path.append(by[at])
-            at = to[by[at] ^ 1]
-        n = min(room[e] for e in path)
-        for e in path:
-            room[e] -= n
-            room[e ^ 1] += n
-    return {p: layers * n - sum(room[e] for e in graph[0] if to[e] == number["p", p]) for p, n in capacity.items()}
+        if a < 0 and left[~a]:
+            goal = depth[a]
+            continue
+        for b in ([~j for j in into[a]] if a >= 0 else [i for i in inside[~a] if flow[i, ~a]]):
+            if b not in depth:
+                depth[b] = depth[a] + 1
+                queue.append(b)
+    if goal is None:
+        return False
+    tried: dict[int, int] = defaultdict(int)
+    for start in [i for i, n in enumerate(free) if n]:
+        path = [start]
+        while path and free[start]:
+            a = path[-1]
+            if a < 0 and left[~a]:
+                back = [(path[k + 1], ~path[k]) for k in range(1, len(path) - 1, 2)]  # flow that turns to another source
+                n = min(free[start], left[~a], *(flow[x] for x in back))
+                free[start] -= n
+                left[~a] -= n
+                for k in range(0, len(path), 2):
+                    flow[path[k], ~path[k + 1]] += n
+                for x in back:
+                    flow[x] -= n
+                path = [start]
+                continue
+            edges = into[a] if a >= 0 else inside[~a]
+            while tried[a] < len(edges):
+                e = edges[tried[a]]
+                b = ~e if a >= 0 else e
+                if depth.get(b) == depth[a] + 1 and depth[b] <= goal and (a >= 0 or flow[e, ~a]):
+                    path.append(b)
+                    break
+                tried[a] += 1
+            else:
+                path.pop()
+                if path:
+                    tried[path[-1]] += 1
+    return True
 
 
 @dataclass
@@ -126,10 +146,10 @@ def mixed(key: Column, size: Column, seed: int) -> Column:
 def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, seed: int = 11) -> Plan:
     """``rows``: stored columns id, size, pat."""
     spark = rows.sparkSession
-    totals = rows.groupBy("pat").agg(F.sum("size").alias("n"))
-    if (count := totals.count()) > MAX_PATTERNS:
-        raise ValueError(f"{count} membership patterns; at most {MAX_PATTERNS} can be routed")
-    capacity = {r.pat: r.n for r in totals.collect()}
+    totals = rows.groupBy("pat").agg(F.sum("size").alias("n")).limit(MAX_PATTERNS + 1).collect()
+    if len(totals) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} membership patterns cannot be routed")
+    capacity = {tuple(r.pat): r.n for r in totals}
     sizes: dict[str | None, int] = {}
     for p, n in capacity.items():
         for s in members(p):
@@ -137,10 +157,10 @@ def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     targets = quotas(sizes, {s: weights[i % len(weights)] for i, s in enumerate(names)}, share * sum(capacity.values()), cap)
     gives = route(capacity, {s: round(t) for s, t in targets.items()}, cap)
-    split = [(p, g // capacity[p] if capacity[p] else 0, g % capacity[p] if capacity[p] else 0) for p, g in sorted(gives.items())]
-    rounds = spark.createDataFrame(split, "pat string, rounds long, rest long")
+    split = [(list(p), g // capacity[p] if capacity[p] else 0, g % capacity[p] if capacity[p] else 0) for p, g in sorted(gives.items())]
+    rounds = spark.createDataFrame(split, "pat array<string>, rounds long, rest long")
     # Where the words of a pattern's seeded order reach the rest: first by bucket, then by document within that bucket.
-    seeded = rows.where("size > 0").withColumn("mix", mixed(F.col("id"), F.col("size"), seed)).withColumn("bucket", F.shiftrightunsigned("mix", 54))
+    seeded = rows.where("size > 0").withColumn("mix", mixed(F.col("id"), F.col("size"), seed)).withColumn("bucket", F.shiftrightunsigned("mix", 64 - BUCKET_BITS))
     along = Window.partitionBy("pat").orderBy("bucket")
     buckets = seeded.groupBy("pat", "bucket").agg(F.sum("size").alias("n")).withColumn("before", F.sum("n").over(along) - F.col("n"))
     edge = buckets.join(F.broadcast(rounds), "pat").where("before <= rest and rest < before + n").select("pat", "bucket", (F.col("rest") - F.col("before")).alias("rest"))
@@ -155,30 +175,26 @@ def taken(rows: DataFrame, own: Plan, seed: int = 11) -> DataFrame:
     mix = mixed(F.col("id"), F.col("size"), seed)
     known = F.when(F.col("size") == 0, 0)
     # rows order by (bucket, mix, id, size); the bucket is the top of mix as an unsigned number
-    here = F.struct(F.shiftrightunsigned(mix, 54).alias("b"), mix.alias("m"), F.col("id").alias("i"), F.col("size").alias("s"))
-    edge = F.struct(F.shiftrightunsigned("edge_mix", 54).alias("b"), F.col("edge_mix").alias("m"), F.col("edge_id").alias("i"), F.col("edge_size").alias("s"))
+    here = F.struct(F.shiftrightunsigned(mix, 64 - BUCKET_BITS).alias("b"), mix.alias("m"), F.col("id").alias("i"), F.col("size").alias("s"))
+    edge = F.struct(F.shiftrightunsigned("edge_mix", 64 - BUCKET_BITS).alias("b"), F.col("edge_mix").alias("m"), F.col("edge_id").alias("i"), F.col("edge_size").alias("s"))
     more = F.when(F.col("edge_mix").isNull(), 0).when(here < edge, F.col("size")).when(here == edge, F.col("gives")).otherwise(0)
     joined = rows.join(F.broadcast(own.cuts), "pat", "left")  # a row for each pattern
     return joined.withColumn("taken", known.otherwise(F.coalesce("rounds", F.lit(0)) * F.col("size") + more).cast("long")).drop("rounds", "edge_mix", "edge_id", "edge_size", "gives")
 
 
-def mix(docs: DataFrame, sources: Column, **how) -> DataFrame:
+def mix(docs: DataFrame, sources: Column, text: str = "text", **how) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document; the two in the middle are those of its first source."""
-    rows = sized(docs.select(F.col("doc_id").cast("long").alias("id"), pattern(sources).alias("pat"), "text"), to="size").select("id", "pat", "size")
-    rows = stored(rows, "sizes")
+    rows = stored(docs.select(F.col("doc_id").cast("long").alias("id"), pattern(sources).alias("pat"), size_of(F.col(text)).alias("size")), "sizes")
     own = plan(rows, **how)
     first = [(p, own.sizes[members(p)[0]], float(own.targets[members(p)[0]])) for p in (r.pat for r in own.cuts.select("pat").collect()) if members(p)]
-    table = docs.sparkSession.createDataFrame(first, "pat string, source_size long, target double")
+    table = docs.sparkSession.createDataFrame(first, "pat array<string>, source_size long, target double")
     out = taken(rows, own, how.get("seed", 11)).join(F.broadcast(table), "pat", "left")
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-def select(docs: DataFrame, sources: Column, **how) -> DataFrame:
+def select(docs: DataFrame, sources: Column, text: str = "text", **how) -> DataFrame:
     """The documents that the mix takes, with all columns, as often as it takes them; half a document or more counts as a whole."""
-    columns = docs.columns
-    rows = sized(docs.withColumns({"__pat": pattern(sources)}))
-    narrow = stored(rows.select(F.col("doc_id").cast("long").alias("id"), F.col("__pat").alias("pat"), F.col("__size").alias("size")), "sizes")
-    own = plan(narrow, **how)
-    inner = rows.select(F.struct(*columns).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.col("__pat").alias("pat"), F.col("__size").alias("size"))
-    chosen = taken(inner, own, how.get("seed", 11)).where("taken > 0").withColumn("times", F.expr("cast((taken * 2 + size) div (size * 2) as int)")).where("times > 0")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"), pattern(sources).alias("pat"), size_of(F.col(text)).alias("size"))
+    own = plan(stored(rows.select("id", "pat", "size"), "sizes"), **how)
+    chosen = taken(rows, own, how.get("seed", 11)).where("taken > 0").withColumn("times", F.expr("cast((taken * 2 + size) div (size * 2) as int)")).where("times > 0")
     return chosen.select("doc", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")
