@@ -8,20 +8,21 @@ in groups, never as a whole; blocks answer k rows a query, which merge by a seco
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows without an id;
 vectors of another length than a query's are no candidates for it; equal vectors are searched once and answer with
 their smallest ids, so ties go to the smaller id whatever the order; rows that repeat an id and a vector count once;
-a query is never its own answer; empty tables give no rows; columns but the id and the vector are never read.
+a query is never its own answer; components so large that an inner product might exceed 64 bits raise an error; empty
+tables give no rows; columns but the id and the vector are never read. No list of a query or vector exceeds k + 1 rows.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of a candidate block and of a query group; bounds of memory and of parallel work, not of the answer.
-BLOCK_ROWS, QUERY_ROWS = 4096, 2048
+#: Most rows of a candidate block and of a query group, and rows of a block that are worth a task. A block is sorted for each group of queries.
+BLOCK_ROWS, QUERY_ROWS, LEAST_ROWS = 16_384, 16_384, 2048
+LARGEST = 2**62  # of a component, as an integer; beyond it, and where products might exceed 64 bits, an error says so
 ROUND = 32
 
 
@@ -61,15 +62,27 @@ def threshold_topk(block: np.ndarray, order: np.ndarray, query: np.ndarray, k: i
     return best, scores[best], depth
 
 
+def first(df: DataFrame, by: str, order: list[Column], k: int, to: str = "rank") -> DataFrame:
+    """The first ``k`` rows of each ``by`` with their rank; tasks keep their own first ``k`` before rows are shuffled."""
+    return df.withColumn(to, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(to) <= k)
+
+
+def tiles(n: int, rows: int, cores: int) -> int:
+    """How many groups of ``n`` rows: as many as ``rows`` at most in each asks for, or as keep the cores busy."""
+    return max(1, -(-n // rows), min(-(-n // LEAST_ROWS), 2 * cores))
+
+
 def top_k(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
     """query_id, rank, the key of the candidate, score: the k best of all other rows for every row where ``queries`` holds."""
     picked = vectors.select(F.col(key).cast("long").alias("id"), quantised(F.col(vector), scale).alias("v"), queries.alias("q")).where("id is not null and v is not null")
+    seen = picked.agg(F.max(F.array_max(F.transform("v", F.abs))).alias("most"), F.max(F.size("v")).alias("size"), F.count(F.lit(1)).alias("n"), F.count_if("q").alias("asked")).first()
+    if (seen.most or 0) >= LARGEST or (seen.most or 0) ** 2 * (seen.size or 0) >= 2**63:
+        raise ValueError(f"components up to {seen.most} in {seen.size} dimensions: inner products may exceed 64 bits")
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    blocks, groups = tiles(seen.n, BLOCK_ROWS, cores), max(1, -(-seen.asked // QUERY_ROWS))
     # equal vectors are one candidate with its k + 1 smallest ids (one of which may be the query itself)
-    pairs = picked.groupBy("v", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"))
-    distinct = pairs.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
-    blocks = max(1, -(-distinct.count() // BLOCK_ROWS))
+    distinct = first(picked.select("id", "v").distinct(), "v", [F.col("id")], k + 1).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     asked = picked.where("q").select("id", "v").distinct()
-    groups = max(1, -(-asked.count() // QUERY_ROWS))
     cells = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     candidates = distinct.select((F.pmod(F.xxhash64("v"), F.lit(blocks))).cast("int").alias("b"), "v", "ids").select("*", cells(groups, "g"))
     searches = asked.select((F.pmod(F.xxhash64("id"), F.lit(groups))).cast("int").alias("g"), "id", "v").select("*", cells(blocks, "b"))
@@ -93,9 +106,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id",
                     out += [(q, i, -s) for s, i in found]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    near = candidates.groupBy("b", "g").cogroup(searches.groupBy("b", "g")).applyInPandas(run, schema)
-    best = near.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i")))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.i").alias(key), (-F.col("x.s")).alias("score"))
+    near = candidates.groupBy("b", "g").cogroup(searches.groupBy("b", "g")).applyInPandas(run, schema)  # k rows at most for a query and a block
+    best = first(near.repartition("query_id").distinct(), "query_id", [F.desc("score"), F.col("vec_id")], k)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias(key), "score")
 
 
 __all__ = ["quantised", "threshold_topk", "top_k"]

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sparkobs.llm import topk
@@ -30,6 +31,7 @@ def test_threshold_algorithm_stops_early_and_is_exact():
 
 def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(topk, "LEAST_ROWS", 20)
     monkeypatch.setattr(topk, "QUERY_ROWS", 3)
     rng = np.random.default_rng(2)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 0.2, 8)]) for i in range(400)]
@@ -40,3 +42,18 @@ def test_against_brute_force(spark, monkeypatch):
     got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0).collect()))
     assert got == brute(as_float, 5)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_products_beyond_64_bits_raise(spark):
+    df = spark.createDataFrame([(0, [1e6, 1.0]), (1, [1e6, 2.0])], "vec_id long, embedding array<double>")
+    assert topk.top_k(df, F.col("vec_id") == 0).first().score == 256 * 256 * (10**12 + 2)
+    for big in (1e10, 1e30):
+        with pytest.raises(ValueError, match="64 bits"):
+            topk.top_k(df.withColumn("embedding", F.array(F.lit(big), F.lit(1.0))), F.col("vec_id") == 0)
+
+
+def test_no_list_is_collected_before_its_limit(spark):
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(200)], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, 3)
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got.collect()) == [(q, i + 1, x) for q in (0, 50, 100, 150) for i, x in enumerate([x for x in range(4) if x != q][:3])]
+    assert got._jdf.queryExecution().toString().count("WindowGroupLimit") >= 2 and "collect_set" not in got._jdf.queryExecution().toString()
