@@ -5,8 +5,8 @@ the order is cut into runs of equal row counts, so that a shard covers a small b
 by any of them.
 
 Defined results: null dimensions count as 0, the lowest cell; equal rows are interchangeable; fewer rows than shards
-leave the last shards empty; empty tables give no rows; hot curve cells are split by a hash of the id, so no task
-holds a cell whole; other columns are ignored.
+leave the last shards empty; empty tables give no rows; texts of any length count by their bytes; hot curve cells are
+split by a hash of the id, so no task holds a cell whole; other columns are ignored by ``shard`` and kept by ``write``.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from sparkobs.llm.common import stored
 
 BITS = 8
-#: Rows of the range partitions that are ranked one by one; a bound of a task's work.
-RUN_ROWS = 20_000
+#: Rows of a range partition that is ranked by itself, and most partitions: the ranges' samples and sizes meet in one place, and a large range spills.
+RUN_ROWS, RUNS = 20_000, 2000
 
 
 def hilbert_index(dims: list[Column], bits: int = BITS) -> Column:
@@ -67,13 +67,15 @@ def cell_of_text(x: Column, bits: int = BITS) -> Column:
 
 def ranked(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     """``rows`` with rank, gapless from 0 in ``order``, and their number. Ranges are sorted side by side; only their sizes meet."""
-    parts = max(1, -(-rows.count() // RUN_ROWS))
+    rows = stored(rows, "rows")  # a few numbers a row; the range partitioner reads them twice, and no text again
+    total = rows.count()
+    parts = min(RUNS, max(1, -(-total // RUN_ROWS)))
     # An id's position within its range is read off the sorted range itself; the table fixes it for all later reads.
     own = stored(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("m", F.monotonically_increasing_id()), "ranges")
     own = own.withColumn("part", F.shiftright("m", 33)).withColumn("at", F.col("m").bitwiseAND((1 << 33) - 1))
     sizes = own.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row for each range
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return own.join(F.broadcast(before), "part").withColumn("rank", F.col("before") + F.col("at")).drop("part", "at", "m", "before"), own.count()
+    return own.join(F.broadcast(before), "part").withColumn("rank", F.col("before") + F.col("at")).drop("part", "at", "m", "before"), total
 
 
 def shard(docs: DataFrame, dims: list[Column], shards: int, key: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
@@ -85,3 +87,17 @@ def shard(docs: DataFrame, dims: list[Column], shards: int, key: str = "doc_id",
     own = F.expr(f"cast(rank * {shards} div {max(1, total)} as int)")
     first = F.expr(f"(cast(shard as bigint) * {total} + {shards - 1}) div {shards}")  # the least rank of the shard
     return rows.withColumn("shard", own).withColumn("slot", F.col("rank") - first).select(F.col("id").alias(key), "size", F.col("crc").alias("text_crc32"), F.col("h").alias("curve"), "shard", "slot")
+
+
+def bounds(shards: DataFrame, dims: list[str]) -> DataFrame:
+    """shard, rows, and the least and largest value of each dimension: what a reader needs to leave out whole shards."""
+    return shards.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), *(f(d).alias(f"{n}_{d}") for d in dims for n, f in (("least", F.min), ("most", F.max))))
+
+
+def write(docs: DataFrame, dims: list[Column], shards: int, path: str, key: str = "doc_id", text: str = "text", bits: int = BITS) -> None:
+    """All columns of ``docs`` as Parquet under ``path``, a folder for each shard, in the order of the curve: footers bound every dimension."""
+    own = shard(docs, dims, shards, key, text, bits).select(F.col(key).alias("k"), "size", F.col("text_crc32").alias("crc"), "curve", "shard", "slot").dropDuplicates(["k", "size", "crc"])
+    raw = F.col(text).cast("binary")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(key).cast("long").alias("k"), (F.coalesce(F.octet_length(raw), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.coalesce(raw, F.lit(b""))).alias("crc"))
+    placed = rows.join(own, rows.k.eqNullSafe(own.k) & (rows["size"] == own["size"]) & (rows.crc == own.crc))
+    placed.select("doc.*", own.shard, own.slot).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
