@@ -3,7 +3,8 @@
 ``write`` muxes one PCM track of 8-bit samples; ``packets`` parses any Matroska bytes into one row per packet with
 track, timestamp and byte range. All of a file stays in its row; no file meets another.
 
-Defined results: a null text is the empty text, whose payload is one block of bytes 255; equal texts give equal files;
+Defined results: a null text is the empty text, whose payload is one block of bytes 255; texts of any length are stored
+whole; equal texts give equal files;
 bytes that are null, truncated or not Matroska give no packets and a status that says why; an element of unknown
 size ends where an element of a higher level begins or at the end; other columns are ignored.
 """

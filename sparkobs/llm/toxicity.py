@@ -4,7 +4,8 @@ A text's features are the distinct hashes of its words, of their first letters (
 them), of neighbouring words and of words one or two apart. Per-coordinate rates and L1 leave few weights, which are
 broadcast (2**BITS of them at most, whatever the corpus) to score whole texts.
 
-Defined results: a null text scores as the empty one, which has the bias alone; repeated rows get equal scores; a
+Defined results: a null text scores as the empty one, which has the bias alone; texts of any length are scored whole;
+repeated rows get equal scores; a null id is in no fold (``held_out`` is null) and its label teaches nothing; a
 document labelled more than once is toxic if any label says so; null labels and null ids teach nothing; with labels of
 one kind or none every score is that kind's smoothed share (0.5 without any) and nothing is learned; other columns of
 either table are never read.

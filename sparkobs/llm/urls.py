@@ -7,8 +7,9 @@ exact number, a gram, of which the shorter ones are parts: counts of grams are a
 contexts are sums over it, and a url's score is the sum of its grams' ratios, found by a join.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no rule, and is scored as its text
-(null: the empty text, score 0); repeated urls get equal verdicts; very long urls are scored whole; without urls of
-both kinds every score is 0 and the verdict is ``allow``; other columns are never read.
+(null: the empty text, score 0); repeated urls get equal verdicts; very long urls are scored whole, in segments; of
+thresholds that err alike the one nearest 0 holds, and a score that equals it is allowed; without urls of both kinds
+every score is 0 and the verdict is ``allow``; other columns are never read.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ ORDER, STRENGTH, ALPHABET = 4, 4.0, 256
 UNIT = float(1 << 30)  # ratios are added as integers of this fraction of a bit, in any order with the same sum
 MODELS = [f"{f}_{m}" for f in (0, 1) for m in (0, 1)]  # fold, and 0 rejected or 1 accepted
 BINS, SPAN = 2000, 4.0  # the calibration's histogram: scores in bits a character, from -SPAN to SPAN
+SEGMENT = 250_000  # characters whose grams a task holds at once, some 100 bytes each; a bound of memory alone
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,12 +51,17 @@ def ruled(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Col
     return rule, verdict
 
 
-def grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each order a row of contexts and a row of contexts with their character, over all characters; and whose each is."""
-    raw = [b"\x02" * ORDER + u.encode() + b"\x03" for u in urls]
+def segments(url: str) -> list[bytes]:
+    """The url's bytes between its ends, in parts of SEGMENT characters behind the ORDER that precede them."""
+    raw = b"\x02" * ORDER + url.encode() + b"\x03"
+    return [raw[i : i + SEGMENT + ORDER] for i in range(0, len(raw) - ORDER, SEGMENT)]
+
+
+def grams(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each order a row of contexts and a row of contexts with their character, over all characters of segments; and whose each is."""
     sizes = np.array([len(r) - ORDER for r in raw], np.int64)
     data = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
-    whose = np.repeat(np.arange(len(urls)), sizes)
+    whose = np.repeat(np.arange(len(raw)), sizes)
     at = np.arange(len(whose)) + ORDER * (whose + 1)
     contexts = np.zeros((ORDER + 1, len(at)), np.int64)
     for order in range(1, ORDER + 1):
@@ -63,16 +70,23 @@ def grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def gram_rows(urls: DataFrame) -> DataFrame:
-    """uid, times, accepted, fold, gram and n of the distinct grams of each of ``urls``."""
+    """uid, times, accepted, fold, gram and n of the distinct grams of each of ``urls``, by segment where a url has several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "url", 1_000_000):
-            _, chars, whose = grams(b.column("url").to_pylist())
-            order = np.lexsort((chars[ORDER], whose))
-            own, whose = chars[ORDER][order], whose[order]
-            starts = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (whose[1:] != whose[:-1])]))
-            rows = pa.array(whose[starts])
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in kept), pa.array(own[starts]), pa.array(np.diff(np.append(starts, len(own))))], names=[*kept, "gram", "n"])
+        for b in slices(batches, "url", SEGMENT):
+            parts = [(i, x) for i, u in enumerate(b.column("url").to_pylist()) for x in segments(u)]
+            at = 0
+            while at < len(parts):
+                end, size = at, 0
+                while end < len(parts) and (end == at or size + len(parts[end][1]) <= 2 * SEGMENT):
+                    size, end = size + len(parts[end][1]), end + 1
+                _, chars, whose = grams([x for _, x in parts[at:end]])
+                order = np.lexsort((chars[ORDER], whose))
+                own, whose = chars[ORDER][order], whose[order]
+                starts = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (whose[1:] != whose[:-1])]))
+                rows = pa.array(np.array([i for i, _ in parts[at:end]])[whose[starts]])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in kept), pa.array(own[starts]), pa.array(np.diff(np.append(starts, len(own))))], names=[*kept, "gram", "n"])
+                at = end
 
     kept = ["uid", "times", "accepted", "fold"]
     return urls.select("url", *kept).mapInArrow(run, "uid long, times long, accepted int, fold int, gram long, n long")

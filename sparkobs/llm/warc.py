@@ -6,7 +6,7 @@ the others are revisits that refer to it and hold headers alone.
 
 Defined results: a null payload is the empty one; of equal payloads the largest id is the response (of rows that
 repeat that id, each is a response); with only null ids all are responses; a null url is written as an urn of the id;
-control characters and blanks of a url are percent-encoded; an empty table gives no archives; a damaged archive
+control characters and blanks of a url are percent-encoded; payloads of any length are whole records; an empty table gives no archives; a damaged archive
 raises an error that names it. Columns beyond id, url and payload are never read.
 """
 
@@ -140,7 +140,7 @@ def digests(pages: DataFrame, key: str, payload: str) -> DataFrame:
     """id, digest and bytes of each payload; no payload leaves its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "p"):
             own = [(t or "").encode() for t in b.column("p").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([digest(p) for p in own]), pa.array([len(p) for p in own], pa.int64())], names=["id", "sha", "n"])
 

@@ -49,3 +49,30 @@ def test_dataframes(spark):
     assert all(r.status != "ok" and r.packet is None for r in M.packets(bad).collect()) and M.packets(bad).count() == 3
     assert M.digest(df.limit(0)).count() == 0 and M.packets(muxed.limit(0)).count() == 0
     assert struct.calcsize(">hB") == 3
+
+
+def test_a_file_written_by_hand():
+    """Bytes from the format's description: an 8-byte size, a void element, and Xiph and EBML lacing with explicit sizes."""
+    info = "1549A966 87 2AD7B1 83 0F4240"
+    tracks = "1654AE6B 96 AE 94 D7 81 01 83 81 02 86 85 415F414143 23E383 83 0F4240"
+    void = "EC 82 0000"
+    xiph = "A3 410D 81 000A 82 02 03 FF01" + "61" * 3 + "62" * 256 + "63" * 2
+    ebml = "A3 93 81 FFF6 06 02 85 BD" + "64" * 5 + "65" * 3 + "66" * 4
+    cluster = "1F43B675 4129 E7 82 01F4" + xiph + ebml
+    data = bytes.fromhex("1A45DFA3 84 4286 81 01" + "18538067 010000000000015A" + info + tracks + void + cluster)
+    media = M.parse(data)
+    assert [(p[0], p[1], data[p[2] : p[2] + p[3]], p[4], p[5]) for p in media.packets] == [
+        (1, 510_000_000, b"a" * 3, True, "xiph"), (1, 511_000_000, b"b" * 256, True, "xiph"), (1, 512_000_000, b"c" * 2, True, "xiph"),
+        (1, 490_000_000, b"d" * 5, False, "ebml"), (1, 491_000_000, b"e" * 3, False, "ebml"), (1, 492_000_000, b"f" * 4, False, "ebml"),
+    ]
+    assert media.codecs == {1: "A_AAC"} and len(media.clusters) == 1 and not media.cues
+
+
+def test_feature_values():
+    text = "a" * 575 + "\x7f" + "b" * 100
+    payload, _ = M.padded(text)
+    data = M.write(payload)
+    samples = [x - 128 for x in payload]
+    mean, rms = sum(samples) / len(samples), (sum(x * x for x in samples) / len(samples)) ** 0.5
+    crossings = sum((a >= 0) != (b >= 0) for a, b in zip(samples, samples[1:]))
+    assert M.feature(data, M.parse(data), payload) == f"packets=2;laced=2;clusters=1;cues=1;ms=144;mean={mean:.4f};rms={rms:.4f};crossings={crossings}"

@@ -35,6 +35,18 @@ def test_against_brute_force(spark):
     assert [(r.verdict, r.score) for r in alone] == [("allow", 0.0)]
 
 
-def test_probabilities_sum_to_one_at_most():
-    contexts, chars, whose = urls.grams(["http://a/b", ""])
-    assert contexts.shape == (urls.ORDER + 1, 12) and whose.tolist() == [0] * 11 + [1]
+def test_grams_of_segments_are_those_of_the_whole(monkeypatch):
+    whole = urls.segments("http://a/b" * 9) + urls.segments("")
+    contexts, chars, whose = urls.grams(whole)
+    assert contexts.shape == (urls.ORDER + 1, 92) and whose.tolist() == [0] * 91 + [1]
+    monkeypatch.setattr(urls, "SEGMENT", 7)
+    parts = urls.segments("http://a/b" * 9) + urls.segments("")
+    assert len(parts) == 14 and (urls.grams(parts)[1] == chars).all() and (urls.grams(parts)[0] == contexts).all()
+
+
+def test_long_urls_are_scored_as_ever_in_small_segments(spark, monkeypatch):
+    rows = [f"http://site{i}.org/fr/{i * 7919}" for i in range(60)] + [f"http://spam{i}.net/{i * 104729}" for i in range(60)] + ["http://q.info/" + "abc" * 700, "http://q.info/x"]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    whole = {r.page_id: r.score for r in urls.judge(df, URL_RULES).collect()}
+    monkeypatch.setattr(urls, "SEGMENT", 50)
+    assert {r.page_id: r.score for r in urls.judge(df, URL_RULES).collect()} == whole
