@@ -1,9 +1,11 @@
 """N-gram Jaccard join: ordered shingle sets in a trie, traversed with shared partial overlaps and pruned by length.
 
-1. One pass hashes each text's words into its set of distinct shingles, and counts all shingles in a sketch of fixed
-   size. The sketch gives every shingle a global rank, rare ones first; any collision only moves a rank.
+1. One pass hashes each text's words into its set of distinct shingles, and counts all shingles in a sketch whose size
+   follows the corpus up to a fixed bound. The sketch gives every shingle a global rank, rare ones first; any collision
+   only moves a rank.
 2. Two sets that reach the similarity share one of their first n - ceil(t n) + 1 ranked shingles. Documents that meet
-   on such a shingle are chained by size, not paired; the chains' components say which sets may meet at all.
+   on such a shingle are chained by size, not paired; the chains' components say which sets may meet at all. Each task
+   chains its own documents first, so a shingle of very many documents is shuffled as a few runs of sizes.
 3. Within a component, sets first meet as profiles: counts of their shingles by hash range. The sum of the smaller
    counts bounds the overlap, so most sets that only share a passage part here, at a byte for every few shingles.
 4. What is left meets as sets. A block's sets, frequent shingles first, form a path-compressed trie; each set walks it,
@@ -16,12 +18,13 @@ Equal texts (after lower-casing A-Z and cutting at blanks) are one class and nev
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; texts of fewer words than a
 shingle are one shingle; a row without an id gets the smallest id of its component, null if there is none; rows that
-repeat an id are each judged by their text; empty tables give empty tables; other columns are never read. Words,
-shingles and classes are 64-bit hashes: equal sets need no collision, unequal ones could only meet by one.
+repeat an id are each judged by their text; ties in size or rank fall either way and change no link; texts of any length
+are shingled whole; empty tables give empty tables; other columns are never read. Words, shingles and classes are 64-bit hashes: equal sets need no collision, unequal ones could only meet by one.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import chain
 
@@ -33,12 +36,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from sparkobs.llm.common import slices, stored
+from sparkobs.llm.common import discard, slices, stored
 
 WORDS, SIMILAR = 5, 80  # shingle length; least similarity in percent
-BITS, CHUNK = 20, 14  # of the sketch, and of a part of it
+BITS, CHUNK = (18, 23), 14  # of the sketch, least and most (a byte each when broadcast), and of a part of it
+FILTER_BITS = (12, 27)  # of the filter that picks texts for the full sets, least and most
 BLOCK_DOCS, BLOCK_SHINGLES, PIVOTS, SALTS = 400, 1_000_000, 25, 8
-PROFILE_DOCS = 2000  # of a block of profiles, which are a small part of the sets
+PROFILE_DOCS = 1000  # of a block of profiles, which are a small part of the sets
 REMEMBERED = 600_000
 FINISH = 500_000  # edges of 16 bytes that one task ties together
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -274,7 +278,17 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         e = met.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a != b").distinct()
 
 
-def survey(docs: DataFrame, bits: int) -> DataFrame:
+def packed(counts: np.ndarray) -> bytes:
+    """Counters in bytes where all fit."""
+    return zstandard.ZstdCompressor(level=1).compress((counts.astype(np.uint8) if counts.max() < 256 else counts.astype(np.uint32)).tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    return np.frombuffer(raw, np.uint8 if len(raw) == 1 << CHUNK else np.uint32)
+
+
+def survey(docs: DataFrame, bits: int, turns: int) -> DataFrame:
     """A row for each document (id, mark, class, n, its profile as data) and rows with parts of the sketch of all shingles (part, turn, counts as data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,36 +296,43 @@ def survey(docs: DataFrame, bits: int) -> DataFrame:
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for b in slices(batches, "text"):
             shingles, counts, classes = shingler(b.column("text").to_pylist())
-            sketch += np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+            np.add.at(sketch, (shingles >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
             ends = np.cumsum(counts).tolist()
             profiles = [n.to_bytes(4, "little") + profile(shingles[e - n : e]).tobytes() if n else None for e, n in zip(ends, counts.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("mark"), pa.array(classes), pa.array(counts), *(pa.nulls(len(counts), t) for t in types[4:6]), pa.array(profiles, pa.binary())], names=names)
-        pack = zstandard.ZstdCompressor(level=1).compress
         parts = [(k, p) for k, p in enumerate(sketch.reshape(-1, 1 << CHUNK)) if p.any()]
-        turn = int(xxhash.xxh32_intdigest(sketch.tobytes()) % 64)
+        turn = int(xxhash.xxh32_intdigest(sketch.tobytes()) % turns)
         n = len(parts)
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in types[:4]), pa.array([k for k, _ in parts], pa.int32()), pa.array([turn] * n, pa.int32()), pa.array([pack(p.tobytes()) for _, p in parts], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in types[:4]), pa.array([k for k, _ in parts], pa.int32()), pa.array([turn] * n, pa.int32()), pa.array([packed(p) for _, p in parts], pa.binary())], names=names)
 
     return docs.mapInArrow(run, "id long, mark long, class long, n long, part int, turn int, data binary")
 
 
-def sketch_of(rows: DataFrame, bits: int) -> np.ndarray:
-    """The whole sketch: parts are summed by turn, then over all turns; 2**bits counters reach the driver."""
+def sketch_of(rows: DataFrame, bits: int, turns: int) -> np.ndarray:
+    """The whole sketch: parts are summed by turn, then over all turns; 2**bits counters reach the driver.
+
+    A byte holds a count's root in units of a quarter of the mean's, where chance spreads all counts alike."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(1 << CHUNK, np.uint32)
         for c in pdf.data:
-            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(c), np.uint32)
-        return pd.DataFrame({"part": [pdf.part.iloc[0]], "turn": [pdf.turn.iloc[0]], "data": [zstandard.ZstdCompressor(level=1).compress(total.tobytes())]})
+            total += unpacked(c)
+        return pd.DataFrame({"part": [pdf.part.iloc[0]], "turn": [pdf.turn.iloc[0]], "data": [packed(total)]})
 
     kind = "part int, turn int, data binary"
     parts = rows.where("part is not null").select("part", "turn", "data")
-    for by in (["part", "turn"], ["part"]):
+    for by in (["part", "turn"], ["part"])[turns == 1 :]:
         parts = parts.groupBy(*by).applyInPandas(add, kind)
     sketch = np.zeros((1 << bits - CHUNK, 1 << CHUNK), np.uint32)
     for r in parts.toLocalIterator():
-        sketch[r.part] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.data)), np.uint32)
-    return sketch.ravel()
+        sketch[r.part] = unpacked(bytes(r.data))
+    return np.minimum(np.sqrt(sketch.ravel()) * (64 / max(1.0, float(sketch.mean())) ** 0.5), 255).astype(np.uint8)
+
+
+def sketch_size(texts: DataFrame) -> tuple[int, int]:
+    """Bits that give a counter to every 8 shingles or so (a word has about 6 bytes), within BITS; and the groups of tasks whose sketches are summed first."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(BITS[1], max(BITS[0], int(size // 48).bit_length())), min(4096, 1 + size // (1 << 31))
 
 
 def chains(docs: DataFrame, sketch: np.ndarray, bits: int) -> DataFrame:
@@ -323,7 +344,7 @@ def chains(docs: DataFrame, sketch: np.ndarray, bits: int) -> DataFrame:
 
         def ranked(x: np.ndarray) -> np.ndarray:
             """Rank: the sketch's count, then the low bits of the hash."""
-            return np.minimum(sketch[(x >> np.uint64(64 - bits)).astype(np.int64)], (1 << 20) - 1).astype(np.uint64) << np.uint64(44) | x & np.uint64((1 << 44) - 1)
+            return sketch[(x >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(44) | x & np.uint64((1 << 44) - 1)
 
         for b in slices(batches, "text"):
             def first(classes: np.ndarray) -> np.ndarray:
@@ -340,36 +361,56 @@ def chains(docs: DataFrame, sketch: np.ndarray, bits: int) -> DataFrame:
             whose = np.repeat(np.arange(len(counts)), counts)
             at = np.arange(len(shingles)) - np.repeat(np.cumsum(counts) - counts, counts)
             keep = at < np.repeat(counts - -(-SIMILAR * counts // 100) + 1, counts)
-            whose = whose[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(shingles[keep].view(np.int64)), pa.array(classes[whose]), pa.array(counts[whose].astype(np.int32))], names=["shingle", "class", "n"])
+            s, c, n = shingles[keep].view(np.int64), classes[whose[keep]], counts[whose[keep]]
+            order = np.lexsort((n, s))
+            s, c, n = s[order], c[order], n[order]
+            near = chained(s, n, n)
+            first = np.flatnonzero(~near)
+            last = np.append(first[1:], len(s)) - 1 if len(s) else first
+            pairs = np.unique(np.stack([c[1:][near[1:]], c[:-1][near[1:]]]), axis=1) if near.any() else np.zeros((2, 0), np.int64)
+            # a pair travels as a row whose sizes are below 0, anywhere
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s[first], pairs[0]])), pa.array(np.concatenate([c[first], pairs[1]])), pa.array(np.concatenate([n[first] << 32 | n[last] - n[first], np.full(pairs.shape[1], -1)]))], names=["shingle", "class", "sizes"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links, last = Links(), None
         for b in batches:
-            s, c, n = (b.column(k).to_numpy() for k in ("shingle", "class", "n"))
+            s, c, z = (b.column(k).to_numpy() for k in ("shingle", "class", "sizes"))
+            for x, y in zip(s[z < 0].tolist(), c[z < 0].tolist(), strict=True):
+                links.join(x, y)
+            s, c, low, high = s[z >= 0], c[z >= 0], z[z >= 0] >> 32, (z[z >= 0] >> 32) + (z[z >= 0] & (1 << 32) - 1)
             if last is not None:
-                s, c, n = (np.concatenate([[x], y]) for x, y in zip(last, (s, c, n), strict=True))
-            near = np.flatnonzero((s[1:] == s[:-1]) & (c[1:] != c[:-1]) & (100 * n[:-1].astype(np.int64) >= SIMILAR * n[1:].astype(np.int64)))
+                s, c, low, high = (np.concatenate([[x], y]) for x, y in zip(last, (s, c, low, high), strict=True))
+            if not len(s):
+                continue
+            near = np.flatnonzero(chained(s, low, high)[1:])
+            near = near[c[near] != c[near + 1]]
             for x, y in zip(c[near].tolist(), c[near + 1].tolist(), strict=True):
                 links.join(x, y)
-            last = (s[-1], c[-1], n[-1])
+            last = (s[-1], c[-1], low[-1], high[s == s[-1]].max())
             if len(links.up) > REMEMBERED:
                 yield pa.RecordBatch.from_pandas(pd.DataFrame(links.edges(), columns=["a", "b"], dtype="int64"), preserve_index=False)
                 links = Links()
         yield pa.RecordBatch.from_pandas(pd.DataFrame(links.edges(), columns=["a", "b"], dtype="int64"), preserve_index=False)
 
-    return docs.mapInArrow(prefixes, "shingle long, class long, n int").repartition("shingle").sortWithinPartitions("shingle", "n", "class").mapInArrow(linked, "a long, b long")
+    return docs.mapInArrow(prefixes, "shingle long, class long, sizes long").repartition("shingle").sortWithinPartitions("shingle", "sizes", "class").mapInArrow(linked, "a long, b long")
+
+
+def chained(shingles: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Whether each run of sizes (``low`` to ``high``, in order of shingle and low) may hold a set similar to one of the runs before it."""
+    same = np.zeros(len(shingles), bool)
+    same[1:] = shingles[1:] == shingles[:-1]
+    group = np.cumsum(~same) << 32
+    reach = np.maximum.accumulate(group | high) - group  # the largest size so far under one shingle
+    same[1:] &= 100 * reach[:-1] >= SIMILAR * low[1:]
+    return same
 
 
 def filter_of(nodes: DataFrame, bits: int) -> np.ndarray:
     """A Bloom filter of 2**bits bits over nodes with their least id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(1 << bits, bool)
         for b in batches:
-            for at in spots(b.column("node").to_numpy(), b.column("least").fill_null(0).to_numpy(), bits):
-                flags[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(flags))], names=["at"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(spots(b.column("node").to_numpy(), b.column("least").fill_null(0).to_numpy(), bits))))], names=["at"])
 
     flags = np.zeros(1 << bits, bool)
     packed = nodes.select("node", "least").mapInArrow(run, "at long").groupBy(F.shiftright("at", 12).alias("part")).agg(F.collect_set(F.col("at").bitwiseAND(4095).cast("int")).alias("own"))
@@ -385,7 +426,7 @@ def spots(classes: np.ndarray, ids: np.ndarray, bits: int) -> list[np.ndarray]:
 
 def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, data: the shingle sets (bytes) of the classes ``nodes`` (node, least), each from the document with the least id."""
-    bits = min(24, max(12, int(nodes.count() * 16).bit_length()))
+    bits = min(FILTER_BITS[1], max(FILTER_BITS[0], int(nodes.count() * 16).bit_length()))
     known = docs.sparkSession.sparkContext.broadcast(filter_of(nodes, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -473,23 +514,26 @@ def tie(own: DataFrame, data: DataFrame, kernel, most: int, name: str) -> DataFr
 def grouped(docs: DataFrame, key: str, text: str, mark: Column) -> DataFrame:
     """id, mark, class, n, group (null for a text that is like no other) and component (the group's least id, else the own id) of every document."""
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    seen = stored(survey(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), mark.cast("long").alias("mark")), BITS), "shingles")
+    (bits, turns), run = sketch_size(texts), f"jaccard-{uuid.uuid4().hex}"  # a folder for all that only this function reads
+    seen = stored(survey(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), mark.cast("long").alias("mark")), bits, turns), "shingles")
     rows = seen.where("part is null").select("id", "mark", "class", "n")
     classes = rows.where("n > 0").groupBy("class").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     of_class = classes.select(F.col("class").alias("node"), "least", "n")
-    near = components(chains(texts, sketch_of(seen, BITS), BITS), "near")
-    own = stored(near.join(of_class, "node"), "candidates")
+    near = components(chains(texts, sketch_of(seen, bits, turns), bits), f"{run}/near")
+    own = stored(near.join(of_class, "node"), f"{run}/candidates")
     # a class's profile comes from the document with its least id
     profiles = seen.where("n > 0").select(F.col("class").alias("node"), F.col("id").alias("least"), "data").join(own.select("node", "least"), ["node", "least"]).select("node", "data")
     profiles = profiles.unionAll(seen.where("n > 0 and id is null").select(F.col("class").alias("node"), "data").join(own.where("least is null").select("node"), "node"))
-    may = components(tie(own, stored(profiles, "profiles"), bounded, PROFILE_DOCS, "bound"), "may")
-    own = stored(may.join(of_class, "node"), "similar")
-    links = tie(own, stored(sets_of(texts, own), "sets"), tried, BLOCK_DOCS, "links")
-    tied = components(links, "final").select(F.col("node").alias("class"), "root")
+    may = components(tie(own, stored(profiles, f"{run}/profiles"), bounded, PROFILE_DOCS, f"{run}/bound"), f"{run}/may")
+    own = stored(may.join(of_class, "node"), f"{run}/similar")
+    links = tie(own, stored(sets_of(texts, own), f"{run}/sets"), tried, BLOCK_DOCS, f"{run}/links")
+    tied = components(links, f"{run}/final").select(F.col("node").alias("class"), "root")
     named = classes.join(tied, "class", "left").where("copies > 1 or root is not null")  # all others are alone
     least = named.where("root is not null").groupBy("root").agg(F.min("least").alias("component"))
     named = lookup(named, least, "root", "class", "left").select("class", F.coalesce("root", "class").alias("group"), F.coalesce("component", "least").alias("component"))
-    out = lookup(rows.withColumnRenamed("id", "doc"), stored(named, "named"), "class", "doc", "left").withColumnRenamed("doc", "id")
+    named = stored(named, "named")
+    discard(docs.sparkSession, run)
+    out = lookup(rows.withColumnRenamed("id", "doc"), named, "class", "doc", "left").withColumnRenamed("doc", "id")
     return out.select("id", "mark", "class", "n", "group", F.coalesce("component", "id").alias("component"))
 
 
@@ -499,10 +543,19 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of the rows of a group the one with the least key, null last; ties go by the text's class, then by the row's hash. All other rows once."""
-    mark = F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))  # alone, the hash passes over nulls
-    alike = stored(grouped(docs, key, text, mark).where("group is not null").select("id", "mark", "class", "group").distinct(), "alike")
-    first = alike.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "class", "mark")).alias("x")).select("group", F.col("x.id").alias("first_id"), F.col("x.mark").alias("first_mark"))
-    gone = lookup(alike, first, "group", "mark").where("not (id <=> first_id and mark = first_mark)").select(F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark"))
-    marked = docs.withColumn("__mark", mark)
-    return marked.join(gone, (marked["__mark"] == gone.gone_mark) & F.col(key).cast("long").eqNullSafe(gone.gone_id), "left_anti").drop("__mark").distinct()
+    """Of the rows of a group the one with the least key, null last; ties go by the text's class, then by the row's hash. All other rows once.
+
+    Only keys and hashes of rows decide; texts are shuffled where rows repeat, and nowhere else."""
+    mark, name = F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)), "mark"  # alone, the hash passes over nulls
+    while name in docs.columns:
+        name += "_"
+    rows = stored(grouped(docs, key, text, mark).groupBy("id", "mark", "class", "group").agg((F.count(F.lit(1)) > 1).alias("again")), "alike")
+    first = rows.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "class", "mark")).alias("x")).select("group", F.col("x.id").alias("first_id"), F.col("x.mark").alias("first_mark"))
+    gone = lookup(rows.where("group is not null"), first, "group", "mark").where("not (id <=> first_id and mark = first_mark)").select("id", "mark", F.lit(True).alias("gone"))
+    again = rows.where("again").select("id", "mark", F.lit(False).alias("gone"))
+    told = stored(gone.unionAll(again).groupBy(F.col("id").alias("told_id"), F.col("mark").alias("told_mark")).agg(F.max("gone").alias("told_gone")), "gone")
+    marked = docs.withColumn(name, mark)
+    on = (F.col(name) == told.told_mark) & F.col(key).cast("long").eqNullSafe(told.told_id)
+    left = marked.join(told, on, "left_anti").drop(name)
+    once = told.where("not told_gone")
+    return left.unionAll(marked.join(once, on, "left_semi").drop(name).distinct()) if once.limit(1).count() else left
