@@ -50,3 +50,28 @@ def test_stages_and_run(spark, tmp_path):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(seen[3][i].text.encode()).hexdigest())
     whole = Counter(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))
     assert whole == Counter(map(tuple, spark.read.parquet(f"{tmp_path}/byte_bpe").collect()))
+
+
+def test_stages_over_odd_tables(spark, tmp_path):
+    """An empty table, labels without rows, very long texts, and columns whose names the operators use themselves."""
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, mark string, row string, own string, size string, pat string, k0 string, spans string"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    extra = ("m", "r", "o", "s", "p", "k", "sp")
+    long = "lang " + " ".join(f"w{i * 7919 % 100_003}" for i in range(60_000)) + " joe@x.example.com"
+    rows = [(1, long, "en", "a", len(long), *extra), (2, None, None, None, None, *extra), (2, None, None, None, None, *extra), (3, "", "de", "a", 0, *extra), (4, "some words of another kind", "en", "b", 26, *extra)]
+    for name, given in (("none", []), ("odd", rows)):
+        docs = spark.createDataFrame(given, kinds)
+        for stage, f in corpus_pipeline.STAGES:
+            out = f(spark, docs, str(tmp_path))
+            if stage != "byte_bpe":
+                assert out.columns == docs.columns
+            out.write.parquet(f"{tmp_path}/{name}-{stage}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}-{stage}")
+            if stage in ("toxicity", "jaccard_join", "pii"):
+                assert docs.count() == len(set(given)) + (stage == "toxicity") * (len(given) - len(set(given)))
+        if given:
+            assert {r.doc_id for r in docs.collect()} == {1, 4}
+            kept = {r.doc_id: r for r in spark.read.parquet(f"{tmp_path}/odd-pii").collect()}
+            assert kept[1].text == long.replace("joe@x.example.com", "[EMAIL]") and kept[1].n_chars == len(kept[1].text) and kept[1].mark == "m"
+        else:
+            assert docs.count() == 0
