@@ -1,7 +1,9 @@
 """A corpus pipeline over ``documents``: each stage applies one operator to all that the stage before it kept.
 
-All stages but the last return the columns of documents. Of rows that are alike one stays at the join, with an id
-if any has one; repeated rows stay once there; null texts pass all stages but mixing, which takes no empty document.
+All stages but the last return the columns of documents, and any others that documents has. Of rows that are alike one
+stays at the join: the one with the least id, null last, ties by hash of text and row; repeated rows stay once there.
+Null and empty texts pass all stages but mixing, which takes no document without words; very long texts go through all
+stages whole; an empty table gives an empty table, and without labels no document counts as toxic.
 """
 
 from __future__ import annotations
@@ -28,8 +30,11 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gives way to the name of its kind; n_chars follows the new text."""
-    out = pii.redact(docs.withColumn("__was", F.length("text")))
-    return out.withColumn("n_chars", F.when(F.length("text") != F.col("__was"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    both = pii.redact(docs.select(F.struct(*docs.columns).alias("old"), "text"))
+    kept = [F.col("old").getField(c).alias(c) for c in docs.columns if c not in ("text", "n_chars")]
+    size = F.length("text").cast(docs.schema["n_chars"].dataType)
+    n = F.when(F.length("text") != F.length("old.text"), size).otherwise(F.col("old.n_chars")).alias("n_chars")
+    return both.select(*kept, "text", n).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
