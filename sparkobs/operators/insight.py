@@ -114,3 +114,39 @@ def nearest(df: DataFrame, field: str, wanted: str, top: int = 3) -> DataFrame:
 def inventory(df: DataFrame, keys: list[str], time: str) -> DataFrame:
     """Distinct identities with when they were first and last seen."""
     return df.groupBy(*keys).agg(F.min(time).alias("first_us"), F.max(time).alias("last_us"), F.count(F.lit(1)).alias("n"))
+
+
+def discovered(df: DataFrame, bag: str) -> DataFrame:
+    """Keys of a bag of attributes (JSON text or a map of texts): how often each is there, its distinct values, and how many are numbers, from what to what."""
+    pairs = F.from_json(bag, "map<string,string>") if dict(df.dtypes)[bag] == "string" else c(bag)
+    own = df.select(F.explode(pairs).alias("name", "value")).where("value is not null").withColumn("number", c("value").try_cast("double"))
+    return own.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("values"), F.count("number").alias("numbers"), F.min("number").alias("lo"), F.max("number").alias("hi"))
+
+
+def health_trend(rollup: DataFrame, seconds: int) -> DataFrame:
+    """Error rate of all services by bucket, weighted by spans."""
+    at = F.floor(c("bucket_ms") / (seconds * 1000)).cast("long") * (seconds * 1000)
+    return rollup.groupBy(at.alias("at_ms")).agg(F.coalesce(F.sum(c("error_rate") * c("spans")) / F.nullif(F.sum("spans"), F.lit(0)), F.lit(0.0)).alias("error_rate"))
+
+
+def repeated_patterns(logs: DataFrame, template: Column, start_us: int, end_us: int, least: int = 3, top: int = 50) -> DataFrame:
+    """Templates of warnings and errors that repeat, by severity and service."""
+    own = logs.where((c("time_us") >= start_us) & (c("time_us") < end_us) & c("severity").isin("WARN", "ERROR", "FATAL"))
+    counts = own.groupBy(F.coalesce(template, F.lit("")).alias("template"), "severity", "service").agg(F.count(F.lit(1)).alias("n"), F.min("time_us").alias("first_us"), F.max("time_us").alias("last_us"))
+    return counts.where(c("n") >= least).orderBy(F.desc("n"), "template", "severity", "service").limit(top)
+
+
+def health_score(anomalies: DataFrame, patterns: DataFrame) -> DataFrame:
+    """100, less 15, 10 or 5 for each anomaly by its z, less 5 for each frequent error pattern and 2 for each of warnings; 0 at least."""
+    z = F.abs("z")
+    a = anomalies.select(F.when(z >= 3, 15.0).when(z >= 2.5, 10.0).when(z >= 2, 5.0).otherwise(0.0).alias("penalty"))
+    b = patterns.select(F.when((c("severity") == "ERROR") & (c("n") >= 10), 5.0).when((c("severity") == "WARN") & (c("n") >= 20), 2.0).otherwise(0.0).alias("penalty"))
+    return a.unionAll(b).agg(F.greatest(F.lit(0.0), F.lit(100.0) - F.coalesce(F.sum("penalty"), F.lit(0.0))).alias("score"))
+
+
+def annotations(deploys: DataFrame, episodes: DataFrame, start_us: int, end_us: int, top: int = 1000) -> DataFrame:
+    """Deploys in a window and anomalies that overlap it, newest first, ``top`` of each."""
+    d = deploys.where((c("deploy_us") >= start_us) & (c("deploy_us") < end_us)).orderBy(F.desc("deploy_us"), "namespace", "service", "service_version").limit(top)
+    e = episodes.where((c("end_us") > start_us) & (c("start_us") < end_us)).orderBy(F.desc("end_us"), "namespace", "service", "kind").limit(top)
+    shown = d.select("namespace", "service", F.lit("deploy").alias("kind"), c("deploy_us").alias("from_us"), c("deploy_us").alias("to_us"), c("service_version").alias("title"))
+    return shown.unionByName(e.select("namespace", "service", "kind", c("start_us").alias("from_us"), c("end_us").alias("to_us"), "title"))

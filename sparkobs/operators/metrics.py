@@ -20,34 +20,45 @@ def deduped(points: DataFrame) -> DataFrame:
     return best.select("series", "time_us", "x.*")
 
 
+def valid(points: DataFrame) -> DataFrame:
+    """Points that can be measured: finite values, and histograms whose counts fit their bounds or that have neither."""
+    finite = lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))
+    number = (c("type") != "histogram") & finite(c("value"))
+    fits = (F.size("counts") == F.size("bounds") + 1) | (F.size("counts") == 0) & (F.size("bounds") == 0)
+    return points.where(number | (c("type") == "histogram") & (c("sum").isNull() | finite(c("sum"))) & fits)
+
+
+def delta(points: DataFrame, cumulative: bool) -> Column:
+    """Whether a point counts since its start or the point before it: by its temporality, where points carry one."""
+    return F.coalesce(c("temporality") == "delta", F.lit(False)) if "temporality" in points.columns else F.lit(not cumulative)
+
+
 def increases(points: DataFrame, cumulative: bool = True) -> DataFrame:
     """inc, from_us and elapsed_us of every point; a cumulative point without one before yields none.
 
     A counter is reset where its start changes or its value falls; then the value itself is the increase."""
     w = Window.partitionBy("series").orderBy("time_us", "ingested")
-    own = points.withColumns({"p_time": F.lag("time_us").over(w), "p_value": F.lag("value").over(w), "p_start": F.lag("start_us").over(w)})
-    if cumulative:
-        own = own.where("p_time is not null")
-        reset = F.coalesce(c("start_us") != c("p_start"), F.lit(False)) | (c("value") < c("p_value"))
-        inc, since = F.when(reset, c("value")).otherwise(c("value") - c("p_value")), c("p_time")
-    else:
-        reset, inc = F.lit(False), c("value")
-        since = F.when(c("start_us") < c("time_us"), c("start_us")).otherwise(c("p_time"))
+    own = points.withColumns({"p_time": F.lag("time_us").over(w), "p_value": F.lag("value").over(w), "p_start": F.lag("start_us").over(w), "delta": delta(points, cumulative)})
+    reset = ~c("delta") & (F.coalesce(c("start_us") != c("p_start"), F.lit(False)) | F.coalesce(c("value") < c("p_value"), F.lit(False)))
+    own = own.where("delta or p_time is not null").withColumns({"reset": reset, "from_us": F.when(c("delta") & (c("start_us") < c("time_us")), c("start_us")).otherwise(c("p_time"))})
+    inc = F.when(c("delta") | c("reset"), c("value")).otherwise(c("value") - c("p_value"))
     elapsed = c("time_us") - c("from_us")
-    return own.withColumns({"reset": reset, "inc": inc, "from_us": since}).select("series", "time_us", "reset", "inc", "from_us", F.when(elapsed > 0, elapsed).alias("elapsed_us"))
+    return own.select("series", "time_us", "reset", inc.alias("inc"), "from_us", F.when(elapsed > 0, elapsed).alias("elapsed_us"))
 
 
-def spread(increase: DataFrame, seconds: int) -> DataFrame:
-    """Parts of each increase by bucket, in proportion to overlap; gaps above LOOKBACK_US stay with their point's bucket."""
-    width = seconds * 1_000_000
+def spread(increase: DataFrame, seconds: int, **parts: str) -> DataFrame:
+    """Parts of each increase by bucket, in proportion to overlap; gaps above LOOKBACK_US stay with their point's bucket.
+
+    ``parts`` names what is shared out, numbers or arrays of them (by default the column inc, as part); other columns stay."""
+    parts, width = parts or {"part": "inc"}, seconds * 1_000_000
     fits = c("elapsed_us").isNotNull() & (c("elapsed_us") <= LOOKBACK_US)
     at = lambda t: F.floor(t / width).cast("long")
     own = increase.withColumn("fits", fits).withColumn("i", F.explode(F.sequence(F.when(fits, at(c("from_us"))).otherwise(at(c("time_us"))), F.when(fits, at(c("time_us") - 1)).otherwise(at(c("time_us"))))))
     overlap = F.least(c("time_us"), (c("i") + 1) * width) - F.greatest(c("from_us"), c("i") * width)
-    return own.select(
-        "series", (c("i") * (seconds * 1000)).alias("bucket_ms"), "time_us",
-        F.when(c("fits"), c("inc") * overlap / c("elapsed_us")).otherwise(c("inc").cast("double")).alias("part"), F.when(c("fits"), overlap).otherwise(c("elapsed_us")).alias("covered_us"),
-    )
+    share = lambda x: F.when(c("fits"), x * overlap / c("elapsed_us")).otherwise(x.cast("double"))
+    each = lambda name: F.transform(name, share) if dict(increase.dtypes)[name].startswith("array") else share(c(name))
+    kept = [x for x in increase.columns if x not in (*parts.values(), "reset", "from_us", "elapsed_us")]
+    return own.select(*kept, (c("i") * (seconds * 1000)).alias("bucket_ms"), *(each(name).alias(k) for k, name in parts.items()), F.when(c("fits"), overlap).otherwise(c("elapsed_us")).alias("covered_us"))
 
 
 def rates(parts: DataFrame) -> DataFrame:
@@ -56,6 +67,16 @@ def rates(parts: DataFrame) -> DataFrame:
     return own
 
 
+def carried_rates(parts: DataFrame, seconds: int) -> DataFrame:
+    """Rates by series and bucket, and in buckets without covered time the rate of the last increase, if that ended no longer than STALE_US before the bucket's start."""
+    width = seconds * 1_000_000
+    own = parts.where("covered_us > 0").withColumn("i", (c("bucket_ms") / (seconds * 1000)).cast("long"))
+    own = own.groupBy("series", "i").agg((F.sum("part") / (F.sum("covered_us") / 1e6)).alias("rate"), F.max_by(c("part") / (c("covered_us") / 1e6), "time_us").alias("last"), F.max("time_us").alias("time_us"))
+    own = own.withColumn("until", F.least(F.coalesce(F.lead("i").over(Window.partitionBy("series").orderBy("i")), F.lit(2**40)) - 1, F.floor((c("time_us") + STALE_US) / width)).cast("long"))
+    filled = own.where("until > i").select("series", F.explode(F.sequence(c("i") + 1, c("until"))).alias("i"), c("last").alias("rate"), F.lit(1).alias("is_carried"))
+    return own.select("series", "i", "rate", F.lit(0).alias("is_carried")).unionByName(filled).select("series", (c("i") * (seconds * 1000)).alias("bucket_ms"), "rate", "is_carried")
+
+
 def last_at(points: DataFrame, seconds: int, start_us: int, end_us: int) -> DataFrame:
     """The newest value of each series at every bucket's end, if no older than STALE_US: an as-of join.
 
@@ -93,17 +114,27 @@ def rebinned(counts: Column, old: Column, new: Column) -> Column:
     return F.transform(cells, inside)
 
 
-def histogram_increases(points: DataFrame) -> DataFrame:
-    """Bucket counts, sums and totals gained since the point before; changed bounds are matched, lost mass is a reset."""
-    w = Window.partitionBy("series").orderBy("time_us", "ingested")
-    own = points.where(F.size("counts") == F.size("bounds") + 1)
-    own = own.withColumns({"p_counts": F.lag("counts").over(w), "p_bounds": F.lag("bounds").over(w), "p_sum": F.lag("sum").over(w)}).where("p_counts is not null")
+def histogram_increases(points: DataFrame, cumulative: bool = True) -> DataFrame:
+    """Bucket counts, sums and totals gained since the point before; changed bounds are matched, lost mass or another start is a reset.
+
+    Sums that are not finite take their point out; ``count`` and ``start_us`` are used where points carry them."""
+    w, has = Window.partitionBy("series").orderBy("time_us", "ingested"), set(points.columns)
     total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b)
-    own = own.withColumn("was", F.when(c("bounds") == c("p_bounds"), c("p_counts")).otherwise(rebinned(c("p_counts"), c("p_bounds"), c("bounds"))))
-    gained = F.zip_with("counts", "was", lambda a, b: a - b)
-    reset = (total(c("was")) != total(c("p_counts"))) | (total(c("counts")) < total(c("p_counts"))) | F.exists(gained, lambda x: x < 0)
-    own = own.withColumn("reset", reset)
-    return own.select("series", "time_us", "bounds", "reset", F.when(c("reset"), c("counts")).otherwise(gained).alias("gained"), F.when(c("reset"), c("sum")).otherwise(c("sum") - c("p_sum")).alias("sum_inc"), F.when(c("reset"), total(c("counts"))).otherwise(total(c("counts")) - total(c("p_counts"))).alias("count_inc"))
+    fits = (F.size("counts") == F.size("bounds") + 1) | (F.size("counts") == 0) & (F.size("bounds") == 0)
+    own = points.where(fits & (c("sum").isNull() | ~F.isnan(c("sum").cast("double")) & (F.abs("sum") < float("inf"))))
+    own = own.withColumns({"n": c("count") if "count" in has else total(c("counts")), "begun": c("start_us") if "start_us" in has else F.lit(None).cast("long"), "delta": delta(points, cumulative)})
+    own = own.withColumns({f"p_{x}": F.lag(x).over(w) for x in ("counts", "bounds", "sum", "n", "begun", "time_us")}).where("delta or p_counts is not null")
+    same = c("bounds") == c("p_bounds")
+    own = own.withColumn("was", F.when(same, c("p_counts")).otherwise(rebinned(c("p_counts"), c("p_bounds"), c("bounds"))))
+    own = own.withColumn("diff", F.zip_with("counts", "was", lambda a, b: a - b))
+    reset = F.coalesce(c("begun") != c("p_begun"), F.lit(False)) | (c("n") < c("p_n")) | ~same & (total(c("was")) != total(c("p_counts"))) | F.exists("diff", lambda x: x < 0)
+    own = own.withColumns({"reset": ~c("delta") & F.coalesce(reset, F.lit(False)), "from_us": F.when(c("delta") & (c("begun") < c("time_us")), c("begun")).otherwise(c("p_time_us"))})
+    since = lambda x, old: F.when(c("delta") | c("reset"), x).otherwise(old)
+    elapsed = c("time_us") - c("from_us")
+    return own.select(
+        "series", "time_us", "bounds", "reset", since(c("counts"), c("diff")).alias("gained"), since(c("sum"), c("sum") - c("p_sum")).alias("sum_inc"), since(c("n"), c("n") - c("p_n")).alias("count_inc"),
+        "from_us", F.when(elapsed > 0, elapsed).alias("elapsed_us"),
+    )
 
 
 def bucket_weights(gains: DataFrame, *keys: str) -> DataFrame:

@@ -40,12 +40,16 @@ def restricted(df: DataFrame, keys: DataFrame | None, time: str) -> DataFrame:
     return own if keys is None else own.join(keys, ["namespace", "bucket_ms", "service"], "left_semi")
 
 
-def service_rollup(spans: DataFrame, logs: DataFrame, keys: DataFrame | None = None) -> DataFrame:
-    """Counts, served quantiles (all spans where none is served), error rate and log counts."""
+def service_rollup(spans: DataFrame, logs: DataFrame, keys: DataFrame | None = None, metrics: DataFrame | None = None) -> DataFrame:
+    """Counts, served quantiles (all spans where none is served), error rate, log counts, and the number of metrics that reported where points are given."""
     quantile = lambda q: F.coalesce(F.percentile(F.when(served(), c("duration_ms")), F.lit(q)), F.percentile("duration_ms", F.lit(q)))
     s = restricted(spans, keys, "start_us").groupBy("namespace", "bucket_ms", "service").agg(F.count(F.lit(1)).alias("spans"), F.count_if(served()).alias("served_spans"), quantile(0.5).alias("p50_ms"), quantile(0.95).alias("p95_ms"), M.error_rate().alias("error_rate"))
     g = restricted(logs, keys, "time_us").groupBy("namespace", "bucket_ms", "service").agg(F.count(F.lit(1)).alias("log_count"))
-    return s.join(g, ["namespace", "bucket_ms", "service"], "full_outer").na.fill(0, ["spans", "served_spans", "log_count"])
+    own = s.join(g, ["namespace", "bucket_ms", "service"], "full_outer").na.fill(0, ["spans", "served_spans", "log_count"])
+    if metrics is None:
+        return own
+    m = restricted(metrics, keys, "time_us").groupBy("namespace", "bucket_ms", "service").agg(F.countDistinct("name").alias("metric_count"))
+    return own.join(m, ["namespace", "bucket_ms", "service"], "full_outer").na.fill(0, ["spans", "served_spans", "log_count", "metric_count"])
 
 
 def log_bin(ms: Column) -> Column:

@@ -37,6 +37,18 @@ def folded(df: DataFrame, name: str, order: list[Column], top: int, **aggregates
     return rows.withColumn(name, F.when(F.col("__top").isNotNull(), F.col(name)).otherwise(F.concat(F.lit("Other ("), others, F.lit(")")))).drop("__top")
 
 
+def aligned(groups: DataFrame, keys: list[str], frames: dict[str, DataFrame], zero: set[str]) -> DataFrame:
+    """``groups`` with a column of each frame (keys and value), null-safe by key; those of ``zero`` are 0 where a group has none."""
+    for name, frame in frames.items():
+        own = frame.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("value").alias(f"__{name}"))
+        on = F.lit(True)
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        value = F.coalesce(f"__{name}", F.lit(0.0)) if name in zero else F.col(f"__{name}")
+        groups = groups.join(own, on, "left").withColumn(name, value).drop(*(f"__{k}" for k in keys), f"__{name}")
+    return groups
+
+
 def timeseries(df: DataFrame, time: str, seconds: int, measures: dict[str, Column], by: str | None = None) -> DataFrame:
     keys = [bucket(F.col(time), seconds).alias("bucket_ms"), *([dim(F.col(by)).alias(by)] if by else [])]
     return df.groupBy(*keys).agg(*(m.alias(k) for k, m in measures.items()))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkobs.operators import assembly as B
 from sparkobs.operators import metrics as K
 from sparkobs.queries.registry import query
 from sparkobs.sources import adapters as A
@@ -119,3 +120,86 @@ def metric_exp_hist(spark, sf_dir):
     own = own.groupBy("user_id").agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("m"))
     own = own.select("user_id", F.lit(1).alias("scale"), F.lit(0).cast("long").alias("zero_count"), F.lit(0.0).alias("zero_threshold"), c("lo").alias("positive_offset"), F.transform(F.sequence("lo", "hi"), lambda i: F.coalesce(F.element_at("m", i), F.lit(0))).alias("positive_counts"), F.lit(0).alias("negative_offset"), F.array().cast("array<bigint>").alias("negative_counts"))
     return K.decoded(own).select("user_id", "bounds", "counts")
+
+
+def window_of(points, seconds: int) -> tuple[int, int]:
+    """Whole buckets around all points."""
+    width = seconds * 1_000_000
+    low, high = points.agg(F.min("time_us"), F.max("time_us")).first()
+    return (A.ORIGIN_US, A.ORIGIN_US) if low is None else (low // width * width, (high // width + 1) * width)
+
+
+CARRY = """m AS (SELECT series, time_us // 60000000 AS i, avg(value) AS mean, arg_max(value, {'t': time_us, 'g': ingested}) AS v, max(time_us) AS t FROM dd GROUP BY 1, 2),
+n AS (SELECT *, coalesce(lead(i) OVER (PARTITION BY series ORDER BY i), 1099511627776) AS nx FROM m),
+f AS (SELECT series, i, mean FROM n UNION ALL SELECT series, unnest(range(i + 1, least(nx - 1, (t + 300000000) // 60000000) + 1)), v FROM n)"""
+
+
+@query(f"""{DEDUP}, {CARRY}, w AS (SELECT min(time_us) // 60000000 * 60000 AS lo, max(time_us) // 60000000 * 60000 AS hi FROM points),
+raw AS (SELECT time_us // 60000000 * 60000 AS bucket_ms, CAST(count(*) AS DOUBLE) AS n, CAST(count(DISTINCT series) AS DOUBLE) AS senders FROM points GROUP BY 1),
+kept AS (SELECT time_us // 60000000 * 60000 AS bucket_ms, min(value) AS least, round(quantile_cont(value, 0.95), 6) AS p95 FROM dd GROUP BY 1),
+means AS (SELECT i * 60000 AS bucket_ms, round(avg(mean), 6) AS mean, round(sum(mean), 4) AS total FROM f GROUP BY 1),
+ends AS (SELECT unnest(range(lo * 1000 + 60000000, hi * 1000 + 60000001, 60000000)) AS e FROM w), grid AS (SELECT series, e FROM (SELECT DISTINCT series FROM dd), ends),
+latest AS (SELECT g.e // 1000 - 60000 AS bucket_ms, round(sum(p.value), 4) AS latest FROM grid g ASOF JOIN dd p ON g.series = p.series AND g.e > p.time_us WHERE p.time_us >= g.e - 300000000 GROUP BY 1),
+g AS (SELECT bucket_ms FROM raw UNION SELECT bucket_ms FROM means UNION SELECT bucket_ms FROM latest)
+SELECT bucket_ms, coalesce(n, 0) AS n, coalesce(senders, 0) AS senders, mean, total, latest, least, p95 FROM g LEFT JOIN raw USING (bucket_ms) LEFT JOIN kept USING (bucket_ms) LEFT JOIN means USING (bucket_ms) LEFT JOIN latest USING (bucket_ms), w WHERE bucket_ms <= hi""", A.POINTS)
+def metric_panel_gauge(spark, sf_dir):
+    """Seven measures of a gauge over one scan: points as sent, means with carries, last values, points once."""
+    points = A.metric_points(spark, sf_dir)
+    measures = {"n": B.Measure("count"), "senders": B.Measure("count_distinct", "series"), "mean": B.Measure("avg"), "total": B.Measure("sum"), "latest": B.Measure("last"), "least": B.Measure("min"), "p95": B.Measure("quantile", q=0.95)}
+    own = B.assembled(points, measures, MIN, *window_of(points.where("name = 'queue'"), MIN), name="queue")
+    return own.withColumns({k: F.round(k, 4 if k in ("total", "latest") else 6) for k in ("mean", "total", "latest", "p95")})
+
+
+RATES = SPREAD.replace("parts AS (SELECT series,", "parts AS (SELECT series, time_us,") + """,
+r AS (SELECT series, bucket_ms // 60000 AS i, sum(part) / (sum(covered_us) / 1e6) AS rate, arg_max(part / (covered_us / 1e6), time_us) AS last, max(time_us) AS t FROM parts WHERE covered_us > 0 GROUP BY 1, 2),
+nx AS (SELECT *, coalesce(lead(i) OVER (PARTITION BY series ORDER BY i), 1099511627776) - 1 AS nx FROM r),
+rr AS (SELECT series, i, rate, 0 AS is_carried FROM nx UNION ALL SELECT series, unnest(range(i + 1, least(nx, (t + 300000000) // 60000000) + 1)), last, 1 FROM nx)"""
+
+
+@query(f"{RATES} SELECT i * 60000 AS bucket_ms, round(sum(rate), 5) AS rate, CAST(sum(is_carried) AS BIGINT) AS carried FROM rr GROUP BY 1", A.COUNTERS)
+def metric_rate_carry(spark, sf_dir):
+    own = K.carried_rates(K.spread(K.increases(A.counters(spark, sf_dir)), MIN), MIN)
+    return own.groupBy("bucket_ms").agg(F.round(F.sum("rate"), 5).alias("rate"), F.sum("is_carried").alias("carried"))
+
+
+@query(f"""{RATES}, w AS (SELECT max(time_us) // 60000000 * 60000 AS hi FROM counters), h AS (SELECT DISTINCT series, 'h' || (series % 2) AS host FROM counters),
+raw AS (SELECT time_us // 60000000 * 60000 AS bucket_ms, host, CAST(count(*) AS DOUBLE) AS n, CAST(max(value) AS DOUBLE) AS most FROM counters JOIN h USING (series) GROUP BY 1, 2),
+share AS (SELECT bucket_ms, host, round(100.0 * n / sum(n) OVER (PARTITION BY bucket_ms), 6) AS share FROM raw),
+rate AS (SELECT i * 60000 AS bucket_ms, host, round(sum(rate), 5) AS rate FROM rr JOIN h USING (series) GROUP BY 1, 2),
+total AS (SELECT bucket_ms, host, round(sum(part), 4) AS total FROM parts JOIN h USING (series) GROUP BY 1, 2), g AS (SELECT bucket_ms, host FROM raw UNION SELECT bucket_ms, host FROM rate UNION SELECT bucket_ms, host FROM total)
+SELECT bucket_ms, host, coalesce(n, 0) AS n, share, rate, total, most FROM g LEFT JOIN raw USING (bucket_ms, host) LEFT JOIN share USING (bucket_ms, host) LEFT JOIN rate USING (bucket_ms, host) LEFT JOIN total USING (bucket_ms, host), w WHERE bucket_ms <= hi""", A.COUNTERS)
+def metric_panel_counter(spark, sf_dir):
+    points = A.metric_points(spark, sf_dir)
+    measures = {"n": B.Measure("count"), "share": B.Measure("share"), "rate": B.Measure("rate"), "total": B.Measure("sum"), "most": B.Measure("max")}
+    own = B.assembled(points, measures, MIN, *window_of(points.where("name = 'requests'"), MIN), by=("host",), name="requests")
+    return own.withColumns({"share": r6("share"), "rate": F.round("rate", 5), "total": F.round("total", 4)})
+
+
+@query("""p AS (SELECT n.series, n.time_us, n.nth, e.value AS v, n.time_us - lag(n.time_us) OVER (PARTITION BY n.series ORDER BY n.time_us, n.event_id) AS gap FROM nth_points n JOIN events e USING (event_id)),
+x AS (SELECT *, gap > 0 AND gap <= 600000000 AS fits, unnest(range(CASE WHEN gap > 0 AND gap <= 600000000 THEN (time_us - gap) // 3600000000 ELSE time_us // 3600000000 END, CASE WHEN gap > 0 AND gap <= 600000000 THEN (time_us - 1) // 3600000000 ELSE time_us // 3600000000 END + 1)) AS i FROM p WHERE nth > 0),
+cells AS (SELECT i * 3600000 AS bucket_ms, nth, v, CASE WHEN fits THEN (least(time_us, (i + 1) * 3600000000) - greatest(time_us - gap, i * 3600000000)) / CAST(gap AS DOUBLE) ELSE 1.0 END AS weight FROM x),
+w AS (SELECT bucket_ms, CASE WHEN v <= 10 THEN 10.0 WHEN v <= 25 AND nth < 100 THEN 25.0 WHEN v <= 50 THEN 50.0 WHEN v <= 100 THEN 100.0 WHEN v <= 250 THEN 250.0 END AS hi, sum(weight) AS n FROM cells GROUP BY 1, 2),
+b AS (SELECT DISTINCT bucket_ms, h.hi FROM w, (VALUES (10.0), (50.0), (100.0), (250.0), (NULL)) h(hi) UNION SELECT DISTINCT bucket_ms, 25.0 FROM cells WHERE nth < 100),
+u AS (SELECT b.bucket_ms, b.hi, coalesce(w.n, 0) AS n FROM b LEFT JOIN w ON b.bucket_ms = w.bucket_ms AND b.hi IS NOT DISTINCT FROM w.hi),
+q AS (SELECT *, sum(n) OVER (PARTITION BY bucket_ms ORDER BY hi NULLS LAST) AS cum, sum(n) OVER (PARTITION BY bucket_ms) AS total, coalesce(lag(hi) OVER (PARTITION BY bucket_ms ORDER BY hi NULLS LAST), 0) AS lo FROM u),
+f AS (SELECT * FROM q WHERE n > 0 AND cum >= 0.9 * total QUALIFY row_number() OVER (PARTITION BY bucket_ms ORDER BY cum, hi NULLS LAST) = 1),
+raw AS (SELECT time_us // 3600000000 * 3600000 AS bucket_ms, CAST(count(*) AS DOUBLE) AS n FROM nth_points GROUP BY 1), mean AS (SELECT bucket_ms, round(sum(CAST(round(v * 100) AS BIGINT) * weight) / sum(weight), 4) AS mean FROM cells GROUP BY 1),
+p90 AS (SELECT bucket_ms, round(CASE WHEN hi IS NULL THEN 250.0 ELSE lo + (total * 0.9 - (cum - n)) / n * (hi - lo) END, 4) AS p90 FROM f), g AS (SELECT bucket_ms FROM raw UNION SELECT bucket_ms FROM mean)
+SELECT bucket_ms, coalesce(raw.n, 0) AS n, mean, p90 FROM g LEFT JOIN raw USING (bucket_ms) LEFT JOIN mean USING (bucket_ms) LEFT JOIN p90 USING (bucket_ms)""".replace("p AS", ", p AS", 1), A.COUNTERS)
+def metric_panel_histogram(spark, sf_dir):
+    points = A.metric_points(spark, sf_dir)
+    measures = {"n": B.Measure("count"), "mean": B.Measure("avg"), "p90": B.Measure("quantile", q=0.9)}
+    own = B.assembled(points, measures, 3600, *window_of(points.where("name = 'latency'"), 3600), name="latency")
+    return own.withColumns({"mean": F.round("mean", 4), "p90": F.round("p90", 4)})
+
+
+@query("SELECT name, kind AS type, n, rate, mean FROM (SELECT 'queue' AS name, 'gauge' AS kind, count(*) AS n, FALSE AS rate, TRUE AS mean FROM points UNION ALL SELECT 'requests', 'counter', count(*), TRUE, FALSE FROM counters UNION ALL SELECT 'latency', 'histogram', count(*), TRUE, TRUE FROM counters)", A.COUNTERS)
+def metric_kinds(spark, sf_dir):
+    """Which measures each metric's kind answers."""
+    return B.diagnosed(A.metric_points(spark, sf_dir), {"rate": B.Measure("rate"), "mean": B.Measure("avg")})
+
+
+@query("SELECT 'queue' AS name, 'gauge' AS type, count(*) AS n, count(DISTINCT series) AS series, max(time_us) AS last_us FROM points UNION ALL SELECT 'requests', 'counter', count(*), count(DISTINCT series), max(time_us) FROM counters UNION ALL SELECT 'latency', 'histogram', count(*), count(DISTINCT series), max(time_us) FROM counters", A.COUNTERS)
+def metric_names(spark, sf_dir):
+    """The inventory of metrics with their kinds, series and newest points."""
+    return A.metric_points(spark, sf_dir).groupBy("name", "type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("series").alias("series"), F.max("time_us").alias("last_us"))

@@ -278,12 +278,12 @@ def by_user(spark, sf_dir):
 
 
 def z(df):
-    return df.select("service", *(F.round(x, 6).alias(x) for x in ("now", "base", "z")))
+    return df.select("service", *(F.round(c(x) + 1e-9, 6).alias(x) for x in ("now", "base", "z")))  # means of hundredths end in halves of a millionth
 
 
 def z_sql(value: str, floor: float, condition: str, mean: str = "avg({v}) FILTER (WHERE {w})") -> str:
     a, b = (mean.format(v=value, w=w) for w in ("cur", "NOT cur"))
-    return f"SELECT service, round(now, 6) AS now, round(base, 6) AS base, round((now - base) / greatest(coalesce(sd, 0), {floor}), 6) AS z FROM (SELECT service, coalesce({a}, 0) AS now, coalesce({b}, 0) AS base, stddev({value}) FILTER (WHERE NOT cur) AS sd FROM bucket GROUP BY 1) WHERE {condition.format(z=f'(now - base) / greatest(coalesce(sd, 0), {floor})')}"
+    return f"SELECT service, round(now + 1e-9, 6) AS now, round(base + 1e-9, 6) AS base, round((now - base) / greatest(coalesce(sd, 0), {floor}) + 1e-9, 6) AS z FROM (SELECT service, coalesce({a}, 0) AS now, coalesce({b}, 0) AS base, stddev({value}) FILTER (WHERE NOT cur) AS sd FROM bucket GROUP BY 1) WHERE {condition.format(z=f'(now - base) / greatest(coalesce(sd, 0), {floor})')}"
 
 
 @query(z_sql("rate", 0.01, "abs({z}) >= 0.1"), A.SPANS, HALF)

@@ -124,3 +124,38 @@ def histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
         "series", "time_us", F.col("event_id").alias("ingested"), F.when(early, as_array(BOUNDS)).otherwise(as_array(NARROW)).alias("bounds"),
         F.when(early, counts(BOUNDS)).otherwise(counts(NARROW)).alias("counts"), F.sum(F.round(F.col("v") * 100).cast("long")).over(so_far).alias("sum"),
     )
+
+
+def metric_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of three metrics in one relation: queue (a gauge, some points sent twice), requests (a counter) and latency (a histogram), 8 series each on two hosts."""
+
+    def named(df: DataFrame, name: str, kind: str, temporality: str | None, **columns: Column) -> DataFrame:
+        own = {"value": "double", "start_us": "long", "bounds": "array<double>", "counts": "array<bigint>", "sum": "double", "count": "long"}
+        rest = [(columns.get(k) if k in columns else F.lit(None)).cast(t).alias(k) for k, t in own.items()]
+        return df.select(F.lit(name).alias("name"), F.lit(kind).alias("type"), F.lit(temporality).cast("string").alias("temporality"), F.concat(F.lit(name), F.col("series").cast("string")).alias("series"), F.concat(F.lit("h"), (F.col("series") % 2).cast("string")).alias("host"), "time_us", "ingested", *rest)
+
+    total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)
+    queue = named(points(spark, sf_dir), "queue", "gauge", None, value=F.col("value"))
+    requests = named(counters(spark, sf_dir), "requests", "counter", "cumulative", value=F.col("value"), start_us=F.col("start_us"))
+    return queue.unionByName(requests).unionByName(named(histograms(spark, sf_dir), "latency", "histogram", "cumulative", bounds=F.col("bounds"), counts=F.col("counts"), sum=F.col("sum"), count=total))
+
+
+def receivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of a collector: checks of an endpoint for each event type from two hosts, their durations, and the hosts' processor time."""
+    k, col = F.col("k"), F.col
+    name = F.when(k % 3 == 0, "httpcheck.status").when(k % 3 == 1, "httpcheck.duration").otherwise("system.cpu.time")
+    pick = lambda a, b, z: F.when(k % 3 == 0, a).when(k % 3 == 1, b).otherwise(z)
+    none, check = F.lit(None).cast("string"), k % 3 < 2
+    attributes = F.map_from_arrays(F.array(*map(F.lit, ("http.url", "http.method", "http.status_class", "state"))), F.array(F.when(check, F.concat(F.lit("http://"), "event_type")), F.when(check, "GET"), F.when(k % 3 == 0, F.when(k < 60, "2xx").otherwise("5xx")), F.when(~check, "user")))
+    return events(spark, sf_dir).select(
+        F.lit("shop").alias("namespace"), F.lit("collector").alias("service"), name.alias("name"), pick(F.lit("gauge"), F.lit("gauge"), F.lit("counter")).alias("type"), pick(none, none, F.lit("cumulative")).alias("temporality"), pick(F.lit("1"), F.lit("ms"), F.lit("s")).alias("unit"),
+        F.lit("recv").alias("scope_name"), F.create_map(F.lit("host.name"), F.concat(F.lit("h"), (col("event_id") % 2).cast("string")), F.lit("service.version"), F.when(col("ts") < F.lit("2024-01-15").cast("timestamp_ntz"), "v1").otherwise("v2")).alias("resource"),
+        attributes.alias("attributes"), col("dense_us").alias("time_us"), pick(F.when(k < 60, 1.0).otherwise(0.0), col("value"), F.round(col("value") * 100)).alias("value"), F.lit(None).cast("long").alias("start_us"), col("event_id").alias("ingested"),
+    )
+
+
+RECEIVERS = """
+rv AS (SELECT *, CAST(props->>'$.k' AS INTEGER) AS k FROM events),
+rc AS (SELECT CASE k % 3 WHEN 0 THEN 'httpcheck.status' WHEN 1 THEN 'httpcheck.duration' ELSE 'system.cpu.time' END AS name, 'h' || (event_id % 2) AS host, CASE WHEN k % 3 < 2 THEN 'http://' || event_type END AS url,
+  CASE WHEN k % 3 = 0 THEN CASE WHEN k < 60 THEN '2xx' ELSE '5xx' END END AS class, 1704067200000000 + (event_id * 7 + k % 5) * 1000000 AS time_us, CASE WHEN ts < TIMESTAMP '2024-01-15' THEN 'v1' ELSE 'v2' END AS version,
+  CASE k % 3 WHEN 0 THEN CASE WHEN k < 60 THEN 1.0 ELSE 0.0 END WHEN 1 THEN value ELSE round(value * 100) END AS value FROM rv)"""
