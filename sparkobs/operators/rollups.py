@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,6 +78,12 @@ def hist_quantile(rollup: DataFrame, q: float, *by: str) -> DataFrame:
     return first.select(*by, F.when(c("x.bin") == ZERO_BIN, 0.0).otherwise(low + part * (high - low)).alias("value"))
 
 
+def fresh_to(rollups: dict[str, DataFrame]) -> DataFrame:
+    """The end of what each rollup holds in full, in milliseconds: its newest minute's start."""
+    parts = [df.agg(F.lit(k).alias("rollup"), F.max("bucket_ms").alias("fresh_to_ms")) for k, df in rollups.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def log_rollup(logs: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     return restricted(logs, keys, "time_us").groupBy("namespace", "bucket_ms", "service", "severity").agg(F.count(F.lit(1)).alias("logs"))
 

@@ -110,6 +110,28 @@ def reduced(series: DataFrame, how: str, value: str = "value") -> DataFrame:
     return series.agg(whole[how].alias(value))
 
 
+def performance(spans: DataFrame, time: str, seconds: int, limit: int = 400) -> dict[str, DataFrame]:
+    """A service's panels: latency, errors and requests by bucket, and the operations that serve slowly."""
+    value = {"latency": F.percentile("duration_ms", F.lit(0.95)), "errors": F.lit(100.0) * F.avg(F.when(F.col("status") == "ERROR", 1.0).otherwise(0.0)), "requests": F.count(F.lit(1)) / F.lit(float(seconds))}
+    own = {k: timeseries(spans, time, seconds, {"value": v}) for k, v in value.items()}
+    served = spans.where(F.col("kind").isin("SERVER", "CONSUMER"))
+    return own | {"operations": table(served, ["operation"], {"value": value["latency"]}, [F.desc("value"), F.col("operation")], limit)}
+
+
+#: For each visualization, the fewest and most dimensions and measures, and whether it has buckets (None: it may).
+SHAPES = {"stat": ((0, 0), (1, 1), None), "gauge": ((0, 0), (1, 1), None), "timeseries": ((0, 1), (1, 6), True), "bar": ((1, 2), (1, 6), False), "table": ((0, 3), (1, 6), False), "scatter": ((1, 2), (2, 2), False), "state_timeline": ((1, 1), (1, 1), True), "heatmap": ((0, 0), (1, 1), True), "histogram": ((0, 0), (1, 1), False)}
+
+
+def compatible(dims: int, measures: int, bucketed: bool) -> list[str]:
+    """Visualizations that show a query of so many dimensions and measures; grouped series and bars by two dimensions take one measure."""
+    out = []
+    for viz, ((d0, d1), (m0, m1), buckets) in SHAPES.items():
+        one = viz == "timeseries" and dims == 1 or viz == "bar" and dims == 2
+        if d0 <= dims <= d1 and m0 <= measures <= (1 if one else m1) and buckets in (None, bucketed):
+            out.append(viz)
+    return out
+
+
 TIMES, NUMBERS = ("timestamp", "timestamp_ntz", "date"), ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 

@@ -13,7 +13,7 @@ from sparkobs.operators import predicates as P
 from sparkobs.operators import receivers as V
 from sparkobs.operators import rollups as R
 from sparkobs.operators import rows as O
-from sparkobs.plans import panels, routing
+from sparkobs.plans import panels, routing, sql
 from sparkobs.queries import ORACLE_SQL
 from sparkobs.sources import adapters as A
 from sparkobs.sources import dataset
@@ -187,4 +187,12 @@ def test_hours_are_rewritten_alone(spark, tmp_path):
 def test_every_query_reads_a_table_and_few_are_without_twin():
     from sparkobs.queries import QUERIES
 
-    assert set(QUERIES) - set(ORACLE_SQL) == {"metric_exp_hist", "alert_states"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"alert_states"}
+
+
+def test_macros_and_shapes():
+    assert sql.expanded("SELECT $__bucket(t) FROM x WHERE $__window( a.t )") == "SELECT (floor(t / :width_us) * :width_us) FROM x WHERE (a.t >= :from_us AND a.t < :to_us)"
+    for bad in ("SELECT 1", "SELECT $__window(t), $__nothing(t)"):
+        with pytest.raises(ValueError):
+            sql.expanded(bad)
+    assert panels.compatible(1, 1, True) == ["timeseries", "state_timeline"] and panels.compatible(2, 1, False) == ["bar", "table"] and "bar" not in panels.compatible(2, 2, False)
