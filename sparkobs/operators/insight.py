@@ -105,6 +105,11 @@ def diagnosis(df: DataFrame, entries: dict[str, Column]) -> DataFrame:
     return df.agg(F.array(*cells).alias("x")).select(F.inline("x"))
 
 
+def culprit(counts: DataFrame) -> DataFrame:
+    """Of a diagnosis, the entry without which most rows would be left; none if no single entry is to blame."""
+    return counts.where("without > 0").orderBy(F.desc("without"), "entry").limit(1)
+
+
 def nearest(df: DataFrame, field: str, wanted: str, top: int = 3) -> DataFrame:
     """Values closest to what was asked, by edit distance."""
     own = df.groupBy(c(field).alias("value")).agg(F.count(F.lit(1)).alias("n")).where("value is not null")

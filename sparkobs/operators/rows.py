@@ -45,13 +45,20 @@ def roots(spans: DataFrame) -> DataFrame:
     return spans.groupBy("namespace", "trace_id").agg(first.alias("r"), F.min("start_us").alias("start_us"), F.max("duration_ms").alias("duration_ms"), F.count(F.lit(1)).alias("spans"), F.when(F.bool_or(c("status") == "ERROR"), "ERROR").otherwise("OK").alias("status")).select("namespace", "trace_id", c("r.span_id").alias("root"), "r.service", "r.operation", "start_us", "duration_ms", "spans", "status")
 
 
-def traces(spans: DataFrame, hit: Column, miss: Column | None = None, n: int = 100) -> DataFrame:
-    """The slowest traces in which a span meets ``hit`` and none meets ``miss``: one pass over spans picks them, a second reads only those."""
-    flags = spans.groupBy("namespace", "trace_id").agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("hit"), F.bool_or(F.coalesce(miss, F.lit(False)) if miss is not None else F.lit(False)).alias("miss"), F.max("duration_ms").alias("slowest"))
-    best = flags.where("hit and not miss").orderBy(F.desc("slowest"), "namespace", "trace_id").limit(n).select("namespace", "trace_id")
+def traces(spans: DataFrame, hit: Column, miss: Column | None = None, n: int = 100, by: str = "duration") -> DataFrame:
+    """The slowest (or newest, by start, or those with most errors) traces in which a span meets ``hit`` and none meets ``miss``: one pass over spans picks them, a second reads only those."""
+    rank = {"duration": F.max("duration_ms"), "start": F.min("start_us"), "errors": F.count_if(c("status") == "ERROR")}[by]
+    flags = spans.groupBy("namespace", "trace_id").agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("hit"), F.bool_or(F.coalesce(miss, F.lit(False)) if miss is not None else F.lit(False)).alias("miss"), rank.alias("rank"))
+    best = flags.where("hit and not miss").orderBy(F.desc("rank"), "namespace", "trace_id").limit(n).select("namespace", "trace_id")
     return roots(spans.join(F.broadcast(best), ["namespace", "trace_id"], "left_semi"))
 
 
+def exemplar_logs(logs: DataFrame, chosen: Column, n: int = 200) -> DataFrame:
+    """Records behind a selection, the most severe and newest first, redacted."""
+    own = logs.where(chosen).orderBy(F.desc(text.severity_rank(c("severity"))), F.desc("time_us"), "event_id").limit(n)
+    return own.withColumn("body", F.left(text.redacted(c("body")), F.lit(SHOWN)))
+
+
 def trace_detail(spans: DataFrame, trace_id: str) -> DataFrame:
     """A trace's spans; on files sorted by trace id the predicate prunes row groups."""
     return spans.where(c("trace_id") == trace_id).select("span_id", "parent_span_id", "service", "operation", "start_us", "duration_ms", "status")

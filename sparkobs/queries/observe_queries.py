@@ -199,6 +199,23 @@ def win_arg_max(spark, sf_dir):
     return A.table(spark, sf_dir, "events").select("event_id", F.max_by("value", F.struct("ts", "event_id")).over(Window.partitionBy("user_id")).alias("newest"))
 
 
+@query(""", b AS (SELECT namespace, trace_id FROM spans GROUP BY 1, 2 HAVING bool_or(kind = 'SERVER') ORDER BY count(*) FILTER (WHERE status = 'ERROR') DESC, namespace, trace_id LIMIT 30)
+SELECT trace_id, min(start_us) AS start_us, count(*) AS spans FROM spans WHERE trace_id IN (SELECT trace_id FROM b) GROUP BY 1""", A.SPANS)
+def traces_by_errors(spark, sf_dir):
+    return O.traces(A.spans(spark, sf_dir), c("kind") == "SERVER", n=30, by="errors").select("trace_id", "start_us", "spans")
+
+
+@query("SELECT event_id, severity, time_us, body FROM logs WHERE k >= 40 AND k < 60 ORDER BY coalesce(list_position(['TRACE', 'DEBUG', 'INFO', 'WARN', 'ERROR', 'FATAL'], severity), 0) DESC, time_us DESC, event_id LIMIT 200", A.LOGS)
+def exemplar_logs(spark, sf_dir):
+    return O.exemplar_logs(A.logs(spark, sf_dir), c("k").between(40, 59)).select("event_id", "severity", "time_us", "body")
+
+
+@query("SELECT 'peer' AS entry, count(*) AS without, CAST(0 AS BIGINT) AS alone FROM spans WHERE kind = 'CLIENT' AND status = 'ERROR' HAVING count(*) > 0", A.SPANS)
+def diagnosis_culprit(spark, sf_dir):
+    """The filter that empties a panel."""
+    return I.culprit(I.diagnosis(A.spans(spark, sf_dir), {"kind": c("kind") == "CLIENT", "status": c("status") == "ERROR", "peer": c("peer_service") == "ext9"}))
+
+
 LOG2 = "CASE WHEN duration_ms < 1 THEN 0.0 ELSE pow(2.0, least(32.0, floor(log2(duration_ms)))) END"
 
 

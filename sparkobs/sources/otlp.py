@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 c = F.col
-VALUE = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>"
+# Of nested values, lists and maps of plain ones are unfolded; what lies deeper stays JSON text.
+PLAIN = "stringValue:string,intValue:string,doubleValue:double,boolValue:boolean,bytesValue:string"
+DEEP = f"struct<{PLAIN},arrayValue:string,kvlistValue:string>"
+VALUE = f"struct<{PLAIN},arrayValue:struct<values:array<{DEEP}>>,kvlistValue:struct<values:array<struct<key:string,value:{DEEP}>>>>"
 ATTRIBUTES = f"array<struct<key:string,value:{VALUE}>>"
 SPAN = f"struct<traceId:string,spanId:string,parentSpanId:string,name:string,kind:int,startTimeUnixNano:string,endTimeUnixNano:string,attributes:{ATTRIBUTES},status:struct<code:int,message:string>>"
 LOG = f"struct<timeUnixNano:string,observedTimeUnixNano:string,severityNumber:int,severityText:string,body:{VALUE},attributes:{ATTRIBUTES},traceId:string,spanId:string>"
@@ -19,10 +22,20 @@ KINDS = ("UNSPECIFIED", "INTERNAL", "SERVER", "CLIENT", "PRODUCER", "CONSUMER")
 STATUSES = ("UNSET", "OK", "ERROR")
 
 
+def plain(v: Column) -> Column:
+    return F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"), v["bytesValue"])
+
+
+def said(v: Column) -> Column:
+    """A value as text: lists and maps as JSON."""
+    deep = lambda x: F.coalesce(plain(x), x["arrayValue"], x["kvlistValue"])
+    pairs = F.map_from_entries(F.transform(v["kvlistValue"]["values"], lambda x: F.struct(x["key"], deep(x["value"]))))
+    return F.coalesce(plain(v), F.to_json(F.transform(v["arrayValue"]["values"], deep)), F.to_json(pairs))
+
+
 def attributes(column: Column) -> Column:
     """key to value in text form; of a repeated key the last stands."""
-    text = lambda v: F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"))
-    latest = lambda xs: F.aggregate(xs, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["key"]), F.create_map(x["key"], text(x["value"]))))
+    latest = lambda xs: F.aggregate(xs, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["key"]), F.create_map(x["key"], said(x["value"]))))
     return latest(F.coalesce(column, F.array().cast(ATTRIBUTES)))
 
 
@@ -56,8 +69,7 @@ def logs(exports: DataFrame, column: str = "value") -> DataFrame:
     from sparkobs.functions import text
 
     own = unfolded(exports, column, "Logs", LOG, "logRecords")
-    body = c("i.body")
-    body = F.coalesce(body["stringValue"], body["intValue"], body["doubleValue"].cast("string"), body["boolValue"].cast("string"))
+    body = said(c("i.body"))
     at = F.coalesce(F.nullif(c("i.timeUnixNano").try_cast("long"), F.lit(0)), c("i.observedTimeUnixNano").try_cast("long"))
     return own.select(*common(), at.alias("time_unix_nano"), text.severity(c("i.severityText"), c("i.severityNumber")).alias("severity"), body.alias("body"), text.template(body).alias("body_template"), c("i.traceId").alias("trace_id"), c("i.spanId").alias("span_id"), attributes(c("i.attributes")).alias("attributes"), "resource", "scope_name")
 

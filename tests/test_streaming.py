@@ -122,3 +122,11 @@ def test_otlp_kinds_and_logs(spark):
     log = json.dumps({"resourceLogs": [{"scopeLogs": [{"logRecords": [{"timeUnixNano": "0", "observedTimeUnixNano": "5", "severityText": " Warning2 ", "body": {"stringValue": '{"b": 3, "a": "user 42"}'}}, {"severityNumber": 17, "body": {"intValue": "12"}}]}]}]})
     got = [(r.time_unix_nano, r.severity, r.body_template, r.namespace) for r in otlp.logs(spark.createDataFrame([(log,)], "value string")).collect()]
     assert got == [(5, "WARN", '{"a":"user <num>","b":"<num>"}', "default"), (None, "ERROR", "<num>", "default")]
+
+
+def test_nested_attribute_values(spark):
+    from sparkobs.sources import otlp
+
+    values = {"a": {"arrayValue": {"values": [{"stringValue": "x"}, {"intValue": "2"}]}}, "m": {"kvlistValue": {"values": [{"key": "k", "value": {"boolValue": True}}, {"key": "d", "value": {"arrayValue": {"values": []}}}]}}, "b": {"bytesValue": "AAE="}, "s": {"stringValue": "t"}}
+    doc = json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": [{"spanId": "1", "attributes": [{"key": k, "value": v} for k, v in values.items()]}]}]}]})
+    assert otlp.spans(spark.createDataFrame([(doc,)], "value string")).first().attributes == {"a": '["x","2"]', "m": '{"k":"true","d":"{\\"values\\":[]}"}', "b": "AAE=", "s": "t"}
