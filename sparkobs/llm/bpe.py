@@ -35,7 +35,7 @@ NONE = np.int32(2**31 - 1)
 #: Lengths up to which pieces share a matrix; a longer piece has its own.
 BUCKETS = (4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 128, 256)
 #: Cells of one matrix; chunks, pieces and characters of either that one Python worker remembers; bytes of text at once. All only bound memory.
-CELLS, REMEMBERED, CHARACTERS, SLICE = 1_000_000, 400_000, 20_000_000, 2_000_000
+CELLS, REMEMBERED, CHARACTERS, SLICE = 500_000, 200_000, 10_000_000, 1_000_000
 #: In texts under this pattern, a blank or line end between two other characters always starts a piece.
 CUTTABLE, CUT = public_tokenizers.PATTERN, re.compile(r"(?<=\S)(?=[ \n]\S)")
 
@@ -131,6 +131,10 @@ class Codec:
             self.bytes[self.at[r] : self.at[r] + len(t)] = np.frombuffer(t, np.uint8)
         said = [f"{i} ".encode() for i in range(top)]
         self.digits = np.array(said, f"S{len(said[-1])}").view(np.uint8).reshape(top, -1)  # padded with 0
+        self.forget()
+
+    def forget(self) -> None:
+        """What a task has learnt; workers outlive their tasks."""
         self.pieces, self.piece_runs = Numbered(), Runs()
         self.chunks, self.chunk_runs, self.unfit, self.characters = Numbered(), Runs(), np.zeros(0, bool), 0
 
@@ -347,6 +351,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", to: str =
             ids, counts = own.encode([t or "" for t in b.column(text).to_pylist()])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([lists if f.name == to else b.column(f.name) for f in schema], names=[f.name for f in schema])
+        own.forget()
 
     return df.mapInArrow(run, schema)
 
@@ -376,5 +381,6 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids, counts = own.encode([t or "" for t in b.column("text").to_pylist()])
             digests = [pa.array([hashlib.sha256(x).hexdigest() for x in part(ids, counts)]) for part in (own.decimal, own.decode)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), *digests], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -43,7 +43,7 @@ BITS, CHUNK = (18, 23), 14  # of the sketch, least and most (a byte each when br
 FILTER_BITS = (12, 27)  # of the filter that picks texts for the full sets, least and most
 BLOCK_DOCS, BLOCK_SHINGLES, PIVOTS, SALTS = 400, 1_000_000, 25, 8
 PROFILE_DOCS = 1000  # of a block of profiles, which are a small part of the sets
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 FINISH = 500_000  # edges of 16 bytes that one task ties together
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -511,11 +511,13 @@ def tie(own: DataFrame, data: DataFrame, kernel, most: int, name: str) -> DataFr
     return links.unionAll(stored(meet(stored(both, name), data, kernel), name))
 
 
-def grouped(docs: DataFrame, key: str, text: str, mark: Column) -> DataFrame:
-    """id, mark, class, n, group (null for a text that is like no other) and component (the group's least id, else the own id) of every document."""
+def grouped(docs: DataFrame, key: str, text: str, mark: Column, folder: str) -> DataFrame:
+    """id, mark, class, n, group (null for a text that is like no other) and component (the group's least id, else the own id) of every document.
+
+    What the result reads lies in ``folder``; all other tables are deleted."""
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     (bits, turns), run = sketch_size(texts), f"jaccard-{uuid.uuid4().hex}"  # a folder for all that only this function reads
-    seen = stored(survey(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), mark.cast("long").alias("mark")), bits, turns), "shingles")
+    seen = stored(survey(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), mark.cast("long").alias("mark")), bits, turns), f"{folder}/shingles")
     rows = seen.where("part is null").select("id", "mark", "class", "n")
     classes = rows.where("n > 0").groupBy("class").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     of_class = classes.select(F.col("class").alias("node"), "least", "n")
@@ -531,7 +533,7 @@ def grouped(docs: DataFrame, key: str, text: str, mark: Column) -> DataFrame:
     named = classes.join(tied, "class", "left").where("copies > 1 or root is not null")  # all others are alone
     least = named.where("root is not null").groupBy("root").agg(F.min("least").alias("component"))
     named = lookup(named, least, "root", "class", "left").select("class", F.coalesce("root", "class").alias("group"), F.coalesce("component", "least").alias("component"))
-    named = stored(named, "named")
+    named = stored(named, f"{folder}/named")
     discard(docs.sparkSession, run)
     out = lookup(rows.withColumnRenamed("id", "doc"), named, "class", "doc", "left").withColumnRenamed("doc", "id")
     return out.select("id", "mark", "class", "n", "group", F.coalesce("component", "id").alias("component"))
@@ -539,7 +541,7 @@ def grouped(docs: DataFrame, key: str, text: str, mark: Column) -> DataFrame:
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id of every document."""
-    return grouped(docs, key, text, F.lit(None)).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return grouped(docs, key, text, F.lit(None), f"groups-{uuid.uuid4().hex}").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -549,11 +551,14 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     mark, name = F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)), "mark"  # alone, the hash passes over nulls
     while name in docs.columns:
         name += "_"
-    rows = stored(grouped(docs, key, text, mark).groupBy("id", "mark", "class", "group").agg((F.count(F.lit(1)) > 1).alias("again")), "alike")
+    folder = f"groups-{uuid.uuid4().hex}"
+    rows = stored(grouped(docs, key, text, mark, folder).groupBy("id", "mark", "class", "group").agg((F.count(F.lit(1)) > 1).alias("again")), f"{folder}-alike/rows")
+    discard(docs.sparkSession, folder)
     first = rows.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "class", "mark")).alias("x")).select("group", F.col("x.id").alias("first_id"), F.col("x.mark").alias("first_mark"))
     gone = lookup(rows.where("group is not null"), first, "group", "mark").where("not (id <=> first_id and mark = first_mark)").select("id", "mark", F.lit(True).alias("gone"))
     again = rows.where("again").select("id", "mark", F.lit(False).alias("gone"))
     told = stored(gone.unionAll(again).groupBy(F.col("id").alias("told_id"), F.col("mark").alias("told_mark")).agg(F.max("gone").alias("told_gone")), "gone")
+    discard(docs.sparkSession, f"{folder}-alike")
     marked = docs.withColumn(name, mark)
     on = (F.col(name) == told.told_mark) & F.col(key).cast("long").eqNullSafe(told.told_id)
     left = marked.join(told, on, "left_anti").drop(name)

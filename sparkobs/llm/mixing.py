@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from sparkobs.llm.common import stored
 
 MAX_PATTERNS = 50_000
-BUCKET_BITS = 16  # runs of the seeded order, by the top of its hash
+BUCKET_BITS = 10  # runs of the seeded order, by the top of its hash; each level cuts them so much finer
 WEIGHTS = (5, 2, 1)  # of sources by code point, repeating
 Pattern = tuple[str, ...]
 
@@ -159,13 +159,16 @@ def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1
     gives = route(capacity, {s: round(t) for s, t in targets.items()}, cap)
     split = [(list(p), g // capacity[p] if capacity[p] else 0, g % capacity[p] if capacity[p] else 0) for p, g in sorted(gives.items())]
     rounds = spark.createDataFrame(split, "pat array<string>, rounds long, rest long")
-    # Where the words of a pattern's seeded order reach the rest: first by bucket, then by document within that bucket.
-    seeded = rows.where("size > 0").withColumn("mix", mixed(F.col("id"), F.col("size"), seed)).withColumn("bucket", F.shiftrightunsigned("mix", 64 - BUCKET_BITS))
+    # Where the words of a pattern's seeded order reach the rest: by bucket, by finer bucket, then by document.
+    seeded, edge = rows.where("size > 0").withColumn("mix", mixed(F.col("id"), F.col("size"), seed)), rounds.select("pat", "rest")
     along = Window.partitionBy("pat").orderBy("bucket")
-    buckets = seeded.groupBy("pat", "bucket").agg(F.sum("size").alias("n")).withColumn("before", F.sum("n").over(along) - F.col("n"))
-    edge = buckets.join(F.broadcast(rounds), "pat").where("before <= rest and rest < before + n").select("pat", "bucket", (F.col("rest") - F.col("before")).alias("rest"))
+    for level in (1, 2):
+        finer = seeded.withColumn("bucket", F.shiftrightunsigned("mix", 64 - level * BUCKET_BITS))
+        buckets = finer.groupBy("pat", "bucket").agg(F.sum("size").alias("n")).withColumn("before", F.sum("n").over(along) - F.col("n"))
+        edge = buckets.join(F.broadcast(edge.select("pat", "rest")), "pat").where("before <= rest and rest < before + n").select("pat", "bucket", (F.col("rest") - F.col("before")).alias("rest"))
+        seeded = finer.join(F.broadcast(edge.select("pat", "bucket")), ["pat", "bucket"], "left_semi").drop("bucket")
     within = Window.partitionBy("pat").orderBy("mix", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    last = seeded.join(F.broadcast(edge), ["pat", "bucket"]).withColumn("before", F.sum("size").over(within) - F.col("size")).where("before <= rest and rest < before + size")
+    last = seeded.join(F.broadcast(edge.select("pat", "rest")), "pat").withColumn("before", F.sum("size").over(within) - F.col("size")).where("before <= rest and rest < before + size")
     cuts = rounds.select("pat", "rounds").join(last.select("pat", "mix", F.col("id").alias("edge_id"), F.col("size").alias("edge_size"), (F.col("rest") - F.col("before")).alias("gives")), "pat", "left")
     return Plan(sizes, targets, stored(cuts.withColumnRenamed("mix", "edge_mix"), "cuts"))
 

@@ -34,7 +34,7 @@ GAPS = (1, 2, 3)
 SAMPLE = 3000
 ALPHA, BETA, L1, L2, EPOCHS, SEED = 0.5, 1.0, 4.0, 0.1, 6, 17
 #: Words remembered by one Python worker; bounds memory only.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 
 
 class Features:
