@@ -8,6 +8,7 @@ stages whole; an empty table gives an empty table, and without labels no documen
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sparkobs.llm import jaccard, mixing, pii, toxicity
 from sparkobs.llm import queries as q
-from sparkobs.llm.common import stored
+from sparkobs.llm.common import discard, stored
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = q.table(spark, sf_dir, "documents")
+    docs, before, run_id = q.table(spark, sf_dir, "documents"), None, uuid.uuid4().hex
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)  # the next stage reads it more than once
+        folder = f"pipeline-{run_id}-{name}"
+        docs = stored(stage(spark, docs, sf_dir), f"{folder}/docs")  # the next stage reads it more than once
+        if before:
+            discard(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)
