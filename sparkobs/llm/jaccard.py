@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from sparkobs.llm.common import discard, slices, stored
+from sparkobs.llm.common import discard, slices, small, stored
 
 WORDS, SIMILAR = 5, 80  # shingle length; least similarity in percent
 BITS, CHUNK = (18, 23), 14  # of the sketch, least and most (a byte each when broadcast), and of a part of it
@@ -450,7 +450,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def meet(placed: DataFrame, data: DataFrame, kernel) -> DataFrame:
     """Links (a, b) that ``kernel`` finds between what ``placed`` (node, slot, label, asks) brings together in a slot; equal labels count as linked."""
-    rows = placed.join(data, "node").select("slot", "node", "label", "asks", "data")
+    rows = data.join(small(placed), "node").select("slot", "node", "label", "asks", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[int | None, bool, bytes]] = {}
@@ -524,8 +524,8 @@ def grouped(docs: DataFrame, key: str, text: str, mark: Column, folder: str) ->
     near = components(chains(texts, sketch_of(seen, bits, turns), bits), f"{run}/near")
     own = stored(near.join(of_class, "node"), f"{run}/candidates")
     # a class's profile comes from the document with its least id
-    profiles = seen.where("n > 0").select(F.col("class").alias("node"), F.col("id").alias("least"), "data").join(own.select("node", "least"), ["node", "least"]).select("node", "data")
-    profiles = profiles.unionAll(seen.where("n > 0 and id is null").select(F.col("class").alias("node"), "data").join(own.where("least is null").select("node"), "node"))
+    profiles = seen.where("n > 0").select(F.col("class").alias("node"), F.col("id").alias("least"), "data").join(small(own.select("node", "least")), ["node", "least"]).select("node", "data")
+    profiles = profiles.unionAll(seen.where("n > 0 and id is null").select(F.col("class").alias("node"), "data").join(small(own.where("least is null").select("node")), "node"))
     may = components(tie(own, stored(profiles, f"{run}/profiles"), bounded, PROFILE_DOCS, f"{run}/bound"), f"{run}/may")
     own = stored(may.join(of_class, "node"), f"{run}/similar")
     links = tie(own, stored(sets_of(texts, own), f"{run}/sets"), tried, BLOCK_DOCS, f"{run}/links")
@@ -559,8 +559,8 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     again = rows.where("again").select("id", "mark", F.lit(False).alias("gone"))
     told = stored(gone.unionAll(again).groupBy(F.col("id").alias("told_id"), F.col("mark").alias("told_mark")).agg(F.max("gone").alias("told_gone")), "gone")
     discard(docs.sparkSession, f"{folder}-alike")
-    marked = docs.withColumn(name, mark)
+    marked, told = docs.withColumn(name, mark), small(told)
     on = (F.col(name) == told.told_mark) & F.col(key).cast("long").eqNullSafe(told.told_id)
     left = marked.join(told, on, "left_anti").drop(name)
-    once = told.where("not told_gone")
+    once = small(told.where("not told_gone"))
     return left.unionAll(marked.join(once, on, "left_semi").drop(name).distinct()) if once.limit(1).count() else left
