@@ -35,7 +35,7 @@ NONE = np.int32(2**31 - 1)
 #: Lengths up to which pieces share a matrix; a longer piece has its own.
 BUCKETS = (4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 128, 256)
 #: Cells of one matrix; chunks, pieces and characters of either that one Python worker remembers; bytes of text at once. All only bound memory.
-CELLS, REMEMBERED, CHARACTERS, SLICE = 500_000, 200_000, 10_000_000, 1_000_000
+CELLS, REMEMBERED, CHARACTERS, SLICE = 300_000, 120_000, 10_000_000, 700_000
 #: In texts under this pattern, a blank or line end between two other characters always starts a piece.
 CUTTABLE, CUT = public_tokenizers.PATTERN, re.compile(r"(?<=\S)(?=[ \n]\S)")
 

@@ -45,7 +45,7 @@ def discard(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches into runs of rows whose ``column`` holds about ``limit`` bytes, one row at least."""
     for batch in batches:
         lengths = pa.compute.binary_length(batch.column(batch.schema.get_field_index(column))).to_pylist()
