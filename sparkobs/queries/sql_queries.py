@@ -50,7 +50,7 @@ def sql_correlated(spark, sf_dir):
 @query("SELECT h AS hour, count(e.event_id) AS n FROM generate_series(0, 23) t(h) LEFT JOIN events e ON hour(e.ts) = h GROUP BY 1")
 def sql_table_functions(spark, sf_dir):
     own = A.events(spark, sf_dir)
-    return sql.panel(spark, "SELECT h AS hour, count(e.event_id) AS n FROM (SELECT explode(sequence(0, 23)) AS h) LEFT JOIN panel_events e ON hour(e.ts) = h AND $__window(e.ts_us) GROUP BY 1", {"panel_events": own}, 0, 2**62)
+    return sql.panel(spark, "SELECT h AS hour, count(e.event_id) AS n FROM (SELECT explode(sequence(0, 23)) AS h) LEFT JOIN hourly_events e ON hour(e.ts) = h AND $__window(e.ts_us) GROUP BY 1", {"hourly_events": own}, 0, 2**62)
 
 
 SAID = ("Information", "warn2", " ERR ", "panic", "verbose", "", "custom3", None)

@@ -13,6 +13,7 @@ from sparkobs.operators import predicates as P
 from sparkobs.operators import receivers as V
 from sparkobs.operators import rollups as R
 from sparkobs.operators import rows as O
+from sparkobs.operators.quantiles import narrowed
 from sparkobs.plans import panels, routing, sql
 from sparkobs.queries import ORACLE_SQL
 from sparkobs.sources import adapters as A
@@ -196,3 +197,18 @@ def test_macros_and_shapes():
         with pytest.raises(ValueError):
             sql.expanded(bad)
     assert panels.compatible(1, 1, True) == ["timeseries", "state_timeline"] and panels.compatible(2, 1, False) == ["bar", "table"] and "bar" not in panels.compatible(2, 2, False)
+
+
+def test_narrowed_quantiles_over_signs_ties_and_nulls(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([0.0, -1.5, 1e-9, 3.0, 3.0, rng.gauss(0, 50)])) for _ in range(500)] + [("a", None), ("a", float("nan")), ("c", None), ("d", 7.0)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    qs = {"p0": 0.0, "p50": 0.5, "p93": 0.93, "p100": 1.0}
+    got = {r.k: r for r in narrowed(df, ["k"], "x", qs).collect()}
+    assert set(got) == {"a", "b", None, "d"}
+    for k, r in got.items():
+        own = sorted(x for y, x in rows if y == k and x is not None and x == x)
+        for name, q in qs.items():
+            at = q * (len(own) - 1)
+            low = int(at)
+            assert r[name] == pytest.approx(own[low] + (own[min(low + 1, len(own) - 1)] - own[low]) * (at - low))

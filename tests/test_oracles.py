@@ -2,6 +2,7 @@
 
 import math
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pytest
@@ -20,6 +21,20 @@ def db():
     return con
 
 
+def computed(spark, name):
+    df = QUERIES[name](spark, SF_DIR)
+    columns = sorted(df.columns)
+    return columns, sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
+
+
+@pytest.fixture(scope="module")
+def results(request, spark):
+    """All selected queries, a few at a time: each is short and mostly planning."""
+    names = [x.callspec.params["name"] for x in request.session.items if x.module is request.module]
+    with ThreadPoolExecutor(6) as pool:
+        yield {name: pool.submit(computed, spark, name) for name in names}
+
+
 def plain(x):
     if isinstance(x, float):
         return "nan" if math.isnan(x) else repr(x + 0.0)
@@ -29,10 +44,8 @@ def plain(x):
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query(spark, db, name):
-    df = QUERIES[name](spark, SF_DIR)
-    columns = sorted(df.columns)
-    got = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
+def test_query(results, db, name):
+    columns, got = results[name].result()
     if name not in ORACLE_SQL:
         return
     res = db.sql(ORACLE_SQL[name])
