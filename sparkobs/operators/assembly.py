@@ -1,8 +1,8 @@
 """Panels over metric points: several measures of one scan, each by the rule of its points' kinds, aligned by bucket and dimensions.
 
 Points are rows of name, type (gauge, updown, counter, histogram), temporality, series, time_us, ingested, value,
-start_us, bounds, counts, sum, count and any dimensions; a series has one value of each dimension. Every builder starts
-from the same deduplicated points, whose shuffle by series and time Spark makes once and reuses.
+start_us, bounds, counts, sum, count and any dimensions; a series has one value of each dimension. Every builder reads
+only its kinds, and those of equal kinds share the shuffle that tells retries from points.
 """
 
 from __future__ import annotations
@@ -65,9 +65,8 @@ def assembled(points: DataFrame, measures: dict[str, Measure], seconds: int, sta
     keys = ["bucket_ms", *by]
     inside = lambda df: df.where((c("bucket_ms") >= start_us // 1000 // (seconds * 1000) * (seconds * 1000)) & (c("bucket_ms") < end_us // 1000))
     raw = scan.where(c("time_us") >= start_us).select(bucket(c("time_us"), seconds).alias("bucket_ms"), *(dim(c(d)).alias(d) for d in by), *(x for x in scan.columns if x not in by))
-    own = K.deduped(K.valid(scan))
-    labels = own.select("series", *(dim(c(d)).alias(d) for d in by)).distinct() if by else None
-    of = lambda kinds: own.where(c("type").isin(*kinds))
+    labels = K.valid(scan).select("series", *(dim(c(d)).alias(d) for d in by)).distinct() if by else None
+    of = lambda kinds: K.deduped(K.valid(scan.where(c("type").isin(*kinds))))  # noqa: E731  kinds reach the scan
 
     def grouped(rows: DataFrame, value: Column) -> DataFrame:
         """Rows of series and bucket over all series of a group."""
