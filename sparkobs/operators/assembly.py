@@ -7,7 +7,9 @@ only its kinds, and those of equal kinds share the shuffle that tells retries fr
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,10 +55,11 @@ def diagnosed(points: DataFrame, measures: dict[str, Measure]) -> DataFrame:
     return kinds.select("*", *(c("type").isin(*KINDS[m.fn]).alias(k) if m.by_kind else F.lit(True).alias(k) for k, m in measures.items()))
 
 
-def assembled(points: DataFrame, measures: dict[str, Measure], seconds: int, start_us: int, end_us: int, by: tuple[str, ...] = (), name: str | None = None) -> DataFrame:
+def assembled(points: DataFrame, measures: dict[str, Measure], seconds: int, start_us: int, end_us: int, by: tuple[str, ...] = (), name: str | None = None, kinds: tuple[str, ...] = (*SCALARS, "histogram")) -> DataFrame:
     """bucket_ms, the dimensions ``by`` and a column for each of ``measures`` over [start_us, end_us).
 
-    Values of several metrics do not mix: measures of the value need one ``name``, or the name among ``by``."""
+    Values of several metrics do not mix: measures of the value need one ``name``, or the name among ``by``. ``kinds`` are
+    those that the inventory knows of the metrics asked for; nothing is planned for others."""
     if name is None and "name" not in by and any(m.by_kind for m in measures.values()):
         raise ValueError("a measure of the value needs the name of one metric, or the name as a dimension")
     back = lookback(measures)
@@ -73,6 +76,11 @@ def assembled(points: DataFrame, measures: dict[str, Measure], seconds: int, sta
         rows = rows.join(labels, "series") if by else rows
         return inside(rows).groupBy(*keys).agg(value.alias("value"))
 
+    def every(*builders: tuple[tuple[str, ...], Callable[[], DataFrame]]) -> DataFrame:
+        """The rows of all builders whose kinds there are; a measure that no kind answers has none."""
+        rows = [build() for of_kinds, build in builders if {*of_kinds} & {*kinds}]
+        return reduce(DataFrame.unionByName, rows) if rows else builders[0][1]().limit(0)
+
     def scalar_parts() -> DataFrame:
         return K.spread(K.increases(of(("counter",))), seconds)
 
@@ -91,25 +99,26 @@ def assembled(points: DataFrame, measures: dict[str, Measure], seconds: int, sta
         if not m.by_kind:
             return raw.groupBy(*keys).agg(whole[m.fn](c(m.field).cast("double")).alias("value"))
         if m.fn == "rate":
-            both = K.carried_rates(scalar_parts(), seconds).unionByName(K.carried_rates(histogram_parts(), seconds))
-            return grouped(both, F.sum("rate"))
+            return grouped(every((("counter",), lambda: K.carried_rates(scalar_parts(), seconds)), (("histogram",), lambda: K.carried_rates(histogram_parts(), seconds))), F.sum("rate"))
         if m.fn == "sum":
-            means = K.carried(of(GAUGES), seconds).select("series", "bucket_ms", c("mean").alias("v"))
-            sums = scalar_parts().groupBy("series", "bucket_ms").agg(F.sum("part").alias("v"))
-            totals = histogram_parts().groupBy("series", "bucket_ms").agg(F.sum("total").alias("v"))
-            return grouped(means.unionByName(sums).unionByName(totals), F.sum("v"))
+            means = lambda: K.carried(of(GAUGES), seconds).select("series", "bucket_ms", c("mean").alias("v"))
+            sums = lambda: scalar_parts().groupBy("series", "bucket_ms").agg(F.sum("part").alias("v"))
+            totals = lambda: histogram_parts().groupBy("series", "bucket_ms").agg(F.sum("total").alias("v"))
+            return grouped(every((GAUGES, means), (("counter",), sums), (("histogram",), totals)), F.sum("v"))
         if m.fn == "avg":
-            means = K.carried(of(GAUGES), seconds).select("series", "bucket_ms", c("mean").alias("v"), F.lit(1.0).alias("weight"))
-            totals = histogram_parts().where("total is not null").groupBy("series", "bucket_ms").agg(F.sum("total").alias("v"), F.sum("part").alias("weight"))
-            return grouped(means.unionByName(totals), F.sum("v") / F.nullif(F.sum("weight"), F.lit(0.0)))
+            means = lambda: K.carried(of(GAUGES), seconds).select("series", "bucket_ms", c("mean").alias("v"), F.lit(1.0).alias("weight"))
+            totals = lambda: histogram_parts().where("total is not null").groupBy("series", "bucket_ms").agg(F.sum("total").alias("v"), F.sum("part").alias("weight"))
+            return grouped(every((GAUGES, means), (("histogram",), totals)), F.sum("v") / F.nullif(F.sum("weight"), F.lit(0.0)))
         if m.fn == "last":
             return grouped(K.last_at(of(SCALARS), seconds, start_us, -(-end_us // (seconds * 1_000_000)) * seconds * 1_000_000), F.sum("value"))
         if m.fn == "quantile":
-            weights = histogram_parts()
-            weights = inside(weights.join(labels, "series") if by else weights)
-            from_buckets = K.bucket_quantile(K.bucket_weights(weights, *keys), m.q, *keys)
-            from_points = grouped(of(GAUGES).withColumn("bucket_ms", bucket(c("time_us"), seconds)).select("series", "bucket_ms", c("value").alias("v")), F.percentile("v", F.lit(m.q)))
-            return from_points.unionByName(from_buckets).groupBy(*keys).agg(F.max("value").alias("value"))  # a metric has one kind
+
+            def from_buckets() -> DataFrame:
+                weights = histogram_parts()
+                return K.bucket_quantile(K.bucket_weights(inside(weights.join(labels, "series") if by else weights), *keys), m.q, *keys)
+
+            from_points = lambda: grouped(of(GAUGES).withColumn("bucket_ms", bucket(c("time_us"), seconds)).select("series", "bucket_ms", c("value").alias("v")), F.percentile("v", F.lit(m.q)))
+            return every((GAUGES, from_points), (("histogram",), from_buckets)).groupBy(*keys).agg(F.max("value").alias("value"))  # a metric has one kind
         plain = of(SCALARS).where(c("time_us") >= start_us).withColumn("bucket_ms", bucket(c("time_us"), seconds)).select("series", "bucket_ms", c("value").alias("v"))
         return grouped(plain, whole[m.fn](c("v")))
 

@@ -147,7 +147,7 @@ def metric_panel_gauge(spark, sf_dir):
     """Seven measures of a gauge over one scan: points as sent, means with carries, last values, points once."""
     points = A.metric_points(spark, sf_dir)
     measures = {"n": B.Measure("count"), "senders": B.Measure("count_distinct", "series"), "mean": B.Measure("avg"), "total": B.Measure("sum"), "latest": B.Measure("last"), "least": B.Measure("min"), "p95": B.Measure("quantile", q=0.95)}
-    own = B.assembled(points, measures, MIN, *window_of(points.where("name = 'queue'"), MIN), name="queue")
+    own = B.assembled(points, measures, MIN, *window_of(points.where("name = 'queue'"), MIN), name="queue", kinds=("gauge",))
     return own.withColumns({k: F.round(k, 4 if k in ("total", "latest") else 6) for k in ("mean", "total", "latest", "p95")})
 
 
@@ -172,7 +172,7 @@ SELECT bucket_ms, host, coalesce(n, 0) AS n, share, rate, total, most FROM g LEF
 def metric_panel_counter(spark, sf_dir):
     points = A.metric_points(spark, sf_dir)
     measures = {"n": B.Measure("count"), "share": B.Measure("share"), "rate": B.Measure("rate"), "total": B.Measure("sum"), "most": B.Measure("max")}
-    own = B.assembled(points, measures, MIN, *window_of(points.where("name = 'requests'"), MIN), by=("host",), name="requests")
+    own = B.assembled(points, measures, MIN, *window_of(points.where("name = 'requests'"), MIN), by=("host",), name="requests", kinds=("counter",))
     return own.withColumns({"share": r6("share"), "rate": F.round("rate", 5), "total": F.round("total", 4)})
 
 
@@ -190,7 +190,7 @@ SELECT bucket_ms, coalesce(raw.n, 0) AS n, mean, p90 FROM g LEFT JOIN raw USING
 def metric_panel_histogram(spark, sf_dir):
     points = A.metric_points(spark, sf_dir)
     measures = {"n": B.Measure("count"), "mean": B.Measure("avg"), "p90": B.Measure("quantile", q=0.9)}
-    own = B.assembled(points, measures, 3600, *window_of(points.where("name = 'latency'"), 3600), name="latency")
+    own = B.assembled(points, measures, 3600, *window_of(points.where("name = 'latency'"), 3600), name="latency", kinds=("histogram",))
     return own.withColumns({"mean": F.round("mean", 4), "p90": F.round("p90", 4)})
 
 
