@@ -42,7 +42,7 @@ WORDS, SIMILAR = 5, 80  # shingle length; least similarity in percent
 BITS, CHUNK = (18, 23), 14  # of the sketch, least and most (a byte each when broadcast), and of a part of it
 FILTER_BITS = (12, 27)  # of the filter that picks texts for the full sets, least and most
 BLOCK_DOCS, BLOCK_SHINGLES, PIVOTS, SALTS = 400, 1_000_000, 25, 8
-PROFILE_DOCS = 1000  # of a block of profiles, which are a small part of the sets
+PROFILE_DOCS = 400  # of a block of profiles, which are a small part of the sets
 REMEMBERED = 300_000
 FINISH = 500_000  # edges of 16 bytes that one task ties together
 MIX = np.uint64(0x9E3779B97F4A7C15)
