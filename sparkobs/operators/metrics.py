@@ -155,6 +155,24 @@ def bucket_quantile(weights: DataFrame, q: float, *keys: str) -> DataFrame:
     return own.groupBy(*keys).agg(F.min_by(first, F.struct("cum", F.coalesce("hi", F.lit(float("inf"))))).alias("value"))
 
 
+def exponential(values: DataFrame, scale: int, *keys: str) -> DataFrame:
+    """Exponential histograms of the finite values: buckets of those above 0, zeros, and buckets of those below 0 by magnitude.
+
+    Bucket i holds magnitudes from 2**(i * 2**-scale) up to the next bound; zeros have no logarithm and are only counted."""
+    value = c("value")
+    i = F.when(value != 0, F.floor(F.log2(F.abs(value)) * 2.0**scale).cast("int"))
+    own = values.where(~F.isnan(value) & (F.abs(value) < float("inf"))).groupBy(*keys, F.signum(value).alias("sign"), i.alias("i")).agg(F.count(F.lit(1)).alias("n"))
+    sides = {"positive": c("sign") > 0, "negative": c("sign") < 0}
+    low = {f"{k}_offset": F.min(F.when(on, c("i"))) for k, on in sides.items()}
+    high = {f"{k}_high": F.max(F.when(on, c("i"))) for k, on in sides.items()}
+    held = {f"{k}_held": F.map_from_entries(F.collect_list(F.when(on, F.struct("i", "n")))) for k, on in sides.items()}
+    own = own.groupBy(*keys).agg(F.coalesce(F.sum(F.when(c("sign") == 0, c("n"))), F.lit(0).cast("long")).alias("zero_count"), *(x.alias(k) for k, x in (low | high | held).items()))
+    none = F.array().cast("array<bigint>")
+    counts = lambda k: F.coalesce(F.transform(F.sequence(f"{k}_offset", f"{k}_high"), lambda j: F.coalesce(F.element_at(f"{k}_held", j), F.lit(0).cast("long"))), none)
+    filled = [x for k in sides for x in (F.coalesce(f"{k}_offset", F.lit(0)).alias(f"{k}_offset"), counts(k).alias(f"{k}_counts"))]
+    return own.select(*keys, F.lit(scale).alias("scale"), "zero_count", F.lit(0.0).alias("zero_threshold"), *filled)
+
+
 def explicit(scale: Column, offset: Column, counts: Column) -> Column:
     """Upper bounds of the positive buckets of an exponential histogram: 2**((offset + i + 1) * 2**-scale)."""
     return F.transform(counts, lambda _, i: F.pow(F.lit(2.0), (offset + i + 1) * F.pow(F.lit(2.0), -scale)))

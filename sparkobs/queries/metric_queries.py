@@ -117,9 +117,7 @@ def metric_hist_avg(spark, sf_dir):
 SELECT user_id, list_prepend(0.0, list(round(pow(2.0, (s.i + 1) / 2.0), 9) ORDER BY s.i)) AS bounds, list_append(list_prepend(0, list(coalesce(n, 0) ORDER BY s.i)), 0) AS counts FROM s LEFT JOIN b USING (user_id, i) GROUP BY 1""".replace("b AS", "WITH b AS", 1))
 def metric_exp_hist(spark, sf_dir):
     """Exponential histograms over each user's values, decoded to explicit buckets."""
-    own = A.events(spark, sf_dir).select("user_id", F.floor(F.log2("value") * 2).cast("int").alias("i")).groupBy("user_id", "i").agg(F.count(F.lit(1)).alias("n"))
-    own = own.groupBy("user_id").agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("m"))
-    own = own.select("user_id", F.lit(1).alias("scale"), F.lit(0).cast("long").alias("zero_count"), F.lit(0.0).alias("zero_threshold"), c("lo").alias("positive_offset"), F.transform(F.sequence("lo", "hi"), lambda i: F.coalesce(F.element_at("m", i), F.lit(0))).alias("positive_counts"), F.lit(0).alias("negative_offset"), F.array().cast("array<bigint>").alias("negative_counts"))
+    own = K.exponential(A.events(spark, sf_dir), 1, "user_id")
     return K.decoded(own).select("user_id", F.transform("bounds", lambda b: F.round(b, 9)).alias("bounds"), "counts")
 
 

@@ -81,3 +81,14 @@ def test_redaction_templates_and_severity(spark):
             assert r.t == by_re(b.encode()[:500].decode("utf-8", "ignore"), text.TEMPLATES)
     sev = spark.createDataFrame([("Information", None), ("WARN3", 0), (None, 24), ("x9", None), (None, None), ("a", 9)], "t string, n int")
     assert [r.s for r in sev.select(text.severity(F.col("t"), F.col("n")).alias("s")).collect()] == ["INFO", "WARN", "FATAL", "X", "UNSPECIFIED", "INFO"]
+
+
+def test_exponential_histograms_count_zeros_and_both_signs(spark):
+    rows = [(1, 1.0), (1, 3.0), (1, 0.0), (1, -0.0), (1, -1.0), (2, 0.0), (3, float("nan")), (3, float("inf")), (3, None), (4, 2.0), (4, None)]
+    own = K.exponential(spark.createDataFrame(rows, "g int, value double"), 1, "g")
+    by = {r.g: r for r in own.collect()}
+    assert set(by) == {1, 2, 4}
+    assert [(r.positive_offset, r.positive_counts, r.negative_offset, r.negative_counts, r.zero_count) for r in map(by.get, (1, 2, 4))] == [(0, [1, 0, 0, 1], 0, [1], 2), (0, [], 0, [], 1), (2, [1], 0, [], 0)]
+    seen = {r.g: ([round(x, 6) for x in r.bounds], r.counts) for r in K.decoded(own).collect()}
+    assert seen[1] == ([-1.0, 0.0, 1.414214, 2.0, 2.828427, 4.0], [1, 2, 1, 0, 0, 1, 0])
+    assert (seen[2], seen[4]) == (([0.0], [1, 0]), ([0.0, 2.828427], [0, 1, 0]))

@@ -72,3 +72,10 @@ def test_every_document_has_a_template(spark, tmp_path):
     short = {r.event_id: r.template for r in QUERIES["log_template"](spark, str(tmp_path)).collect()}
     assert set(got) == {i for i, _ in rows} and short == got
     assert (got[2], got[3], got[4], got[5]) == ("é" * 250, "x" * 499, ("no digits " * 80)[:500], None)
+
+
+def test_exponential_histograms_hold_every_value(spark, tmp_path):
+    write_events(spark, tmp_path, 0, 3000)  # some values are 0
+    values = spark.read.parquet(f"{tmp_path}/events.parquet").groupBy("user_id").count()
+    want = {r.user_id: r["count"] for r in values.collect()}
+    assert {r.user_id: sum(r.counts) for r in QUERIES["metric_exp_hist"](spark, str(tmp_path)).collect()} == want
