@@ -20,11 +20,11 @@ def call_edges(spans: DataFrame, seconds: int = 60, parents: DataFrame | None =
     return own.groupBy("namespace", bucket(c("start_us"), seconds).alias("bucket_ms"), "caller", c("service").alias("callee")).agg(F.count(F.lit(1)).alias("calls"), F.avg("duration_ms").alias("avg_ms"), M.error_rate().alias("error_rate"))
 
 
-def edge_hours(new: DataFrame, spans: DataFrame) -> DataFrame:
-    """Hours whose call edges new spans change: their own, and those of the children that wait for them among all ``spans``."""
+def edge_hours(new: DataFrame, spans: DataFrame, width: int = 1) -> DataFrame:
+    """Hours (or blocks of ``width`` hours) whose call edges new spans change: their own, and those of the children that wait for them among all ``spans``."""
     parents = new.select("namespace", "trace_id", c("span_id").alias("parent_span_id")).distinct()
     children = spans.where("parent_span_id <> ''").join(parents, ["namespace", "trace_id", "parent_span_id"], "left_semi")
-    return touched(new, "start_us").union(touched(children, "start_us")).distinct()
+    return touched(new, "start_us", width).union(touched(children, "start_us", width)).distinct()
 
 
 def messaging_edges(spans: DataFrame, seconds: int = 60) -> DataFrame:

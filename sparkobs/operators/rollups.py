@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from sparkobs.operators import measures as M
 from sparkobs.plans.panels import bucket
+from sparkobs.sources.dataset import first_hour
 
-ROUTES, HOUR_US = 128, 3_600_000_000
+ROUTES = 128
 ZERO_BIN = -2_147_483_648
 c = F.col
 
@@ -28,13 +29,14 @@ def affected(new: DataFrame, time: str) -> DataFrame:
     return by_minute(new, time).select("namespace", "bucket_ms", "service").distinct()
 
 
-def touched(new: DataFrame, time: str) -> DataFrame:
-    """Hours that new rows touch; a batch has few."""
-    return new.select(F.floor(c(time) / HOUR_US).cast("long").alias("hour")).distinct()
+def touched(new: DataFrame, time: str, width: int = 1) -> DataFrame:
+    """Hours (or blocks of ``width`` hours, by their first) that new rows touch; a batch has few."""
+    return new.select(first_hour(c(time), width).alias("hour")).distinct()
 
 
-def in_hours(df: DataFrame, hours: DataFrame, time: str) -> DataFrame:
-    return df.withColumn("__hour", F.floor(c(time) / HOUR_US).cast("long")).join(hours.select(c("hour").alias("__hour")), "__hour", "left_semi").drop("__hour")
+def in_hours(df: DataFrame, hours: DataFrame, time: str, width: int = 1) -> DataFrame:
+    """Rows of whole hours, or of whole blocks of ``width`` hours."""
+    return df.withColumn("__hour", first_hour(c(time), width)).join(hours.select(c("hour").alias("__hour")), "__hour", "left_semi").drop("__hour")
 
 
 def restricted(df: DataFrame, keys: DataFrame | None, time: str) -> DataFrame:

@@ -89,11 +89,13 @@ def rollup_affected(spark, sf_dir):
 
 @query("SELECT pa.service AS caller, ch.service AS callee, ch.dense_us // 60000000 * 60000 AS bucket_ms, count(*) AS calls FROM spans ch JOIN spans pa ON ch.namespace = pa.namespace AND ch.trace_id = pa.trace_id AND ch.parent_span_id = pa.span_id AND ch.service <> pa.service GROUP BY 1, 2, 3", A.SPANS)
 def rollup_repair(spark, sf_dir):
-    """Edges of early spans at rest, then the hours that late parents and children change: the same as of all spans at once."""
+    """Edges of early spans at rest, then the days that late parents and children change: the same as of all spans at once.
+
+    On the dense clock an hour has some 500 spans, so that hours at rest would be as many small files as spans / 500."""
     own, root = A.spans(spark, sf_dir, "dense_us"), shared(spark)
     early, late = own.where("k < 50"), own.where("k >= 50")
-    jobs.stored(G.call_edges(early), root, ["caller", "callee"])
-    jobs.stored(G.call_edges(R.in_hours(own, G.edge_hours(late, own), "start_us"), parents=own), root, ["caller", "callee"])
+    jobs.stored(G.call_edges(early), root, ["caller", "callee"], 24)
+    jobs.stored(G.call_edges(R.in_hours(own, G.edge_hours(late, own, 24), "start_us", 24), parents=own), root, ["caller", "callee"], 24)
     return jobs.current(spark, root).select("caller", "callee", "bucket_ms", "calls")
 
 

@@ -14,13 +14,16 @@ from sparkobs.sources import dataset
 KEY = ["namespace", "bucket_ms", "service"]
 
 
-def stored(rows: DataFrame, root: str, order: list[str]) -> None:
-    """Rewrites the hours of a rollup's rows (by bucket_ms) under ``root``; writing a batch again changes nothing."""
-    dataset.replace(rows.withColumn("bucket_us", F.col("bucket_ms") * 1000), root, "bucket_us", order)
+def stored(rows: DataFrame, root: str, order: list[str], width: int = 1) -> None:
+    """Rewrites the hours of a rollup's rows (by bucket_ms) under ``root``; writing a batch again changes nothing.
+
+    What is rewritten is a block of ``width`` hours, whose rows must all be there: a rollup of few rows an hour over a long
+    time is one file a block, not one an hour. A root keeps its width."""
+    dataset.replace(rows.withColumn("bucket_us", F.col("bucket_ms") * 1000), root, "bucket_us", order, width)
 
 
 def current(spark, root: str) -> DataFrame:
-    """The rollup as it stands: every hour has one version."""
+    """The rollup as it stands: every hour, or block of hours, has one version."""
     return spark.read.parquet(root).drop("hour", "bucket_us")
 
 
@@ -29,23 +32,23 @@ def job(stream: DataFrame, repair: Callable[[DataFrame], None], checkpoint: str)
     return stream.writeStream.foreachBatch(lambda new, _: repair(new)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def service_rollup(stream: DataFrame, base: Callable[[], tuple[DataFrame, DataFrame]], root: str, checkpoint: str):
-    """``stream`` brings new spans, ``base`` reads all spans and logs so far."""
+def service_rollup(stream: DataFrame, base: Callable[[], tuple[DataFrame, DataFrame]], root: str, checkpoint: str, width: int = 1):
+    """``stream`` brings new spans, ``base`` reads all spans and logs so far; ``width`` hours are recomputed and stored together."""
 
     def repair(new: DataFrame) -> None:
-        hours, (spans, logs) = R.touched(new, "start_us"), base()
-        stored(R.service_rollup(R.in_hours(spans, hours, "start_us"), R.in_hours(logs, hours, "time_us")), root, KEY)
+        hours, (spans, logs) = R.touched(new, "start_us", width), base()
+        stored(R.service_rollup(R.in_hours(spans, hours, "start_us", width), R.in_hours(logs, hours, "time_us", width)), root, KEY, width)
 
     return job(stream, repair, checkpoint)
 
 
-def edge_rollup(stream: DataFrame, base: Callable[[], DataFrame], root: str, checkpoint: str):
-    """Call edges: a late parent repairs the hours of its children, a late child its own."""
+def edge_rollup(stream: DataFrame, base: Callable[[], DataFrame], root: str, checkpoint: str, width: int = 1):
+    """Call edges: a late parent repairs the hours of its children, a late child its own; ``width`` hours go together."""
 
     def repair(new: DataFrame) -> None:
         spans = base()
-        hours = G.edge_hours(new, spans)
-        stored(G.call_edges(R.in_hours(spans, hours, "start_us"), parents=spans), root, ["namespace", "bucket_ms", "caller", "callee"])
+        hours = G.edge_hours(new, spans, width)
+        stored(G.call_edges(R.in_hours(spans, hours, "start_us", width), parents=spans), root, ["namespace", "bucket_ms", "caller", "callee"], width)
 
     return job(stream, repair, checkpoint)
 

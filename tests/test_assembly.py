@@ -212,3 +212,13 @@ def test_narrowed_quantiles_over_signs_ties_and_nulls(spark):
             at = q * (len(own) - 1)
             low = int(at)
             assert r[name] == pytest.approx(own[low] + (own[min(low + 1, len(own) - 1)] - own[low]) * (at - low))
+
+
+def test_blocks_of_hours_are_rewritten_and_read_whole(spark, tmp_path):
+    root, h = f"{tmp_path}/d", dataset.HOUR_US
+    put = lambda *rows: dataset.replace(spark.createDataFrame(rows, "t long, v string"), root, "t", ["t"], 24)
+    put((1, "a"), (23 * h, "b"), (24 * h, "c"), (-1, "z"))
+    put((25 * h, "d"))
+    read = lambda *window: sorted(tuple(r) for r in dataset.read(spark, root, "t", *window, width=24).collect())
+    assert read() == [(-1, "z"), (1, "a"), (23 * h, "b"), (25 * h, "d")]
+    assert read(5 * h, 24 * h) == [(23 * h, "b")] and read(25 * h, 26 * h) == [(25 * h, "d")] and read(-h, 1) == [(-1, "z")]

@@ -79,3 +79,11 @@ def test_exponential_histograms_hold_every_value(spark, tmp_path):
     values = spark.read.parquet(f"{tmp_path}/events.parquet").groupBy("user_id").count()
     want = {r.user_id: r["count"] for r in values.collect()}
     assert {r.user_id: sum(r.counts) for r in QUERIES["metric_exp_hist"](spark, str(tmp_path)).collect()} == want
+
+
+def test_repaired_edges_are_at_rest_by_day(spark, tmp_path):
+    write_events(spark, f"{tmp_path}/one", 0, 30_000)  # 58 hours; seven users send all types
+    spark.read.parquet(f"{tmp_path}/one/events.parquet").selectExpr("* EXCEPT (user_id)", "event_id % 7 AS user_id").write.parquet(f"{tmp_path}/events.parquet")
+    days = {x.split("/")[-2] for x in QUERIES["rollup_repair"](spark, str(tmp_path)).inputFiles()}
+    assert days == {f"hour={(1_704_067_200 // 3600) + 24 * i}" for i in range(3)}
+    against_twin(spark, tmp_path, "rollup_repair")

@@ -43,6 +43,17 @@ def test_repair_touches_only_the_hours_of_new_rows_and_their_children(spark):
     assert {r.hour for r in graph.edge_hours(new, spans).collect()} == {1, 2}
 
 
+def test_late_spans_repair_whole_days(spark, tmp_path):
+    own = A.spans(spark, SF, "dense_us").select("namespace", "trace_id", "span_id", "parent_span_id", "service", "status", "start_us", "duration_ms", "event_id")
+    for k in (2, 0, 1):
+        own.where(f"event_id % 3 = {k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    assert jobs.edge_rollup(stream, lambda: spark.read.parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp", 24).awaitTermination(240)
+    got = jobs.current(spark, f"{tmp_path}/out")
+    want = graph.call_edges(own).select(got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and len({x.split("/")[-2] for x in got.inputFiles()}) == 1
+
+
 def test_windowed_counts(spark, tmp_path):
     A.table(spark, SF, "events").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(f"{tmp_path}/ev")
     df = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/ev").schema).parquet(f"{tmp_path}/ev")
