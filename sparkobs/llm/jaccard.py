@@ -5,7 +5,10 @@
    only moves a rank.
 2. Two sets that reach the similarity share one of their first n - ceil(t n) + 1 ranked shingles. Documents that meet
    on such a shingle are chained by size, not paired; the chains' components say which sets may meet at all. Each task
-   chains its own documents first, so a shingle of very many documents is shuffled as a few runs of sizes.
+   chains its own documents first, so a shingle of very many documents is shuffled as a few runs of sizes. Where the
+   corpus crowds the sketch, passages of few copies are lost in chance and tie strangers together. Components of several
+   blocks are then parted: by a sketch that counts their sets alone, prefixes are made so much longer that similar sets
+   share several shingles of them, and these are counted by pair, but not within what neighbours tie together already.
 3. Within a component, sets first meet as profiles: counts of their shingles by hash range. The sum of the smaller
    counts bounds the overlap, so most sets that only share a passage part here, at a byte for every few shingles.
 4. What is left meets as sets. A block's sets, frequent shingles first, form a path-compressed trie; each set walks it,
@@ -40,6 +43,7 @@ from sparkobs.llm.common import discard, slices, small, stored
 
 WORDS, SIMILAR = 5, 80  # shingle length; least similarity in percent
 BITS, CHUNK = (18, 23), 14  # of the sketch, least and most (a byte each when broadcast), and of a part of it
+CROWDED, MEMBERS = 24, 100  # shingles a counter from which on large components are parted; sets of a shingle that are counted by pair
 FILTER_BITS = (12, 27)  # of the filter that picks texts for the full sets, least and most
 BLOCK_DOCS, BLOCK_SHINGLES, PIVOTS, SALTS = 400, 1_000_000, 25, 8
 PROFILE_DOCS = 400  # of a block of profiles, which are a small part of the sets
@@ -300,14 +304,31 @@ def survey(docs: DataFrame, bits: int, turns: int) -> DataFrame:
             ends = np.cumsum(counts).tolist()
             profiles = [n.to_bytes(4, "little") + profile(shingles[e - n : e]).tobytes() if n else None for e, n in zip(ends, counts.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("mark"), pa.array(classes), pa.array(counts), *(pa.nulls(len(counts), t) for t in types[4:6]), pa.array(profiles, pa.binary())], names=names)
-        parts = [(k, p) for k, p in enumerate(sketch.reshape(-1, 1 << CHUNK)) if p.any()]
-        turn = int(xxhash.xxh32_intdigest(sketch.tobytes()) % turns)
-        n = len(parts)
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in types[:4]), pa.array([k for k, _ in parts], pa.int32()), pa.array([turn] * n, pa.int32()), pa.array([packed(p) for _, p in parts], pa.binary())], names=names)
+        parts = parts_of(sketch, turns)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(parts[0]), t) for t in types[:4]), *parts], names=names)
 
     return docs.mapInArrow(run, "id long, mark long, class long, n long, part int, turn int, data binary")
 
 
+def parts_of(sketch: np.ndarray, turns: int) -> list[pa.Array]:
+    """part, turn and data of a task's sketch."""
+    parts = [(k, p) for k, p in enumerate(sketch.reshape(-1, 1 << CHUNK)) if p.any()]
+    turn = int(xxhash.xxh32_intdigest(sketch.tobytes()) % turns)
+    return [pa.array([k for k, _ in parts], pa.int32()), pa.array([turn] * len(parts), pa.int32()), pa.array([packed(p) for _, p in parts], pa.binary())]
+
+
+def recount(sets: DataFrame, bits: int, turns: int) -> DataFrame:
+    """Parts of the sketch of all shingles of ``sets`` (node, data)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = np.zeros(1 << bits, np.uint32)
+        for b in slices(batches, "data"):
+            np.add.at(sketch, (np.frombuffer(b"".join(b.column("data").to_pylist()), np.uint64) >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
+        yield pa.RecordBatch.from_arrays(parts_of(sketch, turns), names=["part", "turn", "data"])
+
+    return sets.select("data").mapInArrow(run, "part int, turn int, data binary")
+
+
 def sketch_of(rows: DataFrame, bits: int, turns: int) -> np.ndarray:
     """The whole sketch: parts are summed by turn, then over all turns; 2**bits counters reach the driver.
 
@@ -330,9 +351,18 @@ def sketch_of(rows: DataFrame, bits: int, turns: int) -> np.ndarray:
 
 
 def sketch_size(texts: DataFrame) -> tuple[int, int]:
-    """Bits that give a counter to every 8 shingles or so (a word has about 6 bytes), within BITS; and the groups of tasks whose sketches are summed first."""
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(BITS[1], max(BITS[0], int(size // 48).bit_length())), min(4096, 1 + size // (1 << 31))
+    """Bits and turns for the sketch of texts (a word has about 6 bytes)."""
+    return sized((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6)
+
+
+def sized(shingles: int) -> tuple[int, int]:
+    """Bits that give a counter to every 8 shingles or so, within BITS; and the groups of tasks whose sketches are summed first."""
+    return min(BITS[1], max(BITS[0], int(shingles // 8).bit_length())), min(4096, 1 + 6 * shingles // (1 << 31))
+
+
+def ranked(shingles: np.ndarray, sketch: np.ndarray, bits: int) -> np.ndarray:
+    """Rank: the sketch's count, then the low bits of the hash."""
+    return sketch[(shingles >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(44) | shingles & np.uint64((1 << 44) - 1)
 
 
 def chains(docs: DataFrame, sketch: np.ndarray, bits: int) -> DataFrame:
@@ -341,11 +371,6 @@ def chains(docs: DataFrame, sketch: np.ndarray, bits: int) -> DataFrame:
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, sketch, seen = Shingler(), known.value, set()
-
-        def ranked(x: np.ndarray) -> np.ndarray:
-            """Rank: the sketch's count, then the low bits of the hash."""
-            return sketch[(x >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(44) | x & np.uint64((1 << 44) - 1)
-
         for b in slices(batches, "text"):
             def first(classes: np.ndarray) -> np.ndarray:
                 out = np.zeros(len(classes), bool)
@@ -357,7 +382,7 @@ def chains(docs: DataFrame, sketch: np.ndarray, bits: int) -> DataFrame:
 
             if len(seen) > REMEMBERED:
                 seen.clear()
-            shingles, counts, classes = shingler(b.column("text").to_pylist(), first, ranked)
+            shingles, counts, classes = shingler(b.column("text").to_pylist(), first, lambda x: ranked(x, sketch, bits))
             whose = np.repeat(np.arange(len(counts)), counts)
             at = np.arange(len(shingles)) - np.repeat(np.cumsum(counts) - counts, counts)
             keep = at < np.repeat(counts - -(-SIMILAR * counts // 100) + 1, counts)
@@ -405,6 +430,60 @@ def chained(shingles: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarr
     return same
 
 
+def required(n):
+    """Shingles that similar sets of n or more share at least in their first m - ceil(t m) + required(m), m being each one's size."""
+    return 1 + n // 16
+
+
+def counted(sets: DataFrame, sketch: np.ndarray, bits: int, labels: DataFrame | None = None) -> DataFrame:
+    """Edges (a, b) of ``sets`` (node, data) that share so many prefix shingles that they may be similar.
+
+    Without ``labels`` (node, label), of neighbours by size under a shingle only; those under a shingle of more than
+    MEMBERS sets are tied whatever they share. With labels, of all pairs whose labels differ under the other shingles.
+    Similar sets are tied by a chain of either or have one label: all that they share is counted, or lies in a chain."""
+    known, beside = sets.sparkSession.sparkContext.broadcast(sketch), labels is None
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "data"):
+            own = [np.sort(ranked(np.frombuffer(x, np.uint64), known.value, bits)) for x in b.column("data").to_pylist()]
+            counts = np.array([len(x) for x in own], np.int64)
+            keep = counts - -(-SIMILAR * counts // 100) + required(counts)
+            shingles = np.concatenate([x[:k] for x, k in zip(own, keep.tolist(), strict=True)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(shingles), pa.array(np.repeat(b.column("node").to_numpy(), keep)), pa.array(np.repeat(counts, keep))], names=["shingle", "node", "n"])
+
+    def found(s: np.ndarray, c: np.ndarray, n: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+        once = np.ones(len(s), bool)
+        once[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
+        s, c, n, label = s[once], c[once], n[once], label[once]
+        group = np.cumsum(np.append(True, s[1:] != s[:-1])[: len(s)]) - 1
+        wide = np.bincount(group)[group] > MEMBERS if len(s) else np.zeros(0, bool)
+        i, out = np.arange(len(s)) if beside else np.flatnonzero(~wide), []
+        for d in range(1, 2 if beside else MEMBERS):
+            i = i[i + d < len(s)]
+            i = i[(group[i] == group[i + d]) & (100 * n[i] >= SIMILAR * n[i + d])]  # sizes rise: what is beyond is larger still
+            if not len(i):
+                break
+            k = i if beside else i[label[i] != label[i + d]]
+            out.append((np.maximum(c[k], c[k + d]), np.minimum(c[k], c[k + d]), np.where(wide[k], 0, required(n[k]))))
+        columns = zip(*out, strict=True) if out else [[np.zeros(0, np.int64)]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(list(x))) for x in columns], names=["a", "b", "need"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 4
+        for b in batches:
+            held = [np.concatenate([x, b.column(k).to_numpy()]) for x, k in zip(held, ("shingle", "node", "n", "label"), strict=True)]
+            if len(held[0]):
+                last = int(np.searchsorted(held[0], held[0][-1]))  # the last shingle may go on
+                yield found(*(x[:last] for x in held))
+                held = [x[last:] for x in held]
+        yield found(*held)
+
+    rows = sets.mapInArrow(prefixes, "shingle long, node long, n long")
+    rows = rows.withColumn("label", F.lit(0).cast("long")) if beside else rows.join(small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    met = rows.select("shingle", "node", "n", "label").repartition("shingle").sortWithinPartitions("shingle", "n", "node").mapInArrow(run, "a long, b long, need long")
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.min("need").alias("need")).where("k >= need").select("a", "b")
+
+
 def filter_of(nodes: DataFrame, bits: int) -> np.ndarray:
     """A Bloom filter of 2**bits bits over nodes with their least id."""
 
@@ -480,13 +559,17 @@ def meet(placed: DataFrame, data: DataFrame, kernel) -> DataFrame:
     return rows.repartitionByRange("slot").sortWithinPartitions("slot").mapInArrow(run, "a long, b long")
 
 
+def blocks_of(own: DataFrame, most: int) -> DataFrame:
+    """root and blocks of the components of ``own`` (root, n)."""
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / most), F.ceil(F.sum("n") * BLOCK_DOCS / (BLOCK_SHINGLES * most)))
+    return own.groupBy("root").agg(size.cast("int").alias("blocks"))
+
+
 def tie(own: DataFrame, data: DataFrame, kernel, most: int, name: str) -> DataFrame:
     """Links (a, b) that tie together whatever ``kernel`` finds similar within the components of ``own`` (node, root, n).
 
     A block has ``most`` classes and BLOCK_SHINGLES times most / BLOCK_DOCS shingles or so; ``data`` (node, data) is what the kernel reads."""
-    size = F.greatest(F.ceil(F.count(F.lit(1)) / most), F.ceil(F.sum("n") * BLOCK_DOCS / (BLOCK_SHINGLES * most)))
-    blocks = own.groupBy("root").agg(size.cast("int").alias("blocks"))
-    large = stored(blocks.where("blocks > 1"), name)
+    large = stored(blocks_of(own, most).where("blocks > 1"), name)
     own = lookup(own, large, "root", "node", "left").select("node", "root", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     own = stored(own.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")), name)
     slot = lambda *by: F.xxhash64(*by).alias("slot")
@@ -511,6 +594,25 @@ def tie(own: DataFrame, data: DataFrame, kernel, most: int, name: str) -> DataFr
     return links.unionAll(stored(meet(stored(both, name), data, kernel), name))
 
 
+def parted(texts: DataFrame, own: DataFrame, shingles: int, name: str) -> DataFrame:
+    """``own`` (node, root, least, n) with its components of several blocks parted, where the ``shingles`` of all texts crowd their sketch."""
+    large = blocks_of(own, PROFILE_DOCS).where("blocks > 1").select("root")
+    if shingles <= CROWDED << BITS[1] or not large.limit(1).count():
+        return own
+    folder = f"{name}-parted"
+    large = small(stored(large, f"{folder}/large"))
+    among = stored(own.join(large, "root", "left_semi"), f"{folder}/among")
+    sets = stored(sets_of(texts, among), f"{folder}/sets")
+    bits, turns = sized(among.agg(F.sum("n")).first()[0])
+    sketch = sketch_of(recount(sets, bits, turns), bits, turns)
+    beside = stored(counted(sets, sketch, bits), f"{folder}/beside")
+    labels = stored(components(beside, f"{folder}/labels"), f"{folder}/labels").withColumnRenamed("root", "label")
+    again = components(beside.unionAll(counted(sets, sketch, bits, labels)), f"{folder}/again")
+    out = stored(own.join(large, "root", "left_anti").unionByName(again.join(among.drop("root"), "node")), name)
+    discard(texts.sparkSession, folder)
+    return out
+
+
 def grouped(docs: DataFrame, key: str, text: str, mark: Column, folder: str) -> DataFrame:
     """id, mark, class, n, group (null for a text that is like no other) and component (the group's least id, else the own id) of every document.
 
@@ -522,7 +624,8 @@ def grouped(docs: DataFrame, key: str, text: str, mark: Column, folder: str) ->
     classes = rows.where("n > 0").groupBy("class").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     of_class = classes.select(F.col("class").alias("node"), "least", "n")
     near = components(chains(texts, sketch_of(seen, bits, turns), bits), f"{run}/near")
-    own = stored(near.join(of_class, "node"), f"{run}/candidates")
+    shingles = seen.agg(F.sum("n")).first()[0] or 0
+    own = parted(texts, stored(near.join(of_class, "node"), f"{run}/candidates"), shingles, f"{run}/candidates")
     # a class's profile comes from the document with its least id
     profiles = seen.where("n > 0").select(F.col("class").alias("node"), F.col("id").alias("least"), "data").join(small(own.select("node", "least")), ["node", "least"]).select("node", "data")
     profiles = profiles.unionAll(seen.where("n > 0 and id is null").select(F.col("class").alias("node"), "data").join(small(own.where("least is null").select("node")), "node"))

@@ -115,3 +115,35 @@ def test_profiles_never_part_similar_sets():
             found = links.edges()
             if both and 100 * both >= 80 * (len(a) + len(b) - both):
                 assert found == [(2, 1)]
+
+
+def test_parted_components_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(J, "CROWDED", 0)
+    monkeypatch.setattr(J, "PROFILE_DOCS", 8)
+    for members in (100, 5):
+        monkeypatch.setattr(J, "MEMBERS", members)
+        texts = ODD + corpus(3, 40, 6) + corpus(4, 3, 60, length=(60, 90), edits=9) + ODD[:5]
+        rows = list(enumerate(texts, 10)) + [(None, texts[20]), (None, "nobody else says this at all today"), (11, texts[30])]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in J.join(df.repartition(5)).collect())
+        assert got == brute(rows)
+
+
+def test_a_crowded_sketch_makes_no_large_components(spark, monkeypatch):
+    monkeypatch.setattr(J, "BITS", (14, 14))
+    monkeypatch.setattr(J, "PROFILE_DOCS", 40)
+    rng = random.Random(7)
+    passages = [" ".join(f"p{rng.randrange(10**6)}" for _ in range(16)) for _ in range(1200)]
+    rows = []
+    for i in range(3000):  # each text shares passages with a few strangers; one in ten has a near copy
+        own = [f"w{rng.randrange(10**6)}" for _ in range(170)]
+        for p in rng.sample(passages, 3):
+            own.insert(rng.randrange(len(own)), p)
+        rows.append((2 * i, " ".join(own)))
+        if i % 10 == 0:
+            rows.append((2 * i + 1, rows[-1][1] + " end"))
+    met, meet = [], J.meet
+    monkeypatch.setattr(J, "meet", lambda placed, *how: met.append(placed.count()) or meet(placed, *how))
+    got = {r.doc_id: r.component_id for r in J.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {d: d // 2 * 2 for d, _ in rows}
+    assert sum(met) <= 3 * len(rows)
