@@ -7,6 +7,7 @@ import public_tokenizers as P
 import tiktoken
 
 import corpus_pipeline
+from sparkobs.llm import jaccard
 
 
 def test_stages_and_run(spark, tmp_path):
@@ -75,3 +76,25 @@ def test_stages_over_odd_tables(spark, tmp_path):
             assert kept[1].text == long.replace("joe@x.example.com", "[EMAIL]") and kept[1].n_chars == len(kept[1].text) and kept[1].mark == "m"
         else:
             assert docs.count() == 0
+
+
+def test_the_join_keeps_strangers_apart_in_a_crowded_sketch(spark, tmp_path, monkeypatch):
+    """Long texts of few common passages: nothing but near copies meets in many blocks, and all else is kept."""
+    monkeypatch.setattr(jaccard, "BITS", (14, 14))
+    monkeypatch.setattr(jaccard, "PROFILE_DOCS", 40)
+    rng = random.Random(11)
+    passages = [" ".join(f"p{rng.randrange(10**6)}" for _ in range(16)) for _ in range(1000)]
+    rows = []
+    for i in range(2600):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(180)]
+        for p in rng.sample(passages, 3):
+            own.insert(rng.randrange(len(own)), p)
+        rows.append((2 * i, " ".join(own), "en", "a", 0))
+        if i % 20 == 0:
+            rows.append((2 * i + 1, rows[-1][1] + " end", "en", "a", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    met, meet = [], jaccard.meet
+    monkeypatch.setattr(jaccard, "meet", lambda placed, *how: met.append(placed.count()) or meet(placed, *how))
+    kept = dict(corpus_pipeline.STAGES)["jaccard_join"](spark, docs, str(tmp_path)).select("doc_id").collect()
+    assert sorted(r.doc_id for r in kept) == [d for d, *_ in rows if d % 2 == 0]
+    assert sum(met) <= 3 * len(rows)
